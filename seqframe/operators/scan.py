@@ -11,26 +11,36 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import cut_lineage
 
 
-def fill_forward(df: DataFrame, value: str, group: str, order: str, bucket: Column,
-                 out: str | None = None) -> DataFrame:
-    """Last non-null ``value`` at or before each row of its group."""
+def fill_forward(df: DataFrame, values: str | list[str], group: str, order: str,
+                 bucket: Column) -> DataFrame:
+    """Each of ``values`` replaced by the last non-null one at or before the row in its group."""
+    names = [values] if isinstance(values, str) else values
     inside = Window.partitionBy(group, "_bucket").orderBy(order)
     across = Window.partitionBy(group).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1)
     rows = df.withColumn("_bucket", bucket)
-    carried = (
-        rows.groupBy(group, "_bucket")
-        .agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_last"))
-        .select(group, "_bucket", F.last("_last", True).over(across).alias("_carried"))
-    )
-    filled = F.coalesce(F.last(value, True).over(inside), F.col("_carried"))
+    carried = rows.groupBy(group, "_bucket").agg(*[
+        F.max_by(v, F.when(F.col(v).isNotNull(), F.col(order))).alias(f"_last_{v}") for v in names
+    ]).select(group, "_bucket", *[
+        F.last(f"_last_{v}", True).over(across).alias(f"_carried_{v}") for v in names])
     return (
         rows.join(carried, [group, "_bucket"])
-        .withColumn(out or value, filled)
-        .drop("_bucket", "_carried")
+        .withColumns({v: F.coalesce(F.last(v, True).over(inside), F.col(f"_carried_{v}"))
+                      for v in names})
+        .drop("_bucket", *[f"_carried_{v}" for v in names])
     )
 
 
+def with_next(df: DataFrame, value: str, group: str, bucket: str, order: str, out: str) -> DataFrame:
+    """``value`` of the following row of the group, also across buckets."""
+    inside = Window.partitionBy(group, bucket).orderBy(order)
+    first = df.groupBy(group, bucket).agg(F.min_by(value, order).alias("_first"))
+    across = first.select(group, bucket, F.lead("_first").over(
+        Window.partitionBy(group).orderBy(bucket)).alias("_following"))
+    return df.join(across, [group, bucket]).withColumn(
+        out, F.coalesce(F.lead(value).over(inside), F.col("_following"))).drop("_following")
+
+
 def running_total(df: DataFrame, value: str, group: str, order: Column, bucket: Column,
                   out: str) -> DataFrame:
     """Sum of ``value`` over the rows before each row of its group (the row excluded)."""

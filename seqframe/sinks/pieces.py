@@ -1,0 +1,71 @@
+"""Text output made of pieces without separators between rows.
+
+Reports that list many things on one line (all subjects of a query, all contigs of a gene)
+are written as sorted pieces. A line may be any length; it is never collected.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+
+
+@dataclass
+class _Part(WriterCommitMessage):
+    written: str
+    final: str
+
+
+class _PieceWriter(DataSourceWriter):
+    def __init__(self, path: str) -> None:
+        self.path = path.rstrip("/")
+
+    def _open(self):
+        from pyarrow import fs
+
+        if "://" in self.path:
+            return fs.FileSystem.from_uri(self.path)
+        return fs.LocalFileSystem(), self.path.removeprefix("file:")
+
+    def write(self, iterator: Iterator) -> WriterCommitMessage:
+        files, folder = self._open()
+        number = TaskContext.get().partitionId()
+        files.create_dir(folder, recursive=True)
+        # a task that runs twice writes two files; only the committed one gets its name
+        part = f"{folder}/_part-{number:05d}-{uuid.uuid4().hex}"
+        with files.open_output_stream(part) as out:
+            for row in iterator:
+                out.write(row[0].encode())
+        return _Part(part, f"{folder}/part-{number:05d}.txt")
+
+    def commit(self, messages: list) -> None:
+        files, _ = self._open()
+        for part in messages:
+            if part is not None:
+                files.move(part.written, part.final)
+
+    def abort(self, messages: list) -> None:
+        files, _ = self._open()
+        for part in messages:
+            if part is not None:
+                files.delete_file(part.written)
+
+
+class PieceSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "text_pieces"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _PieceWriter(self.options["path"])
+
+
+def write_pieces(df: DataFrame, path: str) -> None:
+    """Write the only column of ``df``, in its order."""
+    df.sparkSession.dataSource.register(PieceSource)
+    df.write.format("text_pieces").mode("append").save(path)

@@ -103,20 +103,6 @@ def protein_header(header: Column) -> Column:
     )
 
 
-def unit_vector(vec: Column) -> Column:
-    """Centred vector of length 1, so that a dot product is Pearson's r.
-
-    A constant vector has no direction and becomes all zeros.
-    """
-    total = F.aggregate(vec, F.lit(0.0), lambda acc, v: acc + v)
-    mean = total / F.size(vec)
-    squares = F.aggregate(vec, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean))
-    constant = F.array_max(vec) == F.array_min(vec)
-    return F.when(constant, F.transform(vec, lambda v: v * 0.0)).otherwise(
-        F.transform(vec, lambda v: (v - mean) / F.sqrt(squares))
-    )
-
-
 def pearson(x: Column, y: Column) -> Column:
     """Pearson's r of two arrays of equal size, NULL if one of them is constant."""
     n = F.size(x).cast("double")

@@ -44,7 +44,7 @@ def supporting_tools(targets: DataFrame, mirna: str, min_tools: int) -> DataFram
     the shuffle and spread over its tools.
     """
     return (
-        _targets(targets, mirna).groupBy("refseq", "miRNA", "tool").agg()
+        _targets(targets, mirna).distinct()
         .groupBy("refseq", "miRNA").agg(F.count("tool").alias("tool_count"))
         .filter(F.col("tool_count") >= min_tools)
     )
@@ -74,5 +74,5 @@ def support_join(genes: DataFrame, expression: DataFrame, targets: DataFrame,
 def support_tools(report: DataFrame, targets: DataFrame, mirna: str) -> DataFrame:
     """The tools behind each gene of a ``support_join`` report, one row per gene and tool."""
     pairs = _targets(targets, mirna).select(F.col("refseq").alias("gene"), "tool")
-    return pairs.join(report.select("gene", "tool_count"), "gene").groupBy(
-        "gene", "tool_count", "tool").agg()
+    return pairs.join(report.select("gene", "tool_count"), "gene").select(
+        "gene", "tool_count", "tool").distinct()

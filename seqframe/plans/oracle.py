@@ -313,7 +313,7 @@ ORACLE["extend_ungapped"] = f"""WITH {EXTEND.replace('q_pos + r.length + o', 'q_
   SELECT DISTINCT q_id, t_id, q_pos - coalesce(lft.at, 0) AS q_start,
     q_pos + length - 1 + coalesce(rgt.at, 0) AS q_end, t_pos - coalesce(lft.at, 0) AS t_start,
     t_pos + length - 1 + coalesce(rgt.at, 0) AS t_end,
-    coalesce(rgt.best, length) + coalesce(lft.best, length) - length AS score
+    (coalesce(rgt.best, length) + coalesce(lft.best, length) - length)::BIGINT AS score
   FROM numbered LEFT JOIN rgt USING (rid) LEFT JOIN lft USING (rid)"""
 
 
@@ -394,5 +394,5 @@ ORACLE["read_tables"] = " UNION ALL ".join(
     f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in (
         "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
         "documents", "embeddings", "pages", "benchmark", "labels", "conversations"))
-ORACLE["write_scores"] = f"""WITH {DOCS} SELECT format('{{:6.1f}}', length(seq) / 4) || chr(9) || doc_id || chr(9) || length(seq) AS value
+ORACLE["write_scores"] = f"""WITH {DOCS} SELECT format('{{:6.1f}}', length(seq) / 3) || chr(9) || doc_id || chr(9) || length(seq) AS value
   FROM docs"""

@@ -643,7 +643,7 @@ def write_hits(spark, d):
 def write_scores(spark, d):
     path = scratch_path(spark, "scores")
     lengths = views.document_dna(spark, d).select("doc_id", F.length("seq").alias("n"))
-    scored = lengths.withColumn("size", F.col("n") / 4)
+    scored = lengths.withColumn("size", F.col("n") / 3)
     sinks.write_scores(scored, "size", ["doc_id", "n"], path)
     return text_of(spark, path)
 
@@ -686,7 +686,8 @@ def write_alignment(spark, d):
 @query
 def write_gtr(spark, d):
     path = scratch_path(spark, "gtr")
-    sinks.write_gtr(linkage_average(spark, d), path)
+    leaves = linkage.leaves(views.part_vectors(spark, d), "brand", "vec")
+    sinks.write_gtr(linkage.linkage_single(leaves), path)
     return text_of(spark, path)
 
 

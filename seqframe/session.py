@@ -71,6 +71,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
+def task_count(spark: SparkSession) -> int:
+    """Tasks for a stage whose work is not measured by its bytes."""
+    return max(spark.sparkContext.defaultParallelism,
+               int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def fits(df: DataFrame, rows: int) -> bool:
     """True if ``df`` has at most ``rows`` rows; reads no more than it must."""
     return df.limit(rows + 1).count() <= rows

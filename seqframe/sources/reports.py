@@ -92,7 +92,7 @@ def blastp_summary(spark: SparkSession, path: str | list[str]) -> DataFrame:
     used = lines.filter(F.col("contig").isNotNull() | F.col("gene").isNotNull())
     owned = fill_forward(used, "contig", "file", "place", F.col("split"))
     return owned.filter(F.col("gene").isNotNull() & F.col("contig").isNotNull()).select(
-        "contig", "gene", F.regexp_extract("value", SUMMARY, 2).cast("int").alias("bits"),
+        "contig", "gene", F.regexp_extract("value", SUMMARY, 2).try_cast("int").alias("bits"),
         F.regexp_extract("value", SUMMARY, 3).alias("evalue"), "place")
 
 
@@ -120,5 +120,5 @@ def read_bp_hits(spark: SparkSession, path: str | list[str]) -> DataFrame:
     used = lines.filter(F.col("id").isNotNull() | F.col("hit"))
     named = fill_forward(used, "id", "file", "place", F.col("split"))
     return named.filter("hit").select(
-        "file", "id", F.regexp_extract("value", HIT, 1).cast("long").alias("start"),
-        F.regexp_extract("value", HIT, 2).cast("long").alias("end"))
+        "file", "id", F.regexp_extract("value", HIT, 1).try_cast("long").alias("start"),
+        F.regexp_extract("value", HIT, 2).try_cast("long").alias("end"))

@@ -358,6 +358,54 @@ ORACLE["neighbour_pearson"] = """WITH e AS (SELECT a.vec_id, unnest(a.embedding:
     unnest(b.embedding::DOUBLE[]) AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
   SELECT vec_id, round(corr(x, y), 6) AS r FROM e GROUP BY vec_id"""
 
+EMBEDDED = "v AS (SELECT row_number() OVER (ORDER BY vec_id) AS leaf, embedding::DOUBLE[] AS x FROM embeddings)"
+MONTHS = ", ".join(f"sum(CASE WHEN month(l_shipdate) = {m} THEN l_quantity ELSE 0 END)" for m in range(1, 13))
+BRANDS = f"""v AS (SELECT row_number() OVER (ORDER BY p_brand) AS leaf, p_brand AS name, [{MONTHS}]::DOUBLE[] AS x
+    FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand)"""
+PAIRS = """c AS (SELECT leaf, list_transform(x, lambda e: e - list_avg(x)) AS x FROM v),
+  z AS (SELECT leaf, list_transform(x, lambda e: e / sqrt(list_inner_product(x, x))) AS x FROM c),
+  pairs AS MATERIALIZED (SELECT a.leaf AS l, b.leaf AS r, list_inner_product(a.x, b.x) AS sim FROM z a JOIN z b ON a.leaf < b.leaf)"""
+MEMBERS = """SELECT least(x.lab, y.lab) AS a, greatest(x.lab, y.lab) AS b, {}(p.sim) AS sim
+      FROM pairs p JOIN st x ON x.leaf = p.l JOIN st y ON y.leaf = p.r WHERE x.lab <> y.lab GROUP BY 1, 2"""
+MEANS = """SELECT p.lab AS a, q.lab AS b, corr(p.m, q.m) AS sim
+      FROM (SELECT lab, i, avg(e) AS m FROM st JOIN vi ON st.leaf = vi.leaf GROUP BY lab, i) p
+      JOIN (SELECT lab, i, avg(e) AS m FROM st JOIN vi ON st.leaf = vi.leaf GROUP BY lab, i) q
+      ON p.i = q.i AND p.lab < q.lab GROUP BY 1, 2"""
+
+
+def merges(vectors: str, best: str) -> str:
+    """CTEs of a clustering, one best pair after the other; a cluster is called by its smallest leaf."""
+    return f"""{vectors}, vi AS (SELECT leaf, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS e FROM v), {PAIRS},
+  st(step, leaf, lab, a, b, sim) AS (
+    SELECT 0::BIGINT, leaf, leaf, 0::BIGINT, 0::BIGINT, 0::DOUBLE FROM v
+    UNION ALL
+    SELECT st.step + 1, st.leaf, CASE WHEN st.lab = o.b THEN o.a ELSE st.lab END, o.a, o.b, o.sim
+    FROM st, ({best} ORDER BY sim DESC, a, b LIMIT 1) o),
+  done AS (SELECT DISTINCT step, a, b, sim FROM st WHERE step > 0),
+  tree AS (SELECT d.step, 'NODE' || d.step AS node,
+    coalesce('NODE' || (SELECT max(e.step) FROM done e WHERE e.a = d.a AND e.step < d.step), 'GENE' || d.a) AS "left",
+    coalesce('NODE' || (SELECT max(e.step) FROM done e WHERE e.a = d.b AND e.step < d.step), 'GENE' || d.b) AS "right",
+    d.sim FROM done d)"""
+
+
+WALK = """walk(name, path) AS (
+    SELECT node, '' FROM tree WHERE step = (SELECT max(step) FROM tree)
+    UNION ALL
+    SELECT unnest([t."left", t."right"]), unnest([w.path || 'L', w.path || 'R']) FROM walk w JOIN tree t ON t.node = w.name),
+  leaf_order AS (SELECT name AS leaf, row_number() OVER (ORDER BY path) AS position FROM walk WHERE name LIKE 'GENE%')"""
+TREE = 'SELECT step, node, "left", "right", round(sim, 6) AS sim FROM tree'
+SINGLE = merges(EMBEDDED, MEMBERS.format("max"))
+ORACLE["linkage_single"] = f"WITH RECURSIVE {SINGLE} {TREE}"
+ORACLE["linkage_complete"] = f"WITH RECURSIVE {merges(EMBEDDED, MEMBERS.format('min'))} {TREE}"
+ORACLE["linkage_average"] = f"WITH RECURSIVE {merges(BRANDS, MEANS)} {TREE}"
+ORACLE["leaf_order"] = f"WITH RECURSIVE {SINGLE}, {WALK} SELECT leaf, position FROM leaf_order"
+ORACLE["write_gtr"] = f"""WITH RECURSIVE {merges(BRANDS, MEMBERS.format('max'))}
+  SELECT concat_ws(chr(9), node || 'X', "left" || 'X', "right" || 'X', round(sim, 4)) AS value FROM tree"""
+ORACLE["write_cdt"] = f"""WITH RECURSIVE {merges(BRANDS, MEMBERS.format('min'))}, {WALK}
+  SELECT concat_ws(chr(9), 'GENE' || leaf || 'X', name, name, 1, array_to_string(x::VARCHAR[], chr(9))) AS value FROM v
+  UNION ALL SELECT concat_ws(chr(9), 'GID', 'CLID', 'NAME', 'GWEIGHT', {", ".join(f"'m{m}'" for m in range(1, 13))})
+  UNION ALL SELECT concat_ws(chr(9), 'EWEIGHT', '', '', '', {", ".join("1" for _ in range(12))})"""
+
 # --- readers and writers ----------------------------------------------------------------
 
 ORACLE["read_fasta"] = f"WITH {DOCS} SELECT header, seq FROM docs"

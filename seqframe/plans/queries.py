@@ -386,19 +386,27 @@ def neighbour_pearson(spark, d):
         "vec_id", F.round(pearson(F.col("vec"), F.col("next")), 6).alias("r"))
 
 
+def embedding_leaves(spark, d):
+    return linkage.leaves(views.embedding_vectors(spark, d), "vec_id", "vec")
+
+
+def brand_leaves(spark, d):
+    return linkage.leaves(views.part_vectors(spark, d), "brand", "vec")
+
+
 @query
 def linkage_single(spark, d):
-    return linkage.linkage_single(linkage.leaves(views.embedding_vectors(spark, d), "vec_id", "vec"))
+    return linkage.linkage_single(embedding_leaves(spark, d)).withColumn("sim", F.round("sim", 6))
 
 
 @query
 def linkage_complete(spark, d):
-    return linkage.linkage_complete(linkage.leaves(views.embedding_vectors(spark, d), "vec_id", "vec"))
+    return linkage.linkage_complete(embedding_leaves(spark, d)).withColumn("sim", F.round("sim", 6))
 
 
 @query
 def linkage_average(spark, d):
-    return linkage.linkage_average(linkage.leaves(views.part_vectors(spark, d), "brand", "vec"))
+    return linkage.linkage_average(brand_leaves(spark, d)).withColumn("sim", F.round("sim", 6))
 
 
 @query
@@ -686,15 +694,15 @@ def write_alignment(spark, d):
 @query
 def write_gtr(spark, d):
     path = scratch_path(spark, "gtr")
-    leaves = linkage.leaves(views.part_vectors(spark, d), "brand", "vec")
-    sinks.write_gtr(linkage.linkage_single(leaves), path)
+    merges = linkage.linkage_single(brand_leaves(spark, d))
+    sinks.write_gtr(merges.withColumn("sim", F.round("sim", 4)), path)
     return text_of(spark, path)
 
 
 @query
 def write_cdt(spark, d):
     path = scratch_path(spark, "cdt")
-    leaves = linkage.leaves(views.part_vectors(spark, d), "brand", "vec")
+    leaves = brand_leaves(spark, d)
     order = tree.leaf_order(cut_lineage(linkage.linkage_complete(leaves)))
     sinks.write_cdt(leaves, order, [f"m{m}" for m in range(1, 13)], path)
     return text_of(spark, path)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-PIECE = 512
+PIECE = 64
 
 
 def pieces(df: DataFrame, keys: list[str], seq: str, overlap: int, size: int = PIECE) -> DataFrame:

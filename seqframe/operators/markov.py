@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import constants as K, count_chars
-from ..session import fits
+from ..session import cut_lineage, fits
 from .kgrams import kgrams
 
 BROADCAST_ROWS = 200_000
@@ -61,10 +61,10 @@ def markov_score(seqs: DataFrame, key: str, seq: str, logq: DataFrame, logp: Dat
     log_p adds nothing for it. The model travels to the sequences while it is small,
     so rows of one sequence never leave their partition before they are summed.
     """
-    weights = logq.select("context", "symbol", "log_q")
+    weights = cut_lineage(logq.select("context", "symbol", "log_q"), "log-q")
     if fits(weights, BROADCAST_ROWS):
         weights = F.broadcast(weights)
-    background = logp.select("symbol", "log_p")
+    background = cut_lineage(logp.select("symbol", "log_p"), "log-p")
     if fits(background, BROADCAST_ROWS):
         background = F.broadcast(background)
     scored = (

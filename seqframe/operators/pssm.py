@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as K
-from .kgrams import PIECE, pieces
+from .kgrams import windows
 
 
 def pssm_counts(motifs: DataFrame, motif: str = "motif") -> DataFrame:
@@ -53,13 +53,13 @@ def pssm_logodds(counts: DataFrame, background: dict[str, float] | None = None,
         (F.ln((n + b * p) / (F.col("total") + b)) - F.ln(p)).alias("log_odds"))
 
 
-def _score(weights: dict[int, dict[str, float]], piece: Column, start: Column) -> Column:
+def _score(weights: dict[int, dict[str, float]], window: Column) -> Column:
     score = F.lit(0.0)
     for position in sorted(weights):
         symbols = "".join(weights[position]) + "."
         cells = [0.0, *weights[position].values(), -math.inf]  # cell 0: any other letter
-        letter = F.substr(piece, start + position, F.lit(1))
         table = F.array(*[F.lit(c) for c in cells])
+        letter = F.substring(window, position + 1, 1)
         score = score + F.element_at(table, F.instr(F.lit(symbols), letter) + 1)
     return score
 
@@ -75,16 +75,9 @@ def pssm_scan(seqs: DataFrame, keys: list[str], seq: str, logodds: DataFrame, wi
     weights: dict[int, dict[str, float]] = {}
     for row in logodds.select("position", "symbol", "log_odds").collect():
         weights.setdefault(row[0], {})[row[1]] = row[2]
-    last = F.least(F.lit(PIECE), F.length("piece") - width + 1)
-    scored = (
-        pieces(seqs, keys, seq, width - 1).filter(last >= 1)
-        .select(*keys, "offset", "piece", F.explode(F.sequence(F.lit(1), last)).alias("_i"))
-        .withColumn("score", _score(weights, F.col("piece"), F.col("_i")))
-        .filter(F.col("score") > F.lit(-math.inf if above is None else float(above)))
-    )
-    return scored.select(
-        *keys, (F.col("offset") + F.col("_i") - 1).alias("start"), "score",
-        F.substr(F.col("piece"), F.col("_i"), F.lit(width)).alias("window"))
+    found = windows(seqs, [*keys], seq, width).withColumn("score", _score(weights, F.col("window")))
+    above = -math.inf if above is None else float(above)
+    return found.filter(F.col("score") > F.lit(above)).select(*keys, "start", "score", "window")
 
 
 def top_windows(scored: DataFrame, keys: list[str], k: int = 10) -> DataFrame:

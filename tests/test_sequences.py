@@ -1,0 +1,154 @@
+import math
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import rows
+from seqframe.functions import (
+    evalue_number, orf_header, pearson, protein_header, translate_codons,
+)
+from seqframe.operators import kgrams, markov, pssm
+from seqframe.operators.extract import extract_hits, extract_intervals
+
+
+def random_sequences(seed, sizes, letters="ACGT"):
+    rng = random.Random(seed)
+    return [(i, "".join(rng.choice(letters) for _ in range(n))) for i, n in enumerate(sizes)]
+
+
+SIZES = [0, 1, 2, 3, 4, 63, 64, 65, 67, 128, 200, 1000]
+
+
+@pytest.mark.parametrize("k", [0, 1, 3, 70])
+def test_kgrams_match_plain_loop(spark, k):
+    data = random_sequences(k, SIZES)
+    df = spark.createDataFrame(data, "id int, seq string")
+    want = [(i, p + 1, s[max(0, p - k):p], s[p]) for i, s in data for p in range(len(s))]
+    got = rows(kgrams.kgrams(df, ["id"], "seq", k, 64))
+    assert got == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("width", [1, 8, 76])
+def test_windows_match_plain_loop(spark, width):
+    data = random_sequences(width, SIZES)
+    df = spark.createDataFrame(data, "id int, seq string")
+    want = [(i, p, s[p:p + width]) for i, s in data for p in range(len(s) - width + 1)]
+    assert rows(kgrams.windows(df, ["id"], "seq", width, 64)) == sorted(want, key=repr)
+
+
+def test_markov_model_and_scores(spark):
+    train = random_sequences(1, [0, 1, 2, 30, 50], "AACG")
+    test = random_sequences(2, [0, 1, 40, 300], "ACGTN")
+    order = 2
+    counts, totals = Counter(), Counter()
+    for _, s in train:
+        for p in range(len(s)):
+            counts[s[max(0, p - order):p], s[p]] += 1
+            totals[s[max(0, p - order):p]] += 1
+    seqs = spark.createDataFrame(train, "id int, seq string")
+    model = markov.markov_train(seqs, "seq", order)
+    assert {(r.context, r.symbol): r.n for r in model.collect()} == counts
+    logq = markov.markov_logq(model)
+    for r in logq.collect():
+        assert r.total == totals[r.context]
+    tests = spark.createDataFrame(test, "id int, seq string")
+    letters = Counter("".join(s for _, s in test))
+    n = sum(letters[x] for x in "ACGT")
+    want = {}
+    for i, s in test:
+        want[i] = 0.0
+        for p, x in enumerate(s):
+            c = s[max(0, p - order):p]
+            q = math.log(counts[c, x] / totals[c]) if counts[c, x] else -8.0
+            want[i] += q - (math.log(letters[x] / n) if x in "ACGT" else 0.0)
+    got = markov.markov_score(tests, "id", "seq", logq, markov.symbol_frequencies(tests, "seq"), order)
+    assert {r.id: r.score for r in got.collect()} == pytest.approx(want)
+    stats = markov.model_stats(model).first()
+    assert (stats.model_order, stats.n_sequences) == (order, sum(1 for _, s in train if s))
+    assert (stats.n_keys, stats.n_instances) == (len(counts) + len(totals), sum(counts.values()))
+
+
+def test_symbol_that_never_occurs(spark):
+    df = spark.createDataFrame([("AAC",)], "seq string")
+    got = {r.symbol: (r.n, r.log_p) for r in markov.symbol_frequencies(df, "seq").collect()}
+    assert got["G"] == (0, None) and got["A"][0] == 2
+
+
+def test_dump_order(spark):
+    model = spark.createDataFrame([("", "A", 2), ("A", "C", 1), ("A", "T", 1)], "context string, symbol string, n long")
+    lines = [r.line for r in markov.dump_model(model, 1).orderBy("sort_key").collect()]
+    assert lines == ["\x01A" + " " * 12 + "2", "-" * 15 + " 2", "AC" + " " * 12 + "1", "AT" + " " * 12 + "1", "-" * 15 + " 2"]
+
+
+def test_codons(spark):
+    df = spark.createDataFrame([("ATGTAAGCTNNNAA",), ("",), ("AT",), ("TTTTGGTGA",)], "s string")
+    assert [r[0] for r in df.select(translate_codons(F.col("s"))).collect()] == ["MA", "", "", "FW"]
+
+
+def test_headers(spark):
+    df = spark.createDataFrame([
+        ("ssl1234 (555 nt) <-123456 ORTH:3e-30 Protein kinase",), ("sll1 (12 nuc) 77->  elongation factor",)], "h string")
+    assert [tuple(r[0]) for r in df.select(orf_header(F.col("h"))).collect()] == [
+        ("ssl1234", 555, 123456, "<-", "3e-30", "Protein kinase"),
+        ("sll1", 12, 77, "->", "none", "elongation factor")]
+    df = spark.createDataFrame([("tr|F1|F1_X Spore coat protein OS=Some sp. GN=spsC PE=3 SV=1",)], "h string")
+    assert tuple(df.select(protein_header(F.col("h"))).first()[0]) == ("F1", "Spore coat protein", "spsC")
+
+
+def test_evalues_and_pearson(spark):
+    df = spark.createDataFrame([("0.0   ",), ("7e-059",), ("e-105",), ("1e-230",), ("x",)], "e string")
+    assert [r[0] for r in df.select(evalue_number(F.col("e"))).collect()] == [0.0, 7e-59, 1e-105, 1e-230, None]
+    df = spark.createDataFrame([([1.0, 2.0, 4.0], [2.0, 1.0, 5.0]), ([1.0, 1.0], [1.0, 2.0])],
+                               "x array<double>, y array<double>")
+    r, undefined = (row[0] for row in df.select(pearson(F.col("x"), F.col("y"))).collect())
+    assert r == pytest.approx(0.8386278693775346) and undefined is None
+
+
+def test_extract_intervals_is_a_prefix_join(spark):
+    seqs = spark.createDataFrame([(1, "AB1 x", "ACGTACGT"), (2, "AB12", "TTTT"), (3, "A", "GGGG")],
+                                 "no int, header string, seq string")
+    requests = spark.createDataFrame([("AB1", 2, 4), ("AB12", 3, 99), ("", 1, 2), (None, 1, 2), ("A", 9, 10)],
+                                     "id string, start long, end long")
+    got = rows(extract_intervals(seqs, requests, ["no"]).select("no", "id", "fragment"))
+    want = [(n, i, s[a - 1:b]) for n, h, s in [tuple(r) for r in seqs.collect()]
+            for i, a, b in [("AB1", 2, 4), ("AB12", 3, 99), ("A", 9, 10)] if h.startswith(i)]
+    assert got == sorted(want, key=repr)
+
+
+def test_extract_hits_by_strand(spark):
+    seqs = spark.createDataFrame([("f", "id1 rest", "AACCGGTT"), ("f", "id12", "TTTT")], "file string, header string, seq string")
+    hits = spark.createDataFrame([("f", "id1", 1, 3), ("f", "id1", 6, 2)], "file string, id string, start long, end long")
+    assert rows(extract_hits(hits, seqs)) == [("f", "id1", 3, 1, 3, "AAC"), ("f", "id1", 5, 6, 2, "GGCCA")]
+    assert rows(extract_hits(hits, seqs, complemented=True))[1][-1] == "CCGGT"
+
+
+def test_pssm_scan_against_loop(spark):
+    motifs = ["ACGT", "ACGA", "ACCT", "AGGT"]
+    df = spark.createDataFrame([(m.lower(),) for m in motifs], "motif string")
+    counts = pssm.pssm_counts(df)
+    info = {r.position: r.information for r in pssm.pssm_information(counts).collect()}
+    def bits(p):
+        shares = [v / 4 for v in Counter(m[p] for m in motifs).values()]
+        return 2 + sum(x * math.log2(x) for x in shares)
+    assert info == pytest.approx({p: bits(p) for p in range(4)})
+    odds = pssm.pssm_logodds(counts).join(pssm.informative(pssm.pssm_information(counts)).select("position"), "position")
+    weights = {(r.position, r.symbol): r.log_odds for r in odds.collect()}
+    background = {"A": 0.33264, "T": 0.33264, "G": 0.16736, "C": 0.16736}
+    assert weights[0, "A"] == pytest.approx(math.log((4 + 0.1 * 0.33264) / 4.1 / background["A"]))
+    used = sorted({p for p, _ in weights})
+    assert used == [p for p in range(4) if bits(p) > 1.2] == [0]
+    all_odds = pssm.pssm_logodds(counts)
+    weights = {(r.position, r.symbol): r.log_odds for r in all_odds.collect()}
+    data = random_sequences(3, [0, 3, 4, 150], "ACGTN.")
+    got = rows(pssm.pssm_scan(spark.createDataFrame(data, "id int, seq string"), ["id"], "seq", all_odds, 4)
+               .select("id", "start", F.round("score", 9)))
+    want = [(i, p, round(sum(weights.get((j, s[p + j]), 0.0) for j in range(4)), 9))
+            for i, s in data for p in range(len(s) - 3) if "." not in s[p:p + 4]]
+    assert got == sorted(want, key=repr)
+
+
+def test_top_windows_break_ties_by_later_start(spark):
+    df = spark.createDataFrame([("a", i, float(i % 2)) for i in range(10)], "name string, start int, score double")
+    assert [r.start for r in pssm.top_windows(df, ["name"], 3).collect()] == [9, 7, 5]

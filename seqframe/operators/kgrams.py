@@ -7,7 +7,7 @@ piece are short, so taking a substring costs little wherever it lies in the sequ
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 PIECE = 64
 
@@ -33,10 +33,10 @@ def windows(df: DataFrame, keys: list[str], seq: str, width: int, size: int = PI
     )
 
 
-def kgrams(df: DataFrame, keys: list[str], seq: str, k: int, size: int = PIECE) -> DataFrame:
-    """Each symbol with the ``k`` symbols before it, fewer at the start of a sequence.
+def grams(df: DataFrame, keys: list[str], seq: str, k: int, size: int = PIECE) -> DataFrame:
+    """Each symbol together with the ``k`` symbols before it, fewer at the start of a sequence.
 
-    Rows (keys, position, context, symbol), position counted from 1.
+    Rows (keys, position, gram), position counted from 1; the symbol is the last letter.
     """
     cutted = pieces(df, keys, seq, k, size)
     first = F.when(F.col("offset") == 0, F.lit(1 - k)).otherwise(F.lit(1))
@@ -46,8 +46,16 @@ def kgrams(df: DataFrame, keys: list[str], seq: str, k: int, size: int = PIECE)
     return (
         cutted.filter(last >= first)
         .select(*keys, "offset", "piece", F.explode(F.sequence(first, last)).alias("_i"))
-        .select(*keys, (F.col("offset") + F.col("_i") + k).alias("position"), gram.alias("_gram"))
-        .select(*keys, "position",
-                F.substr(F.col("_gram"), F.lit(1), F.length("_gram") - 1).alias("context"),
-                F.right(F.col("_gram"), F.lit(1)).alias("symbol"))
+        .select(*keys, (F.col("offset") + F.col("_i") + k).alias("position"), gram.alias("gram"))
     )
+
+
+def split_gram(gram: str = "gram") -> list[Column]:
+    """Columns context and symbol of a gram."""
+    return [F.substr(F.col(gram), F.lit(1), F.length(gram) - 1).alias("context"),
+            F.right(F.col(gram), F.lit(1)).alias("symbol")]
+
+
+def kgrams(df: DataFrame, keys: list[str], seq: str, k: int, size: int = PIECE) -> DataFrame:
+    """Rows (keys, position, context, symbol), see ``grams``."""
+    return grams(df, keys, seq, k, size).select(*keys, "position", *split_gram())

@@ -9,15 +9,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import constants as K, count_chars
 from ..session import cut_lineage, fits
-from .kgrams import kgrams
+from .kgrams import grams, split_gram
 
 BROADCAST_ROWS = 200_000
+ALPHABET = 1000
 
 
 def markov_train(seqs: DataFrame, seq: str, order: int) -> DataFrame:
     """How often each symbol follows each context."""
-    return kgrams(seqs, [], seq, order).groupBy("context", "symbol").agg(
-        F.count(F.lit(1)).alias("n"))
+    counts = grams(seqs, [], seq, order).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(*split_gram(), "n")
 
 
 def symbol_frequencies(seqs: DataFrame, seq: str, alphabet: str = K.NUCLEOTIDES) -> DataFrame:
@@ -61,18 +62,18 @@ def markov_score(seqs: DataFrame, key: str, seq: str, logq: DataFrame, logp: Dat
     log_p adds nothing for it. The model travels to the sequences while it is small,
     so rows of one sequence never leave their partition before they are summed.
     """
-    weights = cut_lineage(logq.select("context", "symbol", "log_q"), "log-q")
+    weights = cut_lineage(logq.select(F.concat("context", "symbol").alias("gram"), "log_q"), "log-q")
     if fits(weights, BROADCAST_ROWS):
         weights = F.broadcast(weights)
-    background = cut_lineage(logp.select("symbol", "log_p"), "log-p")
-    if fits(background, BROADCAST_ROWS):
-        background = F.broadcast(background)
+    background = {r[0]: r[1] or 0.0 for r in logp.select("symbol", "log_p").limit(ALPHABET + 1).collect()}
+    if len(background) > ALPHABET:
+        raise ValueError(f"an alphabet has at most {ALPHABET} symbols")
+    table = F.array(F.lit(0.0), *[F.lit(p) for p in background.values()])
+    place = F.instr(F.lit("".join(background)), F.right(F.col("gram"), F.lit(1)))
     scored = (
-        kgrams(seqs, [key], seq, order)
-        .join(weights, ["context", "symbol"], "left")
-        .join(background, "symbol", "left")
-        .select(key, (F.coalesce("log_q", F.lit(unseen)) - F.coalesce("log_p", F.lit(0.0)))
-                .alias("_w"))
+        grams(seqs, [key], seq, order)
+        .join(weights, "gram", "left")
+        .select(key, (F.coalesce("log_q", F.lit(unseen)) - F.element_at(table, place + 1)).alias("_w"))
         .groupBy(key).agg(F.sum("_w").alias("score"))
     )
     empty = seqs.filter(F.length(seq) == 0).select(key, F.lit(0.0).alias("score"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import constants as K
 from . import views
-from .queries import MARKOV_ORDER, MIRNA, PSSM_ABOVE, SIMILAR, TISSUE, WORD
+from .queries import MARKOV_ORDER, MIRNA, PSSM_ABOVE, PSSM_INFORMATION, SIMILAR, TISSUE, WORD
 
 ORACLE: dict[str, str] = {}
 
@@ -117,7 +117,7 @@ ORACLE["best_hits"] = """WITH h AS (SELECT user_id AS contig, event_type AS gene
   SELECT contig, h.gene, description, evalue FROM h LEFT JOIN t USING (gene) WHERE evalue < 20"""
 MULTI = """m AS (SELECT event_type AS gene, count(*) FILTER (value < 5) AS n_below FROM events GROUP BY 1),
   mc AS (SELECT event_type AS gene, n_below, user_id AS contig, arg_max(value, event_id) AS evalue
-    FROM events JOIN m ON event_type = gene WHERE n_below > 400 GROUP BY ALL)"""
+    FROM events JOIN m ON event_type = gene WHERE n_below > 1 GROUP BY ALL)"""
 MULTI = MULTI.replace("GROUP BY ALL", "GROUP BY 1, 2, 3")
 ORACLE["multi_contig_hits"] = f"WITH {MULTI} SELECT * FROM mc"
 ORACLE["write_multi_contig"] = f"""WITH {MULTI}, f AS (
@@ -246,7 +246,7 @@ ORACLE["pssm_counts"] = f"WITH {COUNTS} SELECT * FROM c"
 ORACLE["pssm_information"] = f"WITH {COUNTS}, {INFO} SELECT position, round(information, 9) AS information FROM info"
 ORACLE["pssm_logodds"] = f"WITH {COUNTS}, {ODDS} SELECT position, symbol, round(log_odds, 9) AS log_odds FROM odds"
 SCAN = f"""{DOCS}, {COUNTS}, {INFO}, {ODDS}, {windows('win', 'docs', 'doc_id', 8)},
-  used AS (SELECT odds.* FROM odds JOIN info USING (position) WHERE information > {K.INFORMATION_THRESHOLD}),
+  used AS (SELECT odds.* FROM odds JOIN info USING (position) WHERE information > {PSSM_INFORMATION}),
   sc AS (SELECT doc_id, start, w AS "window", round(sum(log_odds), 6) AS score
     FROM win JOIN used ON substring(w, position + 1, 1) = symbol GROUP BY doc_id, start, w)"""
 ORACLE["pssm_scan"] = f'WITH {SCAN} SELECT doc_id, start, score, "window" FROM sc WHERE score > {PSSM_ABOVE}'

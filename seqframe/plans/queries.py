@@ -26,7 +26,7 @@ QUERIES: dict[str, Query] = {}
 MIRNA, TISSUE = "R", "MACHINERY"
 WORD = 11
 MARKOV_ORDER = 3
-PSSM_ABOVE = 4.0
+PSSM_INFORMATION, PSSM_ABOVE = 1.0, 4.0
 SIMILAR = 0.3
 
 
@@ -103,7 +103,7 @@ def best_hits(spark, d):
 
 @query
 def multi_contig_hits(spark, d):
-    return hits.multi_contig_hits(views.event_hits(spark, d), "line_no", 5.0, 400)
+    return hits.multi_contig_hits(views.event_hits(spark, d), "line_no", 5.0)
 
 
 def customer_orders(spark, d):
@@ -274,7 +274,7 @@ def pssm_logodds(spark, d):
 
 def date_weights(spark, d):
     counts = cut_lineage(pssm_counts(spark, d), "counts")
-    wanted = pssm.informative(pssm.pssm_information(counts)).select("position")
+    wanted = pssm.informative(pssm.pssm_information(counts), PSSM_INFORMATION).select("position")
     return pssm.pssm_logodds(counts).join(wanted, "position")
 
 

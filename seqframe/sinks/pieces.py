@@ -67,5 +67,8 @@ class PieceSource(DataSource):
 
 def write_pieces(df: DataFrame, path: str) -> None:
     """Write the only column of ``df``, in its order."""
-    df.sparkSession.dataSource.register(PieceSource)
-    df.write.format("text_pieces").mode("append").save(path)
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    spark.dataSource.register(PieceSource)
+    df.write.format("text_pieces").mode("append").save(files.makeQualified(target).toString())

@@ -19,7 +19,7 @@ from seqframe.session import local_session
 HEADLINE = [
     "support_rows", "support_join", "group_profile", "fill_forward", "contig_stats", "n50_stats",
     "best_hits", "multi_contig_hits", "query_hits", "extract_intervals", "extract_hits",
-    "codon_translation", "symbol_frequencies", "markov_train", "markov_score", "pssm_scan",
+    "translate_codons", "symbol_frequencies", "markov_train", "markov_score", "pssm_scan",
     "pssm_top_hits", "matrix_power", "seed_exact", "seed_scored", "extend_ungapped",
     "pairwise_pearson", "read_fasta",
 ]

@@ -38,9 +38,9 @@ PROTEIN_WORD_THRESHOLD = 15
 ALIGNMENT_BLOCK = 50
 
 # Header formats.
-# "ssl1234 (555 nt) <-123456 ORTH:3e-30 Protein kinase"
+# "name (length nt) <-start ORTH:e-value description", or start-> on the other strand
 ORF_HEADER = r"(\w+)\s+\((\d+).*\)\s+(?:(<-)(\d+)|(\d+)(->))\s+(?:ORTH:(\S+))?\s*(.*)$"
-# "tr|F7UQ11|F7UQ11_SYNYG Spore coat protein OS=Synechocystis sp. GN=spsC PE=3 SV=1"
+# "tr|accession|name description OS=organism GN=gene PE=..."
 PROTEIN_HEADER = r"\w{2}\|(.*?)\|.*?\s(.*?)\sOS=.*?GN=(.*?)\s"
-# "Seq1 [organism=...] [strain=...]"
+# "id [attribute] [attribute]"
 CONTIG_HEADER = r"^(.*?)\s\["

@@ -138,7 +138,7 @@ INTERVALS = """cuts AS (SELECT d.doc_id, id, "start", "end", substring(seq, "sta
   FROM docs d JOIN req ON starts_with(d.header, req.id))"""
 ORACLE["read_intervals"] = f"WITH {REQUESTS} SELECT * FROM req"
 ORACLE["extract_intervals"] = f"WITH {DOCS}, {REQUESTS}, {INTERVALS} SELECT * FROM cuts"
-ORACLE["write_interval_fasta"] = f"""WITH {DOCS}, {REQUESTS}, {INTERVALS}
+ORACLE["write_fasta"] = f"""WITH {DOCS}, {REQUESTS}, {INTERVALS}
   SELECT '>' || id || ' | start=' || "start" || ' | end=' || "end" AS value FROM cuts
   UNION ALL SELECT fragment FROM cuts"""
 HITS = """hits AS (SELECT d.source AS file, 'D' || l.doc_id AS id, d.seq,
@@ -167,8 +167,8 @@ ORACLE["read_bp_hits"] = f"""WITH {DOCS}, {HITS} SELECT id, "start", "end" FROM
 
 PROTEINS = proteins("prot", "docs", "doc_id")
 BENCH_PROTEINS = proteins("bprot", "bench", "item_id")
-ORACLE["kgram_rows"] = f"WITH {BENCH}, {grams('g', 'bench', 'item_id', MARKOV_ORDER)} SELECT * FROM g"
-ORACLE["codon_translation"] = f"WITH {DOCS}, {PROTEINS} SELECT doc_id, seq AS protein FROM prot"
+ORACLE["kgrams"] = f"WITH {BENCH}, {grams('g', 'bench', 'item_id', MARKOV_ORDER)} SELECT * FROM g"
+ORACLE["translate_codons"] = f"WITH {DOCS}, {PROTEINS} SELECT doc_id, seq AS protein FROM prot"
 
 
 def frequencies(name: str, source: str, alphabet: str) -> str:
@@ -220,11 +220,11 @@ ORACLE["markov_score_protein"] = (
 
 # --- headers ----------------------------------------------------------------------------
 
-ORACLE["orf_headers"] = """SELECT o_orderkey, 'orf' || o_orderkey AS name, o_orderkey AS length, o_custkey AS "start",
+ORACLE["parse_orf_header"] = """SELECT o_orderkey, 'orf' || o_orderkey AS name, o_orderkey AS length, o_custkey AS "start",
   CASE WHEN o_orderkey % 2 = 0 THEN '<-' ELSE '->' END AS strand,
   CASE WHEN o_orderstatus = 'F' THEN '3e-' || o_custkey ELSE 'none' END AS orth_eval,
   o_orderpriority AS description FROM orders"""
-ORACLE["protein_headers"] = """SELECT p_partkey, 'P' || p_partkey AS accession, p_name AS description,
+ORACLE["parse_protein_header"] = """SELECT p_partkey, 'P' || p_partkey AS accession, p_name AS description,
   replace(p_brand, '#', 'g') AS gene FROM part"""
 
 # --- position weights -------------------------------------------------------------------
@@ -416,7 +416,7 @@ ORACLE["read_matrix"] = """SELECT vec_id, (i - 1)::INTEGER AS sample, round(embe
 TRACKED = "tr AS (SELECT event_id AS gene, (user_id % 7)::INTEGER AS chr, value FROM events)"
 ORACLE["read_tracking"] = f"WITH {TRACKED} SELECT * FROM tr"
 ORACLE["tracking_profile"] = f"WITH {TRACKED} {profile('chr', 'gene', 'gene', 'tr')}"
-ORACLE["read_blastn_queries"] = """SELECT DISTINCT 'q' || c_custkey AS query_name,
+ORACLE["read_blastn_report"] = """SELECT DISTINCT 'q' || c_custkey AS query_name,
   replace(c_name, '#', ' ') || ' second line' AS query_description, c_custkey * 3 AS query_length,
   o_orderkey IS NULL AS no_hits FROM customer LEFT JOIN orders ON o_custkey = c_custkey"""
 ORACLE["read_blastn_subjects"] = """SELECT 'q' || o_custkey AS query_name,
@@ -429,7 +429,7 @@ EVENT_HITS = """eh AS (SELECT 'VCU' || user_id || 'contig' || user_id AS contig,
     (event_id % 900 + 50)::INTEGER AS bits,
     (event_id % 9 + 1) || 'e-' || lpad((event_id % 190)::VARCHAR, 3, '0') AS evalue FROM events),
   big AS (SELECT * FROM eh WHERE bits >= 100)"""
-ORACLE["read_blastp_summary"] = f"WITH {EVENT_HITS} SELECT contig, gene, bits, evalue FROM big"
+ORACLE["read_blastp_report"] = f"WITH {EVENT_HITS} SELECT contig, gene, bits, evalue FROM big"
 ORACLE["read_blastp_descriptions"] = """SELECT event_type AS gene,
   event_type || ' kind ofprotein ' || event_id % 10 AS description, count(*) AS n FROM events GROUP BY 1, 2"""
 ORACLE["report_best_hits"] = f"""WITH {EVENT_HITS},

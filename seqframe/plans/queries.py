@@ -30,9 +30,16 @@ PSSM_INFORMATION, PSSM_ABOVE = 1.0, 4.0
 SIMILAR = 0.3
 
 
+def query_as(name: str) -> Callable[[Query], Query]:
+    def register(fn: Query) -> Query:
+        QUERIES[name] = fn
+        return fn
+
+    return register
+
+
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+    return query_as(fn.__name__)(fn)
 
 
 def rounded(name: str, digits: int = 6) -> Column:
@@ -165,12 +172,12 @@ def extract_hits_complemented(spark, d):
 
 # --- k-grams and Markov models ----------------------------------------------------------
 
-@query
+@query_as("kgrams")
 def kgram_rows(spark, d):
     return kgrams.kgrams(views.benchmark_dna(spark, d), ["item_id"], "seq", MARKOV_ORDER)
 
 
-@query
+@query_as("translate_codons")
 def codon_translation(spark, d):
     return views.document_proteins(spark, d).select("doc_id", F.col("seq").alias("protein"))
 
@@ -231,7 +238,7 @@ def dump_model(spark, d):
 
 # --- headers ----------------------------------------------------------------------------
 
-@query
+@query_as("parse_orf_header")
 def orf_headers(spark, d):
     key = F.col("o_orderkey").cast("string")
     place = F.col("o_custkey").cast("string")
@@ -245,7 +252,7 @@ def orf_headers(spark, d):
         "o_orderkey", "h.*")
 
 
-@query
+@query_as("parse_protein_header")
 def protein_headers(spark, d):
     header = F.concat(F.lit("tr|P"), F.col("p_partkey").cast("string"), F.lit("|P_X "), F.col("p_name"),
                       F.lit(" OS="), F.col("p_type"), F.lit(" GN="), F.translate("p_brand", "#", "g"),
@@ -434,7 +441,7 @@ def read_fasta_first(spark, d):
     return sources.first_record(sources.read_fasta(spark, f"{path}/*")).select("header", "seq")
 
 
-@query
+@query_as("write_fasta")
 def write_interval_fasta(spark, d):
     path = scratch_path(spark, "intervals")
     sinks.write_fasta(extract_intervals(spark, d), path, text_sinks.interval_header(), "fragment")
@@ -527,7 +534,7 @@ def write_nucleotide_report(spark, d):
     return path
 
 
-@query
+@query_as("read_blastn_report")
 def read_blastn_queries(spark, d):
     queries, _ = sources.read_blastn_report(spark, write_nucleotide_report(spark, d))
     return queries.select("query_name", "query_description", "query_length", "no_hits").distinct()
@@ -575,7 +582,7 @@ def write_protein_report(spark, d):
     return path
 
 
-@query
+@query_as("read_blastp_report")
 def read_blastp_summary(spark, d):
     rows = sources.blastp_summary(spark, write_protein_report(spark, d))
     return hits.high_scoring(rows, F.col("bits")).select("contig", "gene", "bits", "evalue")

@@ -89,12 +89,12 @@ def test_codons(spark):
 
 def test_headers(spark):
     df = spark.createDataFrame([
-        ("ssl1234 (555 nt) <-123456 ORTH:3e-30 Protein kinase",), ("sll1 (12 nuc) 77->  elongation factor",)], "h string")
+        ("orf77 (555 nt) <-98765 ORTH:3e-30 some enzyme",), ("orf1 (12 nuc) 77->  some factor",)], "h string")
     assert [tuple(r[0]) for r in df.select(orf_header(F.col("h"))).collect()] == [
-        ("ssl1234", 555, 123456, "<-", "3e-30", "Protein kinase"),
-        ("sll1", 12, 77, "->", "none", "elongation factor")]
-    df = spark.createDataFrame([("tr|F1|F1_X Spore coat protein OS=Some sp. GN=spsC PE=3 SV=1",)], "h string")
-    assert tuple(df.select(protein_header(F.col("h"))).first()[0]) == ("F1", "Spore coat protein", "spsC")
+        ("orf77", 555, 98765, "<-", "3e-30", "some enzyme"),
+        ("orf1", 12, 77, "->", "none", "some factor")]
+    df = spark.createDataFrame([("tr|F1|F1_X Coat protein OS=Some sp. GN=abcD PE=3 SV=1",)], "h string")
+    assert tuple(df.select(protein_header(F.col("h"))).first()[0]) == ("F1", "Coat protein", "abcD")
 
 
 def test_evalues_and_pearson(spark):

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import cut_lineage
 from .pieces import write_pieces
 
 
@@ -82,15 +83,19 @@ def write_scores(df: DataFrame, score: str, fields: list[str], path: str,
 def write_query_hits(queries: DataFrame, subjects: DataFrame, path: str) -> None:
     """One comma-joined line per query of a report, four fields per subject, in report order."""
     nothing = F.lit(None).cast(subjects.schema["subject"].dataType)
-    head = queries.select("file", "query", nothing.alias("subject"), F.concat(F.concat_ws(
-        ",", "query_name", "query_description", F.col("query_length").cast("string"))).alias("value"))
-    tail = subjects.select("file", "query", "subject", F.concat(F.lit(","), F.concat_ws(
-        ",", "name", "description", F.col("length").cast("string"), "expect")).alias("value"))
-    end = queries.select("file", "query", F.col("query").alias("subject"), F.lit("\n").alias("value"))
-    # the end of a line sorts after all subjects
-    rows = head.withColumn("_part", F.lit(0)).unionByName(tail.withColumn("_part", F.lit(1))) \
-        .unionByName(end.withColumn("_part", F.lit(2)))
-    write_pieces(rows.orderBy("file", "query", "_part", "subject").select("value"), path)
+    opening = F.concat_ws(",", "query_name", "query_description", F.col("query_length").cast("string"))
+
+    def part(number: int, subject: Column, value: Column) -> Column:
+        return F.struct(F.lit(number).alias("part"), subject.alias("subject"), value.alias("value"))
+
+    # a line opens before its subjects and ends after them
+    ends = queries.select("file", "query", F.inline(F.array(
+        part(0, nothing, opening), part(2, nothing, F.lit("\n")))))
+    fields = F.concat_ws(",", "name", "description", F.col("length").cast("string"), "expect")
+    hits = subjects.select("file", "query", F.lit(1).alias("part"), "subject",
+                           F.concat(F.lit(","), fields).alias("value"))
+    rows = cut_lineage(ends.unionByName(hits), "report")  # a range sort reads its input twice
+    write_pieces(rows.orderBy("file", "query", "part", "subject").select("value"), path)
 
 
 def write_multi_contig(rows: DataFrame, path: str) -> None:

@@ -15,7 +15,8 @@ def fill_forward(df: DataFrame, values: str | list[str], group: str, order: str,
                  bucket: Column) -> DataFrame:
     """Each of ``values`` replaced by the last non-null one at or before the row in its group."""
     names = [values] if isinstance(values, str) else values
-    inside = Window.partitionBy(group, "_bucket").orderBy(order)
+    inside = Window.partitionBy(group, "_bucket").orderBy(order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
     across = Window.partitionBy(group).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1)
     rows = df.withColumn("_bucket", bucket)

@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import scratch_path, task_count
 
 #: Bytes of text in a block, and of text whose keys go to one bucket.
-BLOCK_BYTES = 12 << 20
-BUCKET_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
+BUCKET_BYTES = 10 << 20
 
 SENT = "bucket int, block string, payload binary"
 
@@ -170,3 +170,42 @@ def batches(frames: Iterator[pd.DataFrame], name: str, limit: int = BLOCK_BYTES
                 number, size, ids, texts = number + 1, 0, [], []
     if ids:
         yield f"{name}/{part:06d}-{number:06d}", ids, texts
+
+
+class Writer:
+    """A file of the shared folder written piece by piece; it gets its name when it is whole."""
+
+    def __init__(self, uri: str) -> None:
+        self.files, self.path = _open(uri)
+        self.files.create_dir(self.path.rpartition("/")[0], recursive=True)
+        self.part, self.size = f"{self.path}.{uuid.uuid4().hex}", 0
+        self.out = self.files.open_output_stream(self.part)
+
+    def write(self, data: bytes) -> tuple[int, int]:
+        """Append; returns offset and length."""
+        self.out.write(data)
+        self.size += len(data)
+        return self.size - len(data), len(data)
+
+    def close(self) -> None:
+        self.out.close()
+        self.files.move(self.part, self.path)
+
+
+class Reader:
+    """Range reads of one file; a range that goes on where the last one ended is read ahead."""
+
+    def __init__(self, uri: str, ahead: int = 1 << 20) -> None:
+        files, path = _open(uri)
+        self.file, self.ahead, self.at, self.held = files.open_input_file(path), ahead, 0, b""
+
+    def read(self, offset: int, length: int) -> bytes:
+        if not self.at <= offset <= offset + length <= self.at + len(self.held):
+            more = self.ahead if offset == self.at + len(self.held) or self.held == b"" else 0
+            if self.at <= offset < self.at + len(self.held):
+                more = self.ahead
+            self.at, self.held = offset, self.file.read_at(max(length, more), offset)
+        return self.held[offset - self.at:offset - self.at + length]
+
+    def close(self) -> None:
+        self.file.close()

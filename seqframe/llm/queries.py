@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import radix
+from . import compression, crossparse, decontaminate, packing, radix, simhash, topk, warc
+from .blocks import folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,6 +27,54 @@ def remainder(key: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % n
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query
+def op1_warc_index(spark, d):
+    pages = table(spark, d, "pages")
+    archives = warc.write(pages, folder(spark, "warc"))
+    found = warc.read(archives, pages.select("page_id", "url"), payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+ORACLE["op1_warc_index"] = """
+WITH p AS (
+  SELECT page_id, url, coalesce(html, '') AS t, sha256(coalesce(html, '')) AS digest,
+         strlen(coalesce(html, '')) AS n
+  FROM pages),
+f AS (SELECT digest, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY digest)
+SELECT page_id, n::BIGINT AS payload_bytes, p.digest AS payload_digest,
+       CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to, url
+FROM p LEFT JOIN f ON p.digest = f.digest
+"""
+
+
+@query
+def op3_cross_parsing(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    model = crossparse.fit(docs.filter(remainder("doc_id", 5) != 0))
+    keep = [F.col("doc_id"), (remainder("doc_id", 5) == 0).alias("held_out")]
+    return crossparse.predict(docs, model, keep)
+
+
+@query
+def op4_compression_quality(spark, d):
+    docs, labels = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "labels")
+    model = compression.fit(docs, labels.filter(remainder("doc_id", 4) != 2))
+    scored = compression.score(docs, model, [F.col("doc_id"), (remainder("doc_id", 4) == 2).alias("held_out")])
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query
+def op5_packing(spark, d):
+    return packing.packed(table(spark, d, "documents"), tokenizer_path(), keep_ids=False).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 @query
 def op7_suffix_repeats(spark, d):
     spans = radix.repeated_spans(table(spark, d, "documents"))
@@ -34,3 +83,62 @@ def op7_suffix_repeats(spark, d):
     return spans.select("doc_id", "n_bytes", removed.alias("n_removed"),
                         F.size("starts").cast("long").alias("n_spans"),
                         F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op8_simhash_components(spark, d):
+    found = simhash.near_copies(table(spark, d, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op9_decontamination(spark, d):
+    found = decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+ORACLE["op9_decontamination"] = """
+WITH low AS (
+  SELECT 'd' AS side, doc_id AS id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+  UNION ALL
+  SELECT 'b', item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+w AS (
+  SELECT side, id, coalesce(regexp_extract_all(t, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS words FROM low),
+windows AS (
+  SELECT DISTINCT id AS item, least(13, len(words)) AS n,
+         array_to_string(words[i:i + least(13, len(words)) - 1], ' ') AS win
+  FROM (SELECT *, unnest(range(1, greatest(1, len(words) - 12) + 1)) AS i FROM w WHERE side = 'b' AND len(words) > 0)),
+lengths AS (SELECT DISTINCT n FROM windows),
+places AS (
+  SELECT id, n, i, array_to_string(words[i:i + n - 1], ' ') AS win
+  FROM (SELECT id, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM w, lengths WHERE side = 'd' AND len(words) >= n)),
+found AS (SELECT p.id, p.i, p.n, item FROM places p JOIN windows v ON p.n = v.n AND p.win = v.win),
+hit AS (SELECT id, count(DISTINCT k) AS n_hit FROM (SELECT id, unnest(range(i, i + n)) AS k FROM found) GROUP BY id),
+items AS (
+  SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+  FROM (SELECT DISTINCT id, item::VARCHAR AS item FROM found) GROUP BY id)
+SELECT w.id AS doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(list, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM w LEFT JOIN hit ON w.id = hit.id LEFT JOIN items ON w.id = items.id WHERE side = 'd'
+"""
+
+
+@query
+def op10_top_k(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), topk.quantized("embedding").alias("vec"))
+    return topk.top_k(rows, rows.filter(F.col("id") % 20 == 0), 20)
+
+
+ORACLE["op10_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+"""

@@ -72,7 +72,7 @@ def _rarity(texts: DataFrame, vocabularies: list[str]) -> DataFrame:
                 for t in f["text"].iloc[at:at + ROWS]:
                     seen.update(words_of(t))
                 wanted = set().union(*(_words(u) & seen.keys() for u in vocabularies))
-                yield pd.DataFrame({"word": list(wanted), "n": [seen[w] for w in wanted]})
+                yield pd.DataFrame([(w, seen[w]) for w in wanted], columns=["word", "n"])
 
     counted = texts.mapInPandas(count, "word binary, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))

@@ -271,7 +271,7 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text
         name = rows["block"].iloc[0]
         state, holder = _joined(rows)
         if not (state & 2).any():
-            return pd.DataFrame({"bucket": [], "block": [], "payload": []})
+            return pd.DataFrame(columns=["bucket", "block", "payload"])
         block = _Block.load(name, width)
         *_, keys, low = _distinct_windows(block, _dirty(block, state, holder))
         return B.sends(name, keys, [low], buckets)

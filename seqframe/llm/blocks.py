@@ -33,6 +33,21 @@ BUCKET_BYTES = 10 << 20
 SENT = "bucket int, block string, payload binary"
 
 
+#: Bytes of a batch that Spark hands to Python.
+BATCH_BYTES = 2 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Spark cut batches for Python by bytes: texts may be long, and 10,000 of them too much at once.
+
+    The setting of the session is lowered, never raised.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(name, None) or f"{64 << 20}").lower().rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     if uri.startswith("file:") and not uri.startswith("file://"):
         uri = "file://" + uri[5:]
@@ -121,25 +136,23 @@ def sends(block: str, keys: np.ndarray, values: list[np.ndarray], buckets: int)
     return pd.DataFrame(rows, columns=["bucket", "block", "payload"])
 
 
-def exchange(sent: DataFrame, merge: Callable) -> DataFrame:
+def exchange(sent: DataFrame, merge: Callable, cut: Callable = list) -> DataFrame:
     """Answers of the buckets to the blocks, in the columns of ``SENT``.
 
-    ``merge(keys, block_of, *values)`` sees the entries of one bucket, ``block_of`` numbering the
-    blocks, and returns for each block an array list, as a list in that numbering (None: no answer),
-    or that list and an iterable of extra ``(block name, arrays)`` answers.
+    ``merge(keys, *values)`` sees the entries of one bucket, block after block, and returns an answer
+    per entry: a list of arrays as long as ``keys``, or what ``cut`` makes of it for the entries of a
+    block, and a list of extra ``(block name, arrays)`` answers.
     """
     def reduce(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("block")
         parts = [unpack(p) for p in rows["payload"]]
-        block_of = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p[0]) for p in parts])
+        ends = np.cumsum([0, *(len(p[0]) for p in parts)])
         keys = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
         values = [np.concatenate([p[i] for p in parts]) for i in range(1, len(parts[0]))]
-        names = list(rows["block"])
-        bucket = int(rows["bucket"].iloc[0])
+        names, bucket = list(rows["block"]), int(rows["bucket"].iloc[0])
         del parts, rows
-        answers = merge(keys, block_of, *values)
-        answers, more = answers if isinstance(answers, tuple) else (answers, ())
-        out = [(bucket, n, pack(*a)) for n, a in zip(names, answers) if a is not None]
+        answers, more = merge(keys, *values)
+        out = [(bucket, n, pack(*cut([x[a:b] for x in answers]))) for n, a, b in zip(names, ends, ends[1:])]
         out += [(bucket, n, pack(*a)) for n, a in more]
         return pd.DataFrame(out, columns=["bucket", "block", "payload"])
 
@@ -153,14 +166,18 @@ def answers_of(rows: pd.DataFrame) -> list[list[np.ndarray]]:
 
 def batches(frames: Iterator[pd.DataFrame], name: str, limit: int = BLOCK_BYTES
             ) -> Iterator[tuple[str, list, list[bytes]]]:
-    """Block name, ids and UTF-8 texts (null: empty) of the rows ``(id, text)`` of one partition.
+    """Block name, ids and UTF-8 texts (null: empty) of the rows ``(id, ..., text)`` of one partition.
+
+    With columns between id and text an id is the tuple of all columns before the text.
 
     A text is never cut, so a block holds at most ``limit`` bytes and one text more.
     """
     from pyspark import TaskContext
     part, number, size, ids, texts = TaskContext.get().partitionId(), 0, 0, [], []
     for frame in frames:
-        for key, text in zip(frame.iloc[:, 0], frame.iloc[:, 1]):
+        *names, last = frame.columns
+        keys = frame[names[0]] if len(names) == 1 else zip(*(frame[n] for n in names))
+        for key, text in zip(keys, frame[last]):
             data = text.encode() if isinstance(text, str) else b""
             ids.append(key)
             texts.append(data)

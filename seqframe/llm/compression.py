@@ -16,6 +16,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
+from . import blocks as B
 
 #: The labelled sample: rows per label for the dictionaries and for the curve, and the longest row.
 DICTIONARY_ROWS, CURVE_ROWS, ROW_BYTES = 400, 1200, 65_536
@@ -135,6 +136,7 @@ def score(docs: DataFrame, model: Model, keep: list[str | Column], text: str = "
     """
     rows = docs.select(*keep, F.col(text).cast("string").alias("_text"))
     out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_text").schema] + ["score double"])
+    B.bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
+from . import blocks as B
 
 #: The labelled sample: letters of a language's automaton, letters of all automata together, rows
 #: taken of a language, and the longest row taken while a language has shorter ones.
@@ -123,7 +124,7 @@ class Model:
     def build(self) -> Model:
         if not hasattr(self, "table"):
             self.letters = _Letters(self.frequent)
-            parts, roots, bits, base = [], [], [], 0
+            parts, roots, bits, base = [np.full((1, self.letters.size), -1)], [], [], 1  # state 0 follows nothing
             for text in self.texts.values():
                 codes = self.letters.codes(text)
                 part = _automaton(codes, self.letters.size)
@@ -151,15 +152,15 @@ class Model:
         at, left = at[order], left[order]
         alive = np.searchsorted(-left, -np.arange(1, left[0] + 1), "right") if len(left) else []
         size = self.letters.size
-        state = np.repeat(self.roots[:, None], len(at), axis=1)
-        found = np.ones((len(self.roots), len(at)), np.int64)
+        state = np.zeros((len(self.roots), len(at)), np.int32)
+        found = np.zeros((len(self.roots), len(at)), np.int64)
         for step, n in enumerate(alive):
             c = codes[at[:n] + step]
             to = self.table[state[:, :n] * size + c]
             cut = to < 0
             again = self.table[self.roots[:, None] * size + c[None, :]]
-            again = np.where(again < 0, self.roots[:, None], again)
-            state[:, :n] = np.where(cut, again, to)
+            # a letter that the labelled text lacks is a phrase of its own
+            state[:, :n] = np.where(cut, np.maximum(again, 0), to)
             found[:, :n] += cut
         total = np.zeros((len(self.roots), len(sizes)), np.int64)
         for row, f in zip(total, found):
@@ -201,6 +202,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str | Column], text: str =
     rows = docs.select(*keep, F.col(text).cast("string").alias("_text"))
     plain = rows.drop("_text")
     out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema] + ["lang_pred string", "score double"])
+    B.bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -134,6 +134,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     ignored. An empty benchmark contaminates nothing.
     """
     spark = docs.sparkSession
+    B.bounded_batches(spark)
     home = B.folder(spark, "benchmark")
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     items = benchmark.select(F.coalesce(F.col(item_column).cast("string"), F.lit("")).alias("item"),

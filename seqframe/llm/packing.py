@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut_lineage, task_count
+from . import blocks as B
 
 #: Words whose ids a worker remembers; rows tokenized at a time.
 CACHE_WORDS, ROWS = 300_000, 500
@@ -69,6 +70,7 @@ def token_pieces(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
                 yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
+    B.bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInPandas(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
                             + ", ids array<int>" * keep_ids)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import compression, crossparse, decontaminate, packing, radix, simhash, topk, warc
+from . import compression, crossparse, decontaminate, interpolation, packing, radix, simhash, template, topk, warc
 from .blocks import folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,14 @@ FROM p LEFT JOIN f ON p.digest = f.digest
 """
 
 
+@query
+def op2_deleted_interpolation(spark, d):
+    fold = remainder("doc_id", 7)
+    scored = interpolation.score(table(spark, d, "documents"), fold != 2, fold == 3)
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")
+
+
 @query
 def op3_cross_parsing(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", "lang")
@@ -75,6 +83,11 @@ def op5_packing(spark, d):
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+@query
+def op6_template_text(spark, d):
+    return template.extract(table(spark, d, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 @query
 def op7_suffix_repeats(spark, d):
     spans = radix.repeated_spans(table(spark, d, "documents"))

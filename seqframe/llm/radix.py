@@ -29,7 +29,7 @@ from ..session import cut_lineage
 from . import blocks as B
 
 #: Bytes hashed at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _R = 0xD6E8FEB86659FD93
@@ -175,7 +175,7 @@ class _Block:
         return (*(np.concatenate(x) for x in zip(*runs)), np.concatenate(keys))
 
 
-def _merge_runs(keys, block_of, contents, low, several):
+def _merge_runs(keys, contents, low, several):
     """Digit 2. For each entry: 1 if a document of the block repeats a run of an earlier one,
     2 if the block holds the first copy of a run and the anchor has other runs; and the first holders."""
     low = low.astype(np.int64)
@@ -196,14 +196,10 @@ def _merge_runs(keys, block_of, contents, low, several):
         unlike = np.add.reduceat(new_s.astype(np.int64), begin_a) > 1
         state[order] = ((doc > first) | more) + 2 * ((doc == first) & (repeated & unlike)[of_a])
         holder[order] = first
-    blocks = int(block_of[-1]) + 1 if len(block_of) else 0
-    out = []
-    for i, (x, y) in enumerate(zip(*(np.searchsorted(block_of, np.arange(blocks), side) for side in ("left", "right")))):
-        out.append([state[x:y], holder[x:y][state[x:y] > 0]])
-    return out
+    return [state, holder], []
 
 
-def _merge_windows(keys, block_of, low):
+def _merge_windows(keys, low):
     """Digit 3. For each entry: 1 if an earlier document than the block's holds it; and the first holders."""
     low = low.astype(np.int64)
     order = np.argsort(keys, kind="stable")
@@ -214,10 +210,12 @@ def _merge_windows(keys, block_of, low):
     if len(k):
         first[order] = np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1]
     late = (first < low).astype(np.uint8)
-    blocks = int(block_of[-1]) + 1 if len(block_of) else 0
-    ends = np.searchsorted(block_of, np.arange(blocks), "right")
-    begins = np.searchsorted(block_of, np.arange(blocks), "left")
-    return [[late[x:y], first[x:y][late[x:y] > 0]] for x, y in zip(begins, ends)]
+    return [late, first], []
+
+
+def _flagged(answer: list[np.ndarray]) -> list[np.ndarray]:
+    """Holders only where the state says something."""
+    return [answer[0], answer[1][answer[0] > 0]]
 
 
 def _joined(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -256,6 +254,7 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     if not 8 <= width:
         raise ValueError("width: 8 bytes at least")
     spark = docs.sparkSession
+    B.bounded_batches(spark)
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     buckets = B.bucket_count(docs)
     home = B.folder(spark, "repeats")
@@ -315,8 +314,9 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text
         return pd.DataFrame(out, columns=["doc_id", "n_bytes", "starts", "ends", "kept"]).astype(
             {"doc_id": "Int64"})
 
-    runs = cut_lineage(B.exchange(docs.mapInPandas(first_pass, B.SENT), _merge_runs), "runs")
+    runs = cut_lineage(B.exchange(docs.mapInPandas(first_pass, B.SENT), _merge_runs, _flagged), "runs")
     borders = cut_lineage(
-        B.exchange(runs.groupBy("block").applyInPandas(border_pass, B.SENT), _merge_windows), "borders")
+        B.exchange(runs.groupBy("block").applyInPandas(border_pass, B.SENT), _merge_windows, _flagged),
+        "borders")
     both = runs.withColumn("late", F.lit(False)).unionByName(borders.withColumn("late", F.lit(True)))
     return both.groupBy("block").applyInPandas(last_pass, RESULT)

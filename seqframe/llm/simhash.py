@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage, task_count
+from . import blocks as B
 from .components import components
 
 AXES = 8
@@ -195,6 +196,7 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     before anything is compared. Repeated rows give repeated rows; ids that are null never name a
     component unless all ids of it are null. Other columns are ignored. No rows: no rows.
     """
+    B.bounded_batches(docs.sparkSession)
     prints = cut_lineage(fingerprints(docs, id_column, text, words), "fingerprints")
     classes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
     joined = components(links(classes, reach))

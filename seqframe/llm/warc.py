@@ -122,6 +122,7 @@ def write(pages: DataFrame, path: str, id_column: str = "page_id", url: str = "u
     are responses too. Other columns are ignored.
     """
     spark = pages.sparkSession
+    B.bounded_batches(spark)
 
     def archive(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -204,6 +205,7 @@ def read(archives: DataFrame, wanted: DataFrame, payload: bool = True) -> DataFr
     no rows. Digest and size of a response are those of the payload read, and must agree with its header.
     """
     spark = wanted.sparkSession
+    B.bounded_batches(spark)
     # one short row per archive, and as many archives as shuffle partitions
     top = sorted((r["key"].encode(), r["number"], r["archive"], r["key"]) for r in archives.collect())
     top = [(a, k, n) for _, n, a, k in top]

@@ -207,11 +207,11 @@ def page(i, body, host="a.example"):
 
 
 def test_extraction(spark):
-    pages = [page(i, f"<article><h1>Title&amp;{i}</h1><p>One <b>bo</b>ld<br>two {i}<script>var x='</p>'</script></p>"
+    pages = [page(i, f"<article><h1>Title&amp;{i}</h1><p>One {i} <b>bo</b>ld<br>two {i}<script>var x='</p>'</script></p>"
                      f"<p>Follow us today</p><!-- hidden --><p>Last\n\t {i} &lt;tag&gt;</p>"
                      f"<section class='comments'><p>Nice!</p></section></article><aside>Side {i}</aside>") for i in range(8)]
     got = {r.page_id: r.text for r in extract(spark, pages)}
-    assert got == {i: f"Title&{i} One bold two {i} Last {i} <tag>" for i in range(8)}
+    assert got == {i: f"Title&{i} One {i} bold two {i} Last {i} <tag>" for i in range(8)}
 
 
 def test_extraction_without_articles(spark):

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import zstandard
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path, task_count
 
@@ -30,6 +30,9 @@ from ..session import scratch_path, task_count
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 10 << 20
 
+#: Stands for a null id in Python, where a null would make an inexact float of every id of its batch.
+NO_ID = -(1 << 63)
+
 SENT = "bucket int, block string, payload binary"
 
 
@@ -111,6 +114,16 @@ def smallest(values: np.ndarray) -> np.ndarray:
                               if top <= np.iinfo(t).max))
 
 
+def numbered(column: str) -> Column:
+    """A column of ids for Python, without nulls."""
+    return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
+
+
+def renamed(column: str) -> Column:
+    """Ids that come from Python, nulls again."""
+    return F.nullif(F.col(column), F.lit(NO_ID))
+
+
 def bucket_count(docs: DataFrame, column: str = "text") -> int:
     """Buckets of bounded size for the keys of a text column: they grow with its bytes."""
     size = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0

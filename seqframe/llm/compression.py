@@ -11,7 +11,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -139,9 +139,11 @@ def score(docs: DataFrame, model: Model, keep: list[str | Column], text: str = "
     B.bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            texts = [t if isinstance(t, str) else None for t in f["_text"]]
-            yield f.drop(columns="_text").assign(score=held.value.score(texts))
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            score = held.value.score(texts)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())],
+                                             [*batch.schema.names[:-1], "score"])
 
-    return rows.mapInPandas(judge, out)
+    return rows.mapInArrow(judge, out)

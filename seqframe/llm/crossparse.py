@@ -16,7 +16,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
@@ -28,7 +28,6 @@ LANGUAGE_LETTERS, ALL_LETTERS, SAMPLE_ROWS, ROW_LETTERS = 24_000, 240_000, 128,
 #: Letters with an own code; rarer ones share 32.
 OWN_CODES = 120
 PIECE = 2048
-ROWS = 4000
 #: Weight of a bit of difference in the score.
 SHARPNESS = 0.1
 UNKNOWN = "und"
@@ -205,11 +204,12 @@ def predict(docs: DataFrame, model: Model, keep: list[str | Column], text: str =
     B.bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for at in range(0, len(f), ROWS):
-                part = f.iloc[at:at + ROWS]
-                names, score = held.value.predict([t if isinstance(t, str) else None for t in part["_text"]])
-                yield part.drop(columns="_text").assign(lang_pred=names, score=score)
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            names, score = held.value.predict(texts)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(score, pa.float64())],
+                [*batch.schema.names[:-1], "lang_pred", "score"])
 
-    return rows.mapInPandas(judge, out)
+    return rows.mapInArrow(judge, out)

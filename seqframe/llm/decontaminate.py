@@ -136,7 +136,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     spark = docs.sparkSession
     B.bounded_batches(spark)
     home = B.folder(spark, "benchmark")
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    texts = docs.select(B.numbered(id_column).alias("doc_id"), F.col(text).cast("string").alias("text"))
     items = benchmark.select(F.coalesce(F.col(item_column).cast("string"), F.lit("")).alias("item"),
                              F.col(item_text).cast("string").alias("text")).filter("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -162,8 +162,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
                         _hits(w, places, windows, h, s)
                 n_hit = [int(h.sum()) for h in hits]
                 yield pd.DataFrame({
-                    "doc_id": part["doc_id"].astype("Int64").to_numpy(), "n_words": [len(w) for w in split],
+                    "doc_id": part["doc_id"].to_numpy(), "n_words": [len(w) for w in split],
                     "n_hit": n_hit, "items": [sorted(s) for s in found],
                     "contaminated": [h > 0 and per * h >= len(w) for h, w in zip(n_hit, split)]})
 
-    return texts.mapInPandas(judge, RESULT)
+    return texts.mapInPandas(judge, RESULT).withColumn("doc_id", B.renamed("doc_id"))

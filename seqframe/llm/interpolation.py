@@ -192,14 +192,14 @@ def score(docs: DataFrame, training: Column, held: Column, id_column: str = "doc
     spark = docs.sparkSession
     B.bounded_batches(spark)
     kind = F.when(F.coalesce(training, F.lit(False)), F.when(F.coalesce(held, F.lit(False)), 2).otherwise(1)).otherwise(0)
-    docs = docs.select(F.col(id_column).cast("long").alias("id"), kind.alias("kind"),
+    docs = docs.select(B.numbered(id_column).alias("id"), kind.alias("kind"),
                        F.col(text).cast("string").alias("text"))
     buckets = B.bucket_count(docs)
     home = B.folder(spark, "interpolation")
 
     def send(frames):
         for name, keys, texts in B.batches(frames, home):
-            block = _Block([None if pd.isna(i) else int(i) for i, _ in keys],
+            block = _Block([None if i == B.NO_ID else int(i) for i, _ in keys],
                            np.array([k for _, k in keys], np.int8), texts)
             block.save(name)
             for kind, keys, place in (("word", block.words, block.tokens), ("pair", block.pairs, block.pair)):

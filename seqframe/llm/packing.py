@@ -65,15 +65,15 @@ def token_pieces(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2
                 for key, ids in zip(part.iloc[:, 0], token_ids(list(part.iloc[:, 1]), path, end_id)):
                     for start in range(0, len(ids), 4 * window):
                         piece = ids[start:start + 4 * window]
-                        rows.append((key, start // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4,
+                        rows.append((int(key), start // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4,
                                      *([np.frombuffer(piece, "<i4")] if keep_ids else [])))
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
-                yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(rows, columns=names)
 
     B.bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(B.numbered(id_column).alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInPandas(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-                            + ", ids array<int>" * keep_ids)
+                            + ", ids array<int>" * keep_ids).withColumn("doc_id", B.renamed("doc_id"))
 
 
 def _combinations(lengths: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,6 +171,7 @@ def pack(pieces: DataFrame, window: int = 4096) -> DataFrame:
 
     # numbers among equals in two levels, so that a length that many pieces share is not one group
     parts = task_count(spark)
+    pieces = pieces.withColumn("doc_id", B.numbered("doc_id"))
     rows = pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts)).cast("int"))
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (rows.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n"))
@@ -195,7 +196,7 @@ def pack(pieces: DataFrame, window: int = 4096) -> DataFrame:
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     return numbered.select(*pieces.columns, "_rank").mapInPandas(
-        deal, f"{names}, sequence_id long, offset long")
+        deal, f"{names}, sequence_id long, offset long").withColumn("doc_id", B.renamed("doc_id"))
 
 
 def packed(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2, id_column: str = "doc_id",

@@ -119,8 +119,8 @@ class _Chunk:
 class _Block:
     """The runs of a block's texts, as distinct (anchor, run) entries in order."""
 
-    def __init__(self, ids: np.ndarray, texts: list[bytes], width: int) -> None:
-        self.ids, self.texts, self.width = ids, texts, width
+    def __init__(self, ids: np.ndarray, texts: list[bytes], width: int, rest: list[tuple] | None = None) -> None:
+        self.ids, self.texts, self.width, self.rest = ids, texts, width, rest or [()] * len(texts)
         self.chunks, found, at, size, base = [], [], 0, 0, 0
         for i, t in enumerate([*texts, None]):
             if t is None or size and size + len(t) > CHUNK:
@@ -150,13 +150,13 @@ class _Block:
 
     def save(self, uri: str) -> None:
         data = zstandard.ZstdCompressor(level=3).compress(b"".join(self.texts))
-        B.put(uri, pickle.dumps((self.ids, [len(t) for t in self.texts], data)))
+        B.put(uri, pickle.dumps((self.ids, [len(t) for t in self.texts], data, self.rest)))
 
     @staticmethod
     def load(uri: str, width: int) -> _Block:
-        ids, lengths, data = pickle.loads(B.get(uri))
+        ids, lengths, data, rest = pickle.loads(B.get(uri))
         whole, ends = zstandard.ZstdDecompressor().decompress(data), np.cumsum([0, *lengths])
-        return _Block(ids, [whole[a:b] for a, b in zip(ends, ends[1:])], width)
+        return _Block(ids, [whole[a:b] for a, b in zip(ends, ends[1:])], width, rest)
 
     def border_windows(self, dirty: np.ndarray) -> tuple[np.ndarray, ...]:
         """Run and key of each window of the runs numbered ``dirty``."""
@@ -241,12 +241,13 @@ def _distinct_windows(block: _Block, dirty: np.ndarray):
 
 
 def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
-                   width: int = 50) -> DataFrame:
+                   width: int = 50, keep: list[str] | None = None) -> DataFrame:
     """What each text repeats of documents with smaller ids.
 
     A byte is removed if a ``width``-byte string that covers it also starts in a document with a
     smaller id. Strings are judged on the whole input, never across documents. Returns per row:
-    doc_id, n_bytes, starts and ends of the maximal removed runs, kept (the remaining bytes).
+    doc_id, n_bytes, starts and ends of the maximal removed runs, kept (the remaining bytes), and the
+    columns ``keep`` as strings.
 
     A null or empty text, and one shorter than ``width``, removes nothing. A null id counts as the
     largest. Rows with one id do not remove each other. Other columns are ignored. No rows: no rows.
@@ -255,14 +256,17 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text
         raise ValueError("width: 8 bytes at least")
     spark = docs.sparkSession
     B.bounded_batches(spark)
-    docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    keep = keep or []
+    docs = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(_NULL_ID)).alias("id"),
+                       *[F.col(c).cast("string").alias(f"keep_{i}") for i, c in enumerate(keep)],
+                       F.col(text).cast("string").alias("text"))
     buckets = B.bucket_count(docs)
     home = B.folder(spark, "repeats")
 
     def first_pass(frames):
         for name, ids, texts in B.batches(frames, home):
-            keys = np.array([_NULL_ID if pd.isna(i) else int(i) for i in ids], np.int64)
-            block = _Block(keys, texts, width)
+            rest = [tuple(None if pd.isna(x) else x for x in i[1:]) for i in ids] if keep else None
+            block = _Block(np.array([i[0] for i in ids] if keep else ids, np.int64), texts, width, rest)
             block.save(name)
             yield B.sends(name, block.keys, [block.contents, block.low, block.several], buckets)
 
@@ -310,8 +314,8 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text
                 kept = np.frombuffer(t, np.uint8)[~own].tobytes() if len(edges) else t
                 key = block.ids[i]
                 out.append((None if key == _NULL_ID else int(key), len(t), edges[::2].tolist(),
-                            edges[1::2].tolist(), kept))
-        return pd.DataFrame(out, columns=["doc_id", "n_bytes", "starts", "ends", "kept"]).astype(
+                            edges[1::2].tolist(), kept, *block.rest[i]))
+        return pd.DataFrame(out, columns=["doc_id", "n_bytes", "starts", "ends", "kept", *keep]).astype(
             {"doc_id": "Int64"})
 
     runs = cut_lineage(B.exchange(docs.mapInPandas(first_pass, B.SENT), _merge_runs, _flagged), "runs")
@@ -319,4 +323,4 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text
         B.exchange(runs.groupBy("block").applyInPandas(border_pass, B.SENT), _merge_windows, _flagged),
         "borders")
     both = runs.withColumn("late", F.lit(False)).unionByName(borders.withColumn("late", F.lit(True)))
-    return both.groupBy("block").applyInPandas(last_pass, RESULT)
+    return both.groupBy("block").applyInPandas(last_pass, RESULT + "".join(f", `{c}` string" for c in keep))

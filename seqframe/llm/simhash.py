@@ -61,11 +61,11 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     """``doc_id, fp`` of every row: 64 majority bits of its shingle hashes, zero without words."""
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"doc_id": f.iloc[:, 0].astype("Int64"), "fp": np.fromiter(
+            yield pd.DataFrame({"doc_id": f.iloc[:, 0], "fp": np.fromiter(
                 (_majority(shingle_hashes(t, words)) for t in f.iloc[:, 1]), np.int64, len(f))})
 
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInPandas(count, "doc_id long, fp long")
+    rows = docs.select(B.numbered(id_column).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.mapInPandas(count, "doc_id long, fp long").withColumn("doc_id", B.renamed("doc_id"))
 
 
 def segment_counts(fps: np.ndarray) -> np.ndarray:

@@ -257,7 +257,7 @@ def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", html
     B.bounded_batches(spark)
     home, files = B.folder(spark, "templates"), task_count(spark)
     host = F.pandas_udf(lambda urls: urls.map(lambda u: host_of(u if isinstance(u, str) else None)), "string")
-    rows = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"),
+    rows = pages.select(B.numbered(id_column).alias("page_id"), F.col(url).cast("string").alias("url"),
                         F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html")).withColumn("host", host("url"))
     deduce(rows.select("host", "html"), home, files).count()
     held: OrderedDict[int, dict] = OrderedDict()
@@ -280,4 +280,5 @@ def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", html
                 yield part[["page_id", "url"]].assign(text=text)
 
     placed = rows.withColumn("file", F.pmod(F.xxhash64("host"), F.lit(files)).cast("int"))
-    return placed.mapInPandas(judge, "page_id long, url string, text string")
+    return placed.mapInPandas(judge, "page_id long, url string, text string").withColumn(
+        "page_id", B.renamed("page_id"))

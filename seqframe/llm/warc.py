@@ -28,7 +28,6 @@ from . import blocks as B
 BLOCK_LINES = 512
 #: Payloads from this size on are written once; equal ones after the first are revisits.
 REVISIT_BYTES = 100
-_NO_ID = -(1 << 63)
 
 RECORDS = ("page_id long, url string, payload_bytes long, payload_digest string, record_type string, "
            "refers_to long")
@@ -109,7 +108,7 @@ def captures(pages: DataFrame, id_column: str = "page_id", url: str = "url", pay
 
 def _keyed(rows: DataFrame) -> DataFrame:
     key = F.pandas_udf(lambda urls: urls.map(lambda u: reversed_host_key(u if isinstance(u, str) else None)), "string")
-    return rows.withColumn("key", key("url")).withColumn("number", F.coalesce("page_id", F.lit(_NO_ID)))
+    return rows.withColumn("key", key("url")).withColumn("number", B.numbered("page_id"))
 
 
 def write(pages: DataFrame, path: str, id_column: str = "page_id", url: str = "url",
@@ -140,10 +139,10 @@ def write(pages: DataFrame, path: str, id_column: str = "page_id", url: str = "u
             for r in f.itertuples(index=False):
                 if out is None:
                     out, index = B.Writer(f"{name}.warc.gz"), B.Writer(f"{name}.idx")
-                own = None if r.number == _NO_ID else int(r.number)
+                own = None if r.number == B.NO_ID else int(r.number)
                 data = record(own, r.url if isinstance(r.url, str) else None, int(r.size), r.digest,
                               None if r.payload is None else bytes(r.payload),
-                              None if pd.isna(r.refers_to) else int(r.refers_to))
+                              None if r.refers_to == B.NO_ID else int(r.refers_to))
                 key = re.sub(r"[\t\n]", lambda m: f"%{ord(m[0]):02X}", r.key)
                 # equal captures stay in one block
                 if len(lines) >= BLOCK_LINES and (key, r.number) != lines[-1][:2]:
@@ -158,7 +157,7 @@ def write(pages: DataFrame, path: str, id_column: str = "page_id", url: str = "u
                                 "blocks": [len(directory)]})
 
     rows = _keyed(captures(pages, id_column, url, payload))
-    rows = rows.select("key", "number", "url", "size", "digest", "refers_to", "payload")
+    rows = rows.select("key", "number", "url", "size", "digest", B.numbered("refers_to").alias("refers_to"), "payload")
     return cut_lineage(
         rows.repartitionByRange(task_count(spark), "key", "number").sortWithinPartitions("key", "number")
         .mapInPandas(archive, "archive string, key string, number long, blocks long"), "archives")

@@ -113,7 +113,8 @@ class _Chunk:
         stop[:-1] = change[1:] | ~inside[1:]
         stop &= inside
         last = np.flatnonzero(stop)
-        return text[first], first, last, x[anchor[first]]
+        # the least hashes of windows crowd at the low end: hashed again, they spread over all buckets
+        return text[first], first, last, _mix(x[anchor[first]])
 
 
 class _Block:

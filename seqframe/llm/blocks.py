@@ -172,6 +172,11 @@ def exchange(sent: DataFrame, merge: Callable, cut: Callable = list) -> DataFram
     return sent.groupBy("bucket").applyInPandas(reduce, SENT)
 
 
+def by_block(rows: DataFrame):
+    """Answers grouped by block, over as many tasks as there are: a block is much work for few bytes."""
+    return rows.repartition(task_count(rows.sparkSession), "block").groupBy("block")
+
+
 def answers_of(rows: pd.DataFrame) -> list[list[np.ndarray]]:
     """A block's answers in the order of the buckets, which is that of its keys."""
     return [unpack(p) for p in rows.sort_values("bucket")["payload"]]

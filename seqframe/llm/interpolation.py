@@ -219,7 +219,7 @@ def score(docs: DataFrame, training: Column, held: Column, id_column: str = "doc
     sums = totals.mapInPandas(read, "n long, held long, v long, v_held long").agg(
         *[F.sum(c).alias(c) for c in ("n", "held", "v", "v_held")]).first()
     n, n_held, distinct = (int(sums[c] or 0) for c in ("n", "held", "v"))
-    by_block = answers.filter(F.col("block") != "")
+    to_blocks = answers.filter(F.col("block") != "")
 
     def cells(rows: pd.DataFrame) -> pd.DataFrame:
         own = _Answered(rows)
@@ -231,7 +231,7 @@ def score(docs: DataFrame, training: Column, held: Column, id_column: str = "doc
                              "single": code % _SIDE, "n": many})
 
     # at most BUCKETS * _SIDE ** 2 rows, in truth a few thousand: the ratios hang together
-    table = (by_block.groupBy("block").applyInPandas(cells, "bucket long, after long, single long, n long")
+    table = (B.by_block(to_blocks).applyInPandas(cells, "bucket long, after long, single long, n long")
              .groupBy("bucket", "after", "single").agg(F.sum("n").alias("n")).toPandas())
     weights = learn(table)
 
@@ -248,6 +248,6 @@ def score(docs: DataFrame, training: Column, held: Column, id_column: str = "doc
             "n_known": np.add.reduceat(known, starts), "train_tokens": n,
             "base_score": np.add.reduceat(np.log10(base), starts), "score": np.add.reduceat(mixed, starts)})
 
-    return by_block.groupBy("block").applyInPandas(
+    return B.by_block(to_blocks).applyInPandas(
         judge, "doc_id long, training boolean, n_tokens long, n_known long, train_tokens long, "
                "base_score double, score double")

@@ -321,7 +321,7 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text
 
     runs = cut_lineage(B.exchange(docs.mapInPandas(first_pass, B.SENT), _merge_runs, _flagged), "runs")
     borders = cut_lineage(
-        B.exchange(runs.groupBy("block").applyInPandas(border_pass, B.SENT), _merge_windows, _flagged),
+        B.exchange(B.by_block(runs).applyInPandas(border_pass, B.SENT), _merge_windows, _flagged),
         "borders")
     both = runs.withColumn("late", F.lit(False)).unionByName(borders.withColumn("late", F.lit(True)))
-    return both.groupBy("block").applyInPandas(last_pass, RESULT + "".join(f", `{c}` string" for c in keep))
+    return B.by_block(both).applyInPandas(last_pass, RESULT + "".join(f", `{c}` string" for c in keep))

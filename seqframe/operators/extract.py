@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import cut, first_token, strand_cut
+from ..session import cut_lineage, fits
+
+#: Rows of requests (ids and places, no text) that travel to the sequences; more are joined by shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if fits(rows, BROADCAST_ROWS) else rows
 
 
 def extract_intervals(seqs: DataFrame, requests: DataFrame, key: list[str], header: str = "header",
@@ -27,7 +35,7 @@ def extract_intervals(seqs: DataFrame, requests: DataFrame, key: list[str], head
         .filter(F.col("id").isNotNull())
         .join(wanted, "id")
     )
-    return matched.join(seqs, key).select(
+    return seqs.join(_few(cut_lineage(matched, "requests")), key).select(
         *key, "id", "start", "end", F.col(header).alias("header"),
         cut(F.col(seq), F.col("start"), F.col("end")).alias("fragment"))
 
@@ -41,7 +49,7 @@ def extract_hits(hits: DataFrame, seqs: DataFrame, file: str = "file", header: s
     """
     named = seqs.select(file, first_token(F.col(header)).alias("id"), F.col(seq).alias("_seq"))
     return (
-        hits.join(named, [file, "id"])
+        named.join(_few(hits), [file, "id"])
         .withColumn("fragment", strand_cut(F.col("_seq"), F.col("start"), F.col("end"), complemented))
         .select(file, "id", F.length("fragment").alias("length"), "start", "end", "fragment")
     )

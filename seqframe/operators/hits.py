@@ -41,14 +41,18 @@ def multi_contig_hits(hits: DataFrame, order: str, cutoff: float, more_than: int
     return pairs.join(wanted, "gene").select("gene", "n_below", "contig", "evalue")
 
 
-def query_hits(queries: DataFrame, subjects: DataFrame, on: str,
+def query_hits(queries: DataFrame, subjects: DataFrame, on: str | list[str],
                with_no_hits: bool = True) -> DataFrame:
     """Queries with one row per subject; a query without hits keeps one row of NULLs."""
-    return queries.join(subjects, on, "left" if with_no_hits else "inner")
+    found = queries.join(subjects, on)  # an inner join: a query with very many hits is split
+    if not with_no_hits:
+        return found
+    return found.unionByName(query_nohits(queries, subjects, on), allowMissingColumns=True)
 
 
-def query_nohits(queries: DataFrame, subjects: DataFrame, on: str) -> DataFrame:
-    return queries.join(subjects.select(on), on, "left_anti")
+def query_nohits(queries: DataFrame, subjects: DataFrame, on: str | list[str]) -> DataFrame:
+    keys = [on] if isinstance(on, str) else on
+    return queries.join(subjects.select(*keys).distinct(), on, "left_anti")
 
 
 def high_scoring(hits: DataFrame, bits: Column, at_least: int = 100) -> DataFrame:

@@ -70,14 +70,13 @@ def markov_score(seqs: DataFrame, key: str, seq: str, logq: DataFrame, logp: Dat
         raise ValueError(f"an alphabet has at most {ALPHABET} symbols")
     table = F.array(F.lit(0.0), *[F.lit(p) for p in background.values()])
     place = F.instr(F.lit("".join(background)), F.right(F.col("gram"), F.lit(1)))
-    scored = (
-        grams(seqs, [key], seq, order)
+    weight = F.coalesce("log_q", F.lit(unseen)) - F.element_at(table, place + 1)
+    return (
+        grams(seqs.filter(F.col(seq).isNotNull()), [key], seq, order, keep_empty=True)
         .join(weights, "gram", "left")
-        .select(key, (F.coalesce("log_q", F.lit(unseen)) - F.element_at(table, place + 1)).alias("_w"))
+        .select(key, F.when(F.col("gram").isNull(), 0.0).otherwise(weight).alias("_w"))
         .groupBy(key).agg(F.sum("_w").alias("score"))
     )
-    empty = seqs.filter(F.length(seq) == 0).select(key, F.lit(0.0).alias("score"))
-    return scored.unionByName(empty)
 
 
 def dump_model(model: DataFrame, order: int) -> DataFrame:

@@ -60,6 +60,17 @@ def running_total(df: DataFrame, value: str, group: str, order: Column, bucket:
     )
 
 
+def running_max(df: DataFrame, value: str, number: str, out: str, bucket_rows: int = 100_000) -> DataFrame:
+    """Greatest ``value`` of the rows before each row; ``number`` counts the rows from 1."""
+    before = (Window.unboundedPreceding, -1)
+    rows = df.withColumn("_bucket", F.floor((F.col(number) - 1) / bucket_rows))
+    tops = rows.groupBy("_bucket").agg(F.max(value).alias("_top"))  # one row per bucket
+    earlier = tops.select("_bucket", F.max("_top").over(Window.orderBy("_bucket").rowsBetween(*before)).alias("_earlier"))
+    inside = Window.partitionBy("_bucket").orderBy(number).rowsBetween(*before)
+    return rows.join(earlier, "_bucket").withColumn(
+        out, F.greatest(F.max(value).over(inside), F.col("_earlier"))).drop("_bucket", "_earlier")
+
+
 def number_rows(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     """Row numbers 1..n in a global order, without a global one-task window.
 

@@ -62,8 +62,12 @@ ORACLE["support_tools"] = f"WITH {SUPPORT}, {REPORT}, {TOOLS} SELECT * FROM tool
 ORACLE["write_support"] = f"""WITH {SUPPORT}, {REPORT}, {TOOLS},
   listed AS (SELECT gene, string_agg(tool || ', ', '' ORDER BY tool::VARCHAR) t FROM tools GROUP BY gene),
   txt AS (SELECT concat_ws(chr(9), "miRNA", gene, unigene, "type", tissue, chromosome, ch_start, ch_end, description) a,
-    'Tools: ' || t || chr(9) || 'Tool Count: ' || tool_count b FROM rpt JOIN listed USING (gene))
-  SELECT a AS value FROM txt UNION ALL SELECT b FROM txt UNION ALL SELECT '' FROM txt"""
+    'Tools: ' || t || chr(9) || 'Tool Count: ' || tool_count b,
+    3 * (row_number() OVER (ORDER BY tool_count DESC, gene) - 1) n FROM rpt JOIN listed USING (gene))
+  SELECT n + 1 AS line, a AS value FROM txt UNION ALL SELECT n + 2, b FROM txt UNION ALL SELECT n + 3, '' FROM txt"""
+ORACLE["write_support_rows"] = f"""WITH {SUPPORT} SELECT array_to_string([coalesce(x, '') for x in ["miRNA", refseq::VARCHAR,
+    unigene::VARCHAR, "type", tissue, chromosome, ch_start::VARCHAR, ch_end::VARCHAR, description, tool::VARCHAR]],
+    chr(9)) AS value FROM rws"""
 
 # --- profiles and statistics ------------------------------------------------------------
 
@@ -81,8 +85,10 @@ ZEROED = """(SELECT event_id, event_type, user_id, CASE WHEN value < 1 THEN 0 EL
   FROM events) z"""
 ORACLE["group_profile"] = profile("event_type", "user_id", "event_id", ZEROED)
 ORACLE["write_table"] = f"""WITH p AS ({ORACLE['group_profile']})
-  SELECT concat_ws(chr(9), event_type, n_total, n_nonzero, min_value, max_value, min_id, max_id) AS value FROM p
-  UNION ALL SELECT concat_ws(chr(9), 'event_type', 'n_total', 'n_nonzero', 'min_value', 'max_value', 'min_id', 'max_id')"""
+  SELECT 1 + row_number() OVER (ORDER BY event_type) AS line, concat_ws(chr(9), event_type, n_total, n_nonzero, min_value,
+    max_value, format('{{:.4f}}', avg_value), min_id, max_id) AS value FROM p
+  UNION ALL SELECT 1, concat_ws(chr(9), 'event_type', 'n_total', 'n_nonzero', 'min_value', 'max_value', 'avg_value',
+    'min_id', 'max_id')"""
 ORACLE["fill_forward"] = """SELECT event_id, event_type, last_value(mark IGNORE NULLS) OVER (
     PARTITION BY event_type ORDER BY event_id) AS mark
   FROM (SELECT event_id, event_type, CASE WHEN value > 50 THEN value END AS mark FROM events)"""
@@ -104,9 +110,9 @@ BOTH = f"""both_ AS (SELECT source AS file, n, total_length, min_length::INTEGER
 ORACLE["assembly_statistics"] = f"WITH {DOCS}, {STATS}, {N50}, {BOTH} SELECT * FROM both_"
 ORACLE["write_statistics"] = f"""WITH {DOCS}, {STATS}, {N50}, {BOTH}
   SELECT file, unnest(['No of Sequences = ' || n, 'Total Sequence Length = ' || total_length,
-    'GC Total = ' || gc_total, 'GC Perc = 0', 'Avg Contig Size = 0', 'Min Contig Size = ' || min_length,
-    'Max Contig Size = ' || max_length, 'Total N50 contigs = ' || n50_count, 'N50ContigSize = ' || n50,
-    'N50Avg = 0']) AS value FROM both_"""
+    'GC Total = ' || gc_total, format('GC Perc = {{:.3f}}', gc_percent), format('Avg Contig Size = {{:.3f}}', avg_length),
+    'Min Contig Size = ' || min_length, 'Max Contig Size = ' || max_length, 'Total N50 contigs = ' || n50_count,
+    'N50ContigSize = ' || n50, format('N50Avg = {{:.3f}}', n50_avg)]) AS value FROM both_"""
 
 # --- hits -------------------------------------------------------------------------------
 
@@ -115,16 +121,20 @@ ORACLE["best_hits"] = """WITH h AS (SELECT user_id AS contig, event_type AS gene
   t AS (SELECT event_type AS gene, arg_max(props, event_id) AS description FROM events
     WHERE event_type <> 'error' GROUP BY 1)
   SELECT contig, h.gene, description, evalue FROM h LEFT JOIN t USING (gene) WHERE evalue < 20"""
+ORACLE["write_best_hits"] = f"""WITH b AS ({ORACLE['best_hits']})
+  SELECT row_number() OVER (ORDER BY contig, gene) AS line,
+    array_to_string([contig::VARCHAR, gene, coalesce(description, ''), format('{{:.4f}}', evalue)], chr(9)) AS value FROM b"""
 MULTI = """m AS (SELECT event_type AS gene, count(*) FILTER (value < 5) AS n_below FROM events GROUP BY 1),
   mc AS (SELECT event_type AS gene, n_below, user_id AS contig, arg_max(value, event_id) AS evalue
     FROM events JOIN m ON event_type = gene WHERE n_below > 1 GROUP BY ALL)"""
 MULTI = MULTI.replace("GROUP BY ALL", "GROUP BY 1, 2, 3")
 ORACLE["multi_contig_hits"] = f"WITH {MULTI} SELECT * FROM mc"
-ORACLE["write_multi_contig"] = f"""WITH {MULTI}, f AS (
-    SELECT DISTINCT gene AS field, 'g' || gene AS id FROM mc
-    UNION ALL SELECT lpad(contig::VARCHAR, 5, '0'), 'c' || gene || contig FROM mc
-    UNION ALL SELECT round(evalue * 100)::BIGINT::VARCHAR, 'e' || gene || contig FROM mc)
-  SELECT field, count(*) AS n FROM f GROUP BY field"""
+ORACLE["write_multi_contig"] = f"""WITH {MULTI}, n AS (SELECT gene, lpad(contig::VARCHAR, 5, '0') AS contig,
+    format('{{:.4f}}', evalue) AS evalue, row_number() OVER (PARTITION BY gene ORDER BY lpad(contig::VARCHAR, 5, '0')) AS place FROM mc),
+  f AS (SELECT gene, 0 AS place, chr(10) || gene AS value FROM n WHERE place = 1
+    UNION ALL SELECT gene, 2 * place - 1, CASE WHEN place = 1 THEN ' ' ELSE '' END || contig FROM n
+    UNION ALL SELECT gene, 2 * place, evalue FROM n)
+  SELECT row_number() OVER (ORDER BY gene, place) AS field, value FROM f"""
 ORACLE["query_hits"] = """SELECT c_custkey AS query, c_name, c_acctbal, o_orderkey, o_totalprice
   FROM customer LEFT JOIN orders ON o_custkey = c_custkey"""
 ORACLE["query_nohits"] = """SELECT c_custkey AS query, c_name, c_acctbal FROM customer
@@ -201,7 +211,10 @@ WIDTH = MARKOV_ORDER + 1
 ORACLE["dump_model"] = f"""WITH {TRAINED}
   SELECT lpad(context || symbol, {WIDTH}, chr(1)) || repeat(' ', 12) || n AS line FROM m
   UNION ALL SELECT repeat('-', {WIDTH + 13}) || ' ' || sum(n)::BIGINT FROM m GROUP BY context"""
-ORACLE["write_dump"] = ORACLE["dump_model"].replace("AS line", "AS value")
+ORACLE["write_dump"] = f"""WITH {TRAINED}, l AS (
+    SELECT lpad(context || symbol, {WIDTH}, chr(1)) AS key, lpad(context || symbol, {WIDTH}, chr(1)) || repeat(' ', 12) || n AS value FROM m
+    UNION ALL SELECT lpad(context || chr(255), {WIDTH}, chr(1)), repeat('-', {WIDTH + 13}) || ' ' || sum(n)::BIGINT FROM m GROUP BY context)
+  SELECT row_number() OVER (ORDER BY key) AS line, value FROM l"""
 
 
 def scored(seqs: str, key: str, train: str, train_key: str, k: int, alphabet: str) -> str:
@@ -224,6 +237,8 @@ ORACLE["parse_orf_header"] = """SELECT o_orderkey, 'orf' || o_orderkey AS name,
   CASE WHEN o_orderkey % 2 = 0 THEN '<-' ELSE '->' END AS strand,
   CASE WHEN o_orderstatus = 'F' THEN '3e-' || o_custkey ELSE 'none' END AS orth_eval,
   o_orderpriority AS description FROM orders"""
+ORACLE["parse_contig_header"] = f"""WITH {DOCS} SELECT 'ctg' || doc_id % 50 AS contig, count(*) AS n,
+  sum(length(seq))::BIGINT AS total_length, sum({GC})::BIGINT AS gc_total FROM docs GROUP BY 1"""
 ORACLE["parse_protein_header"] = """SELECT p_partkey, 'P' || p_partkey AS accession, p_name AS description,
   replace(p_brand, '#', 'g') AS gene FROM part"""
 
@@ -252,7 +267,7 @@ SCAN = f"""{DOCS}, {COUNTS}, {INFO}, {ODDS}, {windows('win', 'docs', 'doc_id', 8
 ORACLE["pssm_scan"] = f'WITH {SCAN} SELECT doc_id, start, score, "window" FROM sc WHERE score > {PSSM_ABOVE}'
 TOP = f"{SCAN}, top AS (SELECT * FROM sc ORDER BY score DESC, start DESC, doc_id LIMIT 10)"
 ORACLE["pssm_top_hits"] = f'WITH {TOP} SELECT doc_id, start, score, "window" FROM top'
-ORACLE["write_hits"] = f"""WITH {TOP} SELECT format('{{:>9s}} {{:6.1f}} {{:6d}} {{}}', 'D' || doc_id, score, start, "window") AS value
+ORACLE["write_hits"] = f"""WITH {TOP} SELECT row_number() OVER (ORDER BY score DESC, start DESC, 'D' || doc_id) AS line, format('{{:>9s}} {{:6.1f}} {{:6d}} {{}}', 'D' || doc_id, score, start, "window") AS value
   FROM top"""
 
 # --- matrices ---------------------------------------------------------------------------
@@ -343,8 +358,8 @@ ALIGNED = f"""al AS (SELECT doc_id, replace(seq, 'G', '-') AS q, reverse(seq) AS
       'string_agg', '') AS bar_line,
     format('{{:<7s}} {{:7d}} {{}} {{:7d}}', 'Target:', t1, tp, t1 + length(tp) - 1) AS target_line FROM lines)"""
 ORACLE["format_alignment"] = f"WITH {DOCS}, {ALIGNED} SELECT * FROM fmt"
-ORACLE["write_alignment"] = f"""WITH {DOCS}, {ALIGNED} SELECT unnest([query_line, bar_line, target_line, '']) AS value
-  FROM fmt"""
+ORACLE["write_alignment"] = f"""WITH {DOCS}, {ALIGNED}, n AS (SELECT *, 4 * (row_number() OVER (ORDER BY doc_id, block_no) - 1) AS n FROM fmt)
+  SELECT n + i AS line, [query_line, bar_line, target_line, ''][i] AS value FROM n, range(1, 5) r(i)"""
 
 # --- similarity -------------------------------------------------------------------------
 
@@ -398,22 +413,44 @@ SINGLE = merges(EMBEDDED, MEMBERS.format("max"))
 ORACLE["linkage_single"] = f"WITH RECURSIVE {SINGLE} {TREE}"
 ORACLE["linkage_complete"] = f"WITH RECURSIVE {merges(EMBEDDED, MEMBERS.format('min'))} {TREE}"
 ORACLE["linkage_average"] = f"WITH RECURSIVE {merges(BRANDS, MEANS)} {TREE}"
+UNIT = """list_transform(list_transform({0}, lambda e: e - list_avg({0})), lambda e: e / sqrt(list_sum(list_transform(
+    {0}, lambda g: (g - list_avg({0})) * (g - list_avg({0}))))))"""
+MEAN = "list_transform(list_zip(o.xa, o.xb), lambda p: (p[1] * o.na + p[2] * o.nb) / (o.na + o.nb))"
+ORACLE["linkage_average_vectors"] = f"""WITH RECURSIVE {EMBEDDED},
+  st(step, lab, n, x, z, a, b, sim) AS (
+    SELECT 0::BIGINT, leaf, 1::BIGINT, x, {UNIT.format('x')}, 0::BIGINT, 0::BIGINT, 0::DOUBLE FROM v
+    UNION ALL
+    SELECT step + 1, lab, n, x, CASE WHEN new THEN {UNIT.format('x')} ELSE z END, a, b, sim FROM (
+      SELECT st.step, lab, lab = o.a AS new, CASE WHEN lab = o.a THEN o.na + o.nb ELSE st.n END AS n,
+        CASE WHEN lab = o.a THEN {MEAN} ELSE st.x END AS x, st.z, o.a, o.b, o.sim
+      FROM st, (SELECT p.lab AS a, q.lab AS b, p.n AS na, q.n AS nb, p.x AS xa, q.x AS xb,
+          round(list_inner_product(p.z, q.z), 12) AS sim
+        FROM st p JOIN st q ON p.lab < q.lab ORDER BY sim DESC, a, b LIMIT 1) o WHERE lab <> o.b)),
+  done AS (SELECT DISTINCT step, a, b, sim FROM st WHERE step > 0),
+  tree AS (SELECT d.step, 'NODE' || d.step AS node,
+    coalesce('NODE' || (SELECT max(e.step) FROM done e WHERE e.a = d.a AND e.step < d.step), 'GENE' || d.a) AS "left",
+    coalesce('NODE' || (SELECT max(e.step) FROM done e WHERE e.a = d.b AND e.step < d.step), 'GENE' || d.b) AS "right",
+    d.sim FROM done d) {TREE}"""
 ORACLE["leaf_order"] = f"WITH RECURSIVE {SINGLE}, {WALK} SELECT leaf, position FROM leaf_order"
 ORACLE["write_gtr"] = f"""WITH RECURSIVE {merges(BRANDS, MEMBERS.format('max'))}
-  SELECT concat_ws(chr(9), node || 'X', "left" || 'X', "right" || 'X', round(sim, 4)) AS value FROM tree"""
+  SELECT step AS line, concat_ws(chr(9), node || 'X', "left" || 'X', "right" || 'X', round(sim, 4)) AS value FROM tree"""
 ORACLE["write_cdt"] = f"""WITH RECURSIVE {merges(BRANDS, MEMBERS.format('min'))}, {WALK}
-  SELECT concat_ws(chr(9), 'GENE' || leaf || 'X', name, name, 1, array_to_string(x::VARCHAR[], chr(9))) AS value FROM v
-  UNION ALL SELECT concat_ws(chr(9), 'GID', 'CLID', 'NAME', 'GWEIGHT', {", ".join(f"'m{m}'" for m in range(1, 13))})
-  UNION ALL SELECT concat_ws(chr(9), 'EWEIGHT', '', '', '', {", ".join("1" for _ in range(12))})"""
+  SELECT position + 2 AS line, concat_ws(chr(9), 'GENE' || v.leaf || 'X', name, name, 1, array_to_string(x::VARCHAR[], chr(9))) AS value
+  FROM v JOIN leaf_order o ON o.leaf = 'GENE' || v.leaf
+  UNION ALL SELECT 1, concat_ws(chr(9), 'GID', 'CLID', 'NAME', 'GWEIGHT', {", ".join(f"'m{m}'" for m in range(1, 13))})
+  UNION ALL SELECT 2, concat_ws(chr(9), 'EWEIGHT', '', '', '', {", ".join("1" for _ in range(12))})"""
 
 # --- readers and writers ----------------------------------------------------------------
 
 ORACLE["read_fasta"] = f"WITH {DOCS} SELECT header, seq FROM docs"
+ORACLE["read_fasta_pieces"] = f"""WITH {DOCS} SELECT header, length(seq) AS n, CEIL(length(seq) / 60)::BIGINT AS n_pieces,
+  CASE WHEN length(seq) % 60 IN (1, 2) THEN right(seq, length(seq) % 60) ELSE right(seq, 3) END AS last FROM docs"""
 ORACLE["read_fasta_first"] = f"""WITH {DOCS} SELECT first(header ORDER BY doc_id) AS header,
   first(seq ORDER BY doc_id) AS seq FROM docs GROUP BY source"""
 ORACLE["read_matrix"] = """SELECT vec_id, (i - 1)::INTEGER AS sample, round(embedding[i]::DOUBLE, 6) AS value
   FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)"""
-TRACKED = "tr AS (SELECT event_id AS gene, (user_id % 7)::INTEGER AS chr, value FROM events)"
+TRACKED = """tr AS (SELECT event_id AS gene, (user_id % 7)::INTEGER AS chr,
+    CASE WHEN event_id % 10 NOT IN (3, 4, 5) THEN value END AS value FROM events)"""
 ORACLE["read_tracking"] = f"WITH {TRACKED} SELECT * FROM tr"
 ORACLE["tracking_profile"] = f"WITH {TRACKED} {profile('chr', 'gene', 'gene', 'tr')}"
 ORACLE["read_blastn_report"] = """SELECT DISTINCT 'q' || c_custkey AS query_name,
@@ -423,10 +460,26 @@ ORACLE["read_blastn_subjects"] = """SELECT 'q' || o_custkey AS query_name,
   format('{:03d}.{:03d}', o_orderkey % 200, o_orderkey) AS name, 'part of ' || o_orderkey AS description,
   o_custkey + 100 AS length, '2e-' || lpad((o_orderkey % 90 + 10)::VARCHAR, 3, '0') AS expect
   FROM orders JOIN customer ON o_custkey = c_custkey"""
-ORACLE["write_query_hits"] = """SELECT 'q' || c_custkey AS query_name, 4 * count(o_orderkey) AS subject_fields
-  FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey"""
+SUBJECT_FIELDS = """format('{:03d}.{:03d}', o_orderkey % 200, o_orderkey) AS name, 'part of ' || o_orderkey AS description,
+  o_custkey + 100 AS length, '2e-' || lpad((o_orderkey % 90 + 10)::VARCHAR, 3, '0') AS expect"""
+OPENING = "'q' || c_custkey || ',' || replace(c_name, '#', ' ') || ' second line,' || c_custkey * 3"
+ORACLE["write_query_hits"] = f"""WITH s AS (SELECT o_custkey, o_orderkey, {SUBJECT_FIELDS}
+    FROM orders JOIN customer ON o_custkey = c_custkey),
+  l AS (SELECT o_custkey, o_orderkey // 20000 AS run,
+    string_agg(concat_ws(',', name, description, length, expect), ',' ORDER BY o_orderkey) AS hits FROM s GROUP BY 1, 2)
+  SELECT concat_ws(',', {OPENING}, hits) AS value FROM customer LEFT JOIN l ON o_custkey = c_custkey"""
+ORACLE["write_nohits"] = f"""SELECT {OPENING} AS value FROM customer
+  WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"""
+ORACLE["read_damaged_subjects"] = f"""SELECT {SUBJECT_FIELDS} FROM orders JOIN customer ON o_custkey = c_custkey
+  WHERE o_orderkey % 11 <> 0 AND o_orderkey % 7 <> 0 AND o_custkey % 10 > 1"""
+ORACLE["report_skipped"] = """WITH b AS (SELECT DISTINCT c_custkey, o_orderkey // 20000 AS run
+    FROM customer LEFT JOIN orders ON o_custkey = c_custkey),
+  r AS (SELECT 'query' AS kind, CASE c_custkey % 10 WHEN 0 THEN 'no name' WHEN 1 THEN 'no length' END AS reason FROM b
+    UNION ALL SELECT 'subject', CASE WHEN o_orderkey % 11 = 0 THEN 'no name' WHEN o_orderkey % 7 = 0 THEN 'no e-value'
+      WHEN o_custkey % 10 < 2 THEN 'query skipped' END FROM orders JOIN customer ON o_custkey = c_custkey)
+  SELECT kind, reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY 1, 2"""
 EVENT_HITS = """eh AS (SELECT 'VCU' || user_id || 'contig' || user_id AS contig, event_type AS gene, event_id,
-    (event_id % 900 + 50)::INTEGER AS bits,
+    (event_id % 900 + 50 + CASE WHEN event_id % 2 = 1 THEN 0.5 ELSE 0 END)::DOUBLE AS bits,
     (event_id % 9 + 1) || 'e-' || lpad((event_id % 190)::VARCHAR, 3, '0') AS evalue FROM events),
   big AS (SELECT * FROM eh WHERE bits >= 100)"""
 ORACLE["read_blastp_report"] = f"WITH {EVENT_HITS} SELECT contig, gene, bits, evalue FROM big"
@@ -442,5 +495,6 @@ ORACLE["read_tables"] = " UNION ALL ".join(
     f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in (
         "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
         "documents", "embeddings", "pages", "benchmark", "labels", "conversations"))
-ORACLE["write_scores"] = f"""WITH {DOCS} SELECT format('{{:6.1f}}', length(seq) / 3) || chr(9) || doc_id || chr(9) || length(seq) AS value
-  FROM docs"""
+ORACLE["write_scores"] = f"""WITH sc AS ({ORACLE['markov_score']})
+  SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS line, format('{{:6.1f}}', score) || chr(9) || doc_id || chr(9)
+    || 'D' || doc_id || chr(9) || 'text ' || lang || chr(9) || 'g' || n_chars AS value FROM sc JOIN documents USING (doc_id)"""

@@ -8,15 +8,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import sinks, sources
 from ..functions import (
-    orf_header, pearson, protein_header,
+    contig_id, orf_header, pearson, protein_header,
 )
 from ..functions import constants as K
 from ..operators import (
     align, extract, hits, kgrams, linkage, markov, matrix, profile, pssm, scan, seeds, similarity,
     support, tree,
 )
+from ..operators.scan import number_rows
 from ..session import cut_lineage, scratch_path
 from ..sinks import text as text_sinks
+from ..sources.records import read_records
 from . import search, views
 from .views import table
 
@@ -50,6 +52,12 @@ def text_of(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def lines_of(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with their number: the parts of an ordered output are read in the order of their names."""
+    rows = number_rows(read_records(spark, path), [F.col("file"), F.col("split"), F.col("row")], "line")
+    return rows.select("line", "value")
+
+
 # --- relational support -----------------------------------------------------------------
 
 @query
@@ -252,6 +260,15 @@ def orf_headers(spark, d):
         "o_orderkey", "h.*")
 
 
+@query_as("parse_contig_header")
+def contig_headers(spark, d):
+    """Length statistics of the contigs of each header id."""
+    header = F.concat(F.lit("ctg"), (F.col("doc_id") % 50).cast("string"), F.lit(" [organism="), "source", F.lit("]"))
+    named = views.document_dna(spark, d).select(F.trim(contig_id(header)).alias("contig"), "seq")
+    out = profile.contig_stats(named, "contig", "seq")
+    return out.select("contig", "n", "total_length", "gc_total")
+
+
 @query_as("parse_protein_header")
 def protein_headers(spark, d):
     header = F.concat(F.lit("tr|P"), F.col("p_partkey").cast("string"), F.lit("|P_X "), F.col("p_name"),
@@ -416,6 +433,11 @@ def linkage_average(spark, d):
     return linkage.linkage_average(brand_leaves(spark, d)).withColumn("sim", F.round("sim", 6))
 
 
+@query
+def linkage_average_vectors(spark, d):
+    return linkage.linkage_average(embedding_leaves(spark, d)).withColumn("sim", F.round("sim", 6))
+
+
 @query
 def leaf_order(spark, d):
     return tree.leaf_order(cut_lineage(linkage_single(spark, d), "tree"))
@@ -430,6 +452,19 @@ def read_fasta(spark, d):
     return sources.read_fasta(spark, path).select("header", "seq")
 
 
+@query
+def read_fasta_pieces(spark, d):
+    """Sizes and first letters of records that were read line by line."""
+    path = scratch_path(spark, "fasta")
+    fasta = views.document_fasta(spark, d)
+    lines = F.array_join(F.regexp_extract_all("seq", F.lit("(?s).{1,60}"), F.lit(0)), "\n")
+    sinks.write_fasta(fasta.withColumn("seq", lines), path, F.col("header"))
+    pieces = sources.read_fasta_pieces(spark, path)
+    return pieces.groupBy("header").agg(
+        F.sum(F.length("piece")).alias("n"), F.count_if(F.length("piece") > 0).alias("n_pieces"),
+        F.max_by(F.right("piece", F.lit(3)), "offset").alias("last"))
+
+
 @query
 def read_fasta_first(spark, d):
     """First record of each file of a folder, one file per source."""
@@ -488,10 +523,12 @@ def read_tracking(spark, d):
     path = scratch_path(spark, "tracking")
     blank = F.lit("-")
     place = F.concat((F.col("user_id") % 7).cast("string"), F.lit(":100-200"))
+    kind = F.col("event_id") % 10
+    value = F.when(kind == 3, "NA").when(kind == 4, "-").when(kind == 5, "").otherwise(F.col("value").cast("string"))
     sinks.write_table(table(spark, d, "events").select(
         F.col("event_id").alias("tracking_id"), *[blank.alias(f"c{i}") for i in range(1, 6)],
         place.alias("locus"), *[blank.alias(f"c{i}") for i in range(7, 10)],
-        F.col("value").alias("fpkm")), path)
+        value.alias("fpkm")), path)
     return sources.read_tracking(spark, path).select(
         F.col("gene").cast("long").alias("gene"), F.col("chr").cast("int").alias("chr"), "value")
 
@@ -511,24 +548,30 @@ def read_motifs(spark, d):
     return sources.read_motifs(spark, path).select(F.col("name").cast("long").alias("name"), "motif")
 
 
-def write_nucleotide_report(spark, d):
+def write_nucleotide_report(spark, d, damaged=False):
     """Customers as queries, their orders as subjects, in the layout of a BLASTN report.
 
-    A block has a customer's orders of one run of 20000 order numbers, so its size is bounded.
+    A block has a customer's orders of one run of 20000 order numbers, so its size is bounded. In a
+    damaged report some blocks lack a name, a length or an e-value.
     """
     customers, orders = customer_orders(spark, d)
-    subject = F.format_string(
-        ">Contig%d.revised.gene%d.protein  part of %d\n\n            Length = %d\n\n"
-        " Score = 20.3 bits (10), Expect = %s\n Identities = 10/10\n",
-        F.col("o_orderkey") % 200, F.col("o_orderkey"), F.col("o_orderkey"), F.col("query") + 100,
-        F.concat(F.lit("2e-"), F.lpad((F.col("o_orderkey") % 90 + 10).cast("string"), 3, "0")))
+    order, odd = F.col("o_orderkey"), F.lit(damaged)
+    subject = F.concat(
+        F.when(odd & (order % 11 == 0), F.lit(">another  ")).otherwise(
+            F.format_string(">Contig%d.revised.gene%d.protein  ", order % 200, order)),
+        F.format_string("part of %d\n\n            Length = %d\n\n Score = 20.3 bits (10)", order, F.col("query") + 100),
+        F.when(odd & (order % 7 == 0), F.lit("")).otherwise(
+            F.concat(F.lit(", Expect = 2e-"), F.lpad((order % 90 + 10).cast("string"), 3, "0"))),
+        F.lit("\n Identities = 10/10\n"))
     run = F.floor(F.col("o_orderkey") / 20_000)
     blocks = customers.join(orders, "query", "left").groupBy("query", "c_name", run.alias("run")).agg(
         F.array_sort(F.collect_list(F.struct("o_orderkey", subject.alias("s")))).alias("s"))
     found = F.when(F.col("run").isNull(), F.lit("\n ***** No hits found *****\n")).otherwise(
         F.array_join(F.transform("s", lambda x: x["s"]), "\n"))
-    text = F.concat(F.lit("Query= q"), F.col("query").cast("string"), F.lit(" "), F.translate("c_name", "#", " "),
-                    F.lit("\nsecond line\n\nLength="), (F.col("query") * 3).cast("string"), F.lit("\n\n"), found)
+    name = F.concat(F.lit("Query= q"), F.col("query").cast("string"), F.lit(" "), F.translate("c_name", "#", " "))
+    size = F.concat(F.lit("\n\nLength="), (F.col("query") * 3).cast("string"))
+    text = F.concat(F.when(odd & (F.col("query") % 10 == 0), F.lit("Query= ")).otherwise(name), F.lit("\nsecond line"),
+                    F.when(odd & (F.col("query") % 10 == 1), F.lit("")).otherwise(size), F.lit("\n\n"), found)
     path = scratch_path(spark, "blastn")
     sinks.write_lines(blocks, text, path)
     return path
@@ -547,15 +590,33 @@ def read_blastn_subjects(spark, d):
         "query_name", "name", "description", "length", "expect")
 
 
+@query
+def report_skipped(spark, d):
+    """Blocks that a reader of a damaged report leaves out."""
+    skipped = sources.blastn_skipped(spark, write_nucleotide_report(spark, d, damaged=True))
+    return skipped.groupBy("kind", "reason").agg(F.sum("n").alias("n"))
+
+
+@query
+def read_damaged_subjects(spark, d):
+    _, subjects = sources.read_blastn_report(spark, write_nucleotide_report(spark, d, damaged=True))
+    return subjects.select("name", "description", "length", "expect")
+
+
 @query
 def write_query_hits(spark, d):
-    """All queries of the report, one line each; here as fields per line."""
+    """All queries of the report, one line each, with all fields of their subjects."""
     path = scratch_path(spark, "allhits")
     sinks.write_query_hits(*sources.read_blastn_report(spark, write_nucleotide_report(spark, d)), path)
-    fields = F.split("value", ",")
-    return text_of(spark, path).select(
-        F.element_at(fields, 1).alias("query_name"), F.size(fields).alias("fields")
-    ).groupBy("query_name").agg(F.sum(F.col("fields") - 3).alias("subject_fields"))
+    return text_of(spark, path)
+
+
+@query
+def write_nohits(spark, d):
+    path = scratch_path(spark, "nohits")
+    queries, subjects = sources.read_blastn_report(spark, write_nucleotide_report(spark, d))
+    sinks.write_nohits(hits.query_nohits(queries, subjects, ["file", "query"]), path)
+    return text_of(spark, path)
 
 
 def write_protein_report(spark, d):
@@ -563,8 +624,9 @@ def write_protein_report(spark, d):
 
     A block has a user's events of one run of 1000 event numbers, so its size is bounded.
     """
-    summary = F.format_string("lcl|x%d [gene=%s] [protein=some pro...   %d  %de-%s",
-                              "event_id", "event_type", F.col("event_id") % 900 + 50,
+    bits = F.when(F.col("event_id") % 2 == 1, F.lit(".5")).otherwise(F.lit(""))
+    summary = F.format_string("lcl|x%d [gene=%s] [protein=some pro...   %d%s  %de-%s",
+                              "event_id", "event_type", F.col("event_id") % 900 + 50, bits,
                               F.col("event_id") % 9 + 1, F.lpad((F.col("event_id") % 190).cast("string"), 3, "0"))
     head = F.format_string("> lcl|x%d [gene=%s] [protein=%s kind of\nprotein %d]\nLength=100\n",
                            "event_id", "event_type", "event_type", F.col("event_id") % 10)
@@ -636,14 +698,15 @@ def load_model(spark, d):
 def write_dump(spark, d):
     path = scratch_path(spark, "dump")
     sinks.write_dump(markov.dump_model(markov_train(spark, d), MARKOV_ORDER), path)
-    return text_of(spark, path)
+    return lines_of(spark, path)
 
 
 @query
 def write_table(spark, d):
     path = scratch_path(spark, "profile")
-    sinks.write_table(group_profile(spark, d).drop("avg_value"), path, order=["event_type"])
-    return text_of(spark, path)
+    sinks.write_table(group_profile(spark, d).withColumn("avg_value", F.format_string("%.4f", "avg_value")),
+                      path, order=["event_type"])
+    return lines_of(spark, path)
 
 
 @query
@@ -651,51 +714,71 @@ def write_hits(spark, d):
     path = scratch_path(spark, "windows")
     top = pssm_top_hits(spark, d).withColumn("name", F.concat(F.lit("D"), F.col("doc_id").cast("string")))
     sinks.write_hits(top, path)
-    return text_of(spark, path)
+    return lines_of(spark, path)
 
 
 @query
 def write_scores(spark, d):
+    """Model score of each document with the fields of a header, best first."""
     path = scratch_path(spark, "scores")
-    lengths = views.document_dna(spark, d).select("doc_id", F.length("seq").alias("n"))
-    scored = lengths.withColumn("size", F.col("n") / 3)
-    sinks.write_scores(scored, "size", ["doc_id", "n"], path)
-    return text_of(spark, path)
+    heads = table(spark, d, "documents").select("doc_id", protein_header(F.concat(
+        F.lit("tr|D"), F.col("doc_id").cast("string"), F.lit("|D_X text "), F.col("lang"), F.lit(" OS="), F.col("source"),
+        F.lit(" GN=g"), F.col("n_chars").cast("string"), F.lit(" PE=3 SV=1"))).alias("h")).select("doc_id", "h.*")
+    scored = markov_score(spark, d).join(heads, "doc_id")
+    fields = [c for c in heads.columns if c != "doc_id"]
+    sinks.write_scores(scored, "score", ["doc_id", *fields], path, [F.desc("score"), F.asc("doc_id")])
+    return lines_of(spark, path)
 
 
 @query
 def write_statistics(spark, d):
     path = scratch_path(spark, "stats")
-    sinks.write_statistics(assembly_statistics(spark, d).drop("avg_length", "gc_percent", "n50_avg")
-                           .withColumns({c: F.lit(0) for c in ("avg_length", "gc_percent", "n50_avg")}), path)
+    sinks.write_statistics(assembly_statistics(spark, d).withColumns(
+        {c: F.format_string("%.3f", c) for c in ("avg_length", "gc_percent", "n50_avg")}), path)
     return spark.read.text(path).select("file", "value")
 
 
+@query
+def write_best_hits(spark, d):
+    """Best hits as a tab file, by contig and gene."""
+    path = scratch_path(spark, "best")
+    sinks.write_table(best_hits(spark, d).withColumn("evalue", F.format_string("%.4f", "evalue")), path,
+                      header=False, order=["contig", "gene"])
+    return lines_of(spark, path)
+
+
+@query
+def write_support_rows(spark, d):
+    """The join of the four tables as a tab file."""
+    path = scratch_path(spark, "rows")
+    sinks.write_table(support_rows(spark, d), path, header=False, order=["refseq", "tool", "unigene"])
+    return text_of(spark, path)
+
+
 @query
 def write_support(spark, d):
     path = scratch_path(spark, "support")
     sinks.write_support(cut_lineage(support_join(spark, d)), support_tools(spark, d), path)
-    return text_of(spark, path)
+    return lines_of(spark, path)
 
 
 @query
 def write_multi_contig(spark, d):
+    """The line of each gene; it may be very long, so the check reads it by its tabs."""
     path = scratch_path(spark, "contigs")
     rows = multi_contig_hits(spark, d).select(
         "gene", F.lpad(F.col("contig").cast("string"), 5, "0").alias("contig"),
-        F.round(F.col("evalue") * 100).cast("long").cast("string").alias("evalue"))
+        F.format_string("%.4f", "evalue").alias("evalue"))
     sinks.write_multi_contig(rows, path)
-    # a gene's line may be very long, so the file is read by its tabs
-    fields = spark.read.option("lineSep", "\t").text(path).select(
-        F.regexp_replace("value", r"\s", "").alias("field"))
-    return fields.filter(F.col("field") != "").groupBy("field").agg(F.count(F.lit(1)).alias("n"))
+    fields = number_rows(read_records(spark, path, "\t"), [F.col("file"), F.col("split"), F.col("row")], "field")
+    return fields.select("field", "value")
 
 
 @query
 def write_alignment(spark, d):
     path = scratch_path(spark, "alignment")
     sinks.write_alignment(format_alignment(spark, d), ["doc_id"], path)
-    return text_of(spark, path)
+    return lines_of(spark, path)
 
 
 @query
@@ -703,7 +786,7 @@ def write_gtr(spark, d):
     path = scratch_path(spark, "gtr")
     merges = linkage.linkage_single(brand_leaves(spark, d))
     sinks.write_gtr(merges.withColumn("sim", F.round("sim", 4)), path)
-    return text_of(spark, path)
+    return lines_of(spark, path)
 
 
 @query
@@ -712,4 +795,4 @@ def write_cdt(spark, d):
     leaves = brand_leaves(spark, d)
     order = tree.leaf_order(cut_lineage(linkage.linkage_complete(leaves)))
     sinks.write_cdt(leaves, order, [f"m{m}" for m in range(1, 13)], path)
-    return text_of(spark, path)
+    return lines_of(spark, path)

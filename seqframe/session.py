@@ -41,13 +41,22 @@ def scratch_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         named = tempfile.mkdtemp(prefix="seqframe-")
         spark.conf.set("spark.checkpoint.dir", named)
-    return f"{named.rstrip('/')}/seqframe"
+    return f"{named.rstrip('/')}/seqframe/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application.
+
+    Call it when results are written: DataFrames made before read tables that are gone afterwards.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` as a table in the scratch folder and read it back.
 

@@ -7,8 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import cut_lineage
-from .pieces import write_pieces
 
 
 def write_lines(df: DataFrame, line: Column, path: str, order: list | None = None) -> None:
@@ -19,9 +17,9 @@ def write_lines(df: DataFrame, line: Column, path: str, order: list | None = Non
 
 def write_table(df: DataFrame, path: str, sep: str = "\t", header: bool = True,
                 order: list | None = None) -> None:
-    """Delimited table with a header row."""
+    """Delimited table with a header row; quotes inside a value stay as they are."""
     rows = df.orderBy(*order) if order else df
-    rows.write.csv(path, sep=sep, header=header, nullValue="", emptyValue="")
+    rows.write.csv(path, sep=sep, header=header, nullValue="", emptyValue="", escapeQuotes=False)
 
 
 def write_fasta(df: DataFrame, path: str, header: Column, seq: str = "seq",
@@ -48,7 +46,7 @@ def write_gtr(tree: DataFrame, path: str) -> None:
 def write_cdt(leaf_rows: DataFrame, order: DataFrame, samples: list[str], path: str) -> None:
     """Clustered data table: two header rows, then the leaves in tree order."""
     spark = leaf_rows.sparkSession
-    heads = spark.createDataFrame([
+    heads = spark.createDataFrame([  # fixed values: the words of both header rows
         (-1, "\t".join(["GID", "CLID", "NAME", "GWEIGHT", *samples])),
         (0, "\t".join(["EWEIGHT", "", "", "", *["1"] * len(samples)])),
     ], "position long, value string")
@@ -80,52 +78,57 @@ def write_scores(df: DataFrame, score: str, fields: list[str], path: str,
     write_lines(df, score_line(score, fields), path, order)
 
 
-def write_query_hits(queries: DataFrame, subjects: DataFrame, path: str) -> None:
-    """One comma-joined line per query of a report, four fields per subject, in report order."""
-    nothing = F.lit(None).cast(subjects.schema["subject"].dataType)
-    opening = F.concat_ws(",", "query_name", "query_description", F.col("query_length").cast("string"))
+def _opening() -> Column:
+    return F.concat_ws(",", "query_name", "query_description", F.col("query_length").cast("string"))
+
 
-    def part(number: int, subject: Column, value: Column) -> Column:
-        return F.struct(F.lit(number).alias("part"), subject.alias("subject"), value.alias("value"))
+def write_query_hits(queries: DataFrame, subjects: DataFrame, path: str) -> None:
+    """One comma-joined line per query of a report, four fields per subject, in report order.
 
-    # a line opens before its subjects and ends after them
-    ends = queries.select("file", "query", F.inline(F.array(
-        part(0, nothing, opening), part(2, nothing, F.lit("\n")))))
+    A line is no longer than the block of its query in the report.
+    """
     fields = F.concat_ws(",", "name", "description", F.col("length").cast("string"), "expect")
-    hits = subjects.select("file", "query", F.lit(1).alias("part"), "subject",
-                           F.concat(F.lit(","), fields).alias("value"))
-    rows = cut_lineage(ends.unionByName(hits), "report")  # a range sort reads its input twice
-    write_pieces(rows.orderBy("file", "query", "part", "subject").select("value"), path)
+    listed = subjects.groupBy("file", "query").agg(
+        F.array_sort(F.collect_list(F.struct("subject", fields.alias("fields")))).alias("hits"))
+    joined = queries.join(listed, ["file", "query"], "left")
+    line = F.concat_ws(",", _opening(), F.transform(F.coalesce("hits", F.array()), lambda h: h["fields"]))
+    write_lines(joined, line, path, ["file", "query"])
+
+
+def write_nohits(queries: DataFrame, path: str) -> None:
+    """One comma-joined line per query without hits (see ``query_nohits``), in report order."""
+    write_lines(queries, _opening(), path, ["file", "query"])
 
 
 def write_multi_contig(rows: DataFrame, path: str) -> None:
-    """One line per gene: the gene, then contig and e-value of each of its contigs."""
-    genes = rows.select("gene").distinct().select(
-        "gene", F.lit("").alias("contig"), F.concat(F.lit("\n"), "gene", F.lit("\t ")).alias("value"))
-    contigs = rows.select("gene", "contig", F.concat(
-        "contig", F.lit("\t"), "evalue", F.lit("\t")).alias("value"))
-    both = genes.withColumn("_part", F.lit(0)).unionByName(contigs.withColumn("_part", F.lit(1)))
-    write_pieces(both.orderBy("gene", "_part", "contig").select("value"), path)
+    """One line per gene: the gene, then contig and e-value of each of its contigs.
+
+    Every value ends with a tab, so a gene with very many contigs is many rows of one line.
+    """
+    firsts = rows.groupBy("gene").agg(F.min(F.struct("contig", "evalue")).alias("first"))
+    value = F.concat_ws("\t", "contig", "evalue")
+    others = rows.join(firsts, "gene").filter(F.struct("contig", "evalue") > F.col("first")).select(
+        "gene", "contig", value.alias("value"))
+    heads = firsts.select("gene", "first.*").select(
+        "gene", "contig", F.concat(F.lit("\n"), "gene", F.lit("\t "), value).alias("value"))
+    lines = heads.unionByName(others).orderBy("gene", "contig")
+    lines.select("value").write.option("lineSep", "\t").text(path)
 
 
 def write_support(report: DataFrame, tools: DataFrame, path: str) -> None:
-    """Gene row, a line with its tools, and their number."""
+    """Gene row, a line with its tools, and their number. A gene has as many tools as there are."""
     columns = ["miRNA", "gene", "unigene", "type", "tissue", "chromosome", "ch_start", "ch_end",
                "description"]
-
-    def part(df: DataFrame, number: int, tool: Column, value: Column) -> DataFrame:
-        return df.select("tool_count", "gene", F.lit(number).alias("_part"), tool.alias("tool"),
-                         value.alias("value"))
-
-    name = F.col("tool").cast("string")
-    row = F.concat(F.concat_ws("\t", *[F.col(c).cast("string") for c in columns]), F.lit("\nTools: "))
-    last = F.concat(F.lit("\tTool Count: "), F.col("tool_count").cast("string"), F.lit("\n\n"))
-    both = part(report, 0, F.lit(""), row).unionByName(
-        part(tools, 1, name, F.concat(name, F.lit(", ")))).unionByName(part(report, 2, F.lit(""), last))
-    write_pieces(both.orderBy(F.desc("tool_count"), "gene", "_part", "tool").select("value"), path)
+    named = tools.groupBy("gene").agg(
+        F.array_sort(F.collect_list(F.concat(F.col("tool").cast("string"), F.lit(", ")))).alias("tools"))
+    text = F.concat(
+        F.concat_ws("\t", *[F.col(c).cast("string") for c in columns]),
+        F.lit("\nTools: "), F.array_join("tools", ""), F.lit("\tTool Count: "), F.col("tool_count").cast("string"),
+        F.lit("\n"))
+    write_lines(report.join(named, "gene"), text, path, [F.desc("tool_count"), "gene"])
 
 
-STATISTICS = {  # column: printed name
+STATISTICS = {  # fixed values, column: printed name
     "n": "No of Sequences", "total_length": "Total Sequence Length", "gc_total": "GC Total",
     "gc_percent": "GC Perc", "avg_length": "Avg Contig Size", "min_length": "Min Contig Size",
     "max_length": "Max Contig Size", "n50_count": "Total N50 contigs", "n50": "N50ContigSize",

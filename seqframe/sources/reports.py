@@ -6,19 +6,22 @@ over bounded pieces of a file, so a query may have any number of hits.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators.scan import fill_forward, with_next
+from ..operators.scan import fill_forward
 from .records import read_records
 
-# Line formats of the reports.
+# Line formats of the reports. Names of subjects and contigs are those of one data set;
+# other reports pass their own patterns.
 NO_HITS = "***** No hits"
 QUERY = r"^Query=\s*(\w+)\W*(.*)$"
 SUBJECT = r"^>\s?Contig(\d+)\.revised\.gene(\d+)\.protein\W*(.*)$"
 LENGTH = r"Length\s*=\s*(\d+)"
 EXPECT = r"Expect\s*=\s*([^\s,]+)"
 CONTIG = r"^Query= (VCU\d+contig\d+)"
-SUMMARY = r"\[gene=([^\]]*)\].*\.{3}\s+(\d+)\s+(\S.*)$"
+SUMMARY = r"\[gene=([^\]]*)\].*\.{3}\s+(\d[\d.]*(?:[eE]\+?\d+)?)\s+(\S.*)$"
 DESCRIPTION = r"^>\s?lcl.*\[gene=([^\]]*)\]\s+\[protein=(.*)$"
 HIT = r"sb:(\d+)\sse:(\d+)\b"
 
@@ -31,69 +34,105 @@ def _found(pattern: str, group: int, column: str = "value") -> Column:
     return F.nullif(F.regexp_extract(column, pattern, group), F.lit(""))
 
 
-def read_blastn_report(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+def _records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The text between two subject lines as one record, so that nothing has to be put in order to
+    see what follows a line. The sign that starts a subject line ends the record before it."""
+    return read_records(spark, path, "\n>").withColumn("value", F.regexp_replace("value", "\r(?=\n|$)", ""))
+
+
+def _line(number: int, column: str = "text") -> Column:
+    return F.regexp_extract(column, "^" + r"[^\n]*\n" * number + r"([^\n]*)", 1)
+
+
+def _sections(spark: SparkSession, path: str | list[str], subject: str) -> DataFrame:
+    """Query and subject blocks with what was found in them, and what they lack (``reason``).
+
+    Blocks are read where they are; only the fields found in them move.
+    """
+    parts = F.posexplode(F.split(F.concat(F.lit(">"), "value"), "(?m)^>?Query=")).alias("part", "text")
+    blocks = _records(spark, path).select("file", "split", "row", parts).withColumn(
+        "text", F.when(F.col("part") > 0, F.concat(F.lit("Query="), "text")).otherwise(F.col("text")))
+    place, is_query = F.struct("split", "row", "part"), F.col("part") > 0
+    found = blocks.select(
+        "file", "split", place.alias("section"), F.when(is_query, place).alias("query"),
+        _line(0).alias("head"), _line(1).alias("next"), _found(LENGTH, 1, "text").cast("long").alias("length"),
+        _found(EXPECT, 1, "text").alias("expect"), F.col("text").contains(NO_HITS).alias("no_hits"))
+    owned = fill_forward(found, "query", "file", "section", F.col("split")).filter(F.col("query").isNotNull())
+    text = F.col("head")
+    kind = F.when(F.col("section") == F.col("query"), F.lit("query")).otherwise(F.lit("subject"))
+    named = F.when(kind == "query", text.rlike(QUERY)).otherwise(text.rlike(subject))
+    reason = (F.when(~named, F.lit("no name")).when(F.col("length").isNull(), F.lit("no length"))
+              .when((kind == "subject") & F.col("expect").isNull(), F.lit("no e-value")))
+    return owned.select("file", "query", "section", kind.alias("kind"), text.alias("text"), "next",
+                        "length", "expect", "no_hits", reason.alias("reason"))
+
+
+def read_blastn_report(spark: SparkSession, path: str | list[str], subject: str = SUBJECT,
+                       digits: int = 3) -> tuple[DataFrame, DataFrame]:
     """Queries and subjects of nucleotide reports.
 
     queries: (file, query, query_name, query_description, query_length, no_hits); the
     description takes in the line after it. subjects: (file, query, subject, name,
     description, length, expect) with the first length and e-value after the name.
-    ``query`` and ``subject`` are places in the file. A query without a name or length is
-    left out together with its subjects.
+    ``query`` and ``subject`` are places in the file.
+
+    ``subject`` is the pattern of a subject line: its last group is the description, the ones
+    before it are the parts of the name, joined by points; parts that are numbers are padded to
+    ``digits``. A query without a name or length is left out together with its subjects, and so
+    is a subject without name, length or e-value: ``blastn_skipped`` counts them.
     """
-    place = F.struct("split", "row")
-    is_query, is_subject = F.col("value").startswith("Query="), F.col("value").rlike(SUBJECT)
-    lines = with_next(_lines(spark, path), "value", "file", "split", "row", "next").select(
-        "file", "split", "value", "next", place.alias("place"),
-        F.when(is_query, place).alias("query"),
-        F.when(is_query | is_subject, place).alias("section"),
-        _found(LENGTH, 1).alias("length"), _found(EXPECT, 1).alias("expect"),
-        F.col("value").contains(NO_HITS).alias("no_hits"))
-    used = lines.filter(F.col("section").isNotNull() | F.col("length").isNotNull()
-                        | F.col("expect").isNotNull() | F.col("no_hits"))
-    owned = fill_forward(used, ["query", "section"], "file", "place", F.col("split"))
-
-    def first(column: str) -> Column:
-        return F.min_by(column, F.when(F.col(column).isNotNull(), F.col("place")))
-
-    sections = owned.filter(F.col("query").isNotNull()).groupBy("file", "query", "section").agg(
-        F.min_by(F.struct("value", "next"), "place").alias("head"),
-        first("length").alias("length"), first("expect").alias("expect"),
-        F.bool_or("no_hits").alias("no_hits"))
-    text = F.col("head.value")
-    spill = F.when(F.col("head.next").rlike(LENGTH), F.lit("")).otherwise(F.coalesce("head.next", F.lit("")))
-    queries = sections.filter(F.col("section") == F.col("query")).select(
-        "file", "query",
-        F.nullif(F.regexp_extract(text, QUERY, 1), F.lit("")).alias("query_name"),
+    return _report(_sections(spark, path, subject), subject, digits)
+
+
+def _report(sections: DataFrame, subject: str, digits: int) -> tuple[DataFrame, DataFrame]:
+    whole, text = sections.filter(F.col("reason").isNull()), F.col("text")
+    spill = F.when(F.col("next").rlike(LENGTH), F.lit("")).otherwise(F.coalesce("next", F.lit("")))
+    queries = whole.filter(F.col("kind") == "query").select(
+        "file", "query", F.regexp_extract(text, QUERY, 1).alias("query_name"),
         F.trim(F.concat(F.regexp_extract(text, QUERY, 2), F.lit(" "), spill)).alias("query_description"),
-        F.col("length").cast("long").alias("query_length"), "no_hits",
-    ).filter(F.col("query_name").isNotNull() & F.col("query_length").isNotNull())
-    contig, gene = (F.regexp_extract(text, SUBJECT, i) for i in (1, 2))
+        F.col("length").alias("query_length"), "no_hits")
 
-    def padded(number: Column) -> Column:  # at least three digits, never cut
-        return F.lpad(number, F.greatest(F.length(number), F.lit(3)), F.lit("0"))
+    def padded(part: Column) -> Column:  # never cut
+        return F.when(part.rlike(r"^\d+$"), F.lpad(part, F.greatest(F.length(part), F.lit(digits)), F.lit("0"))
+                      ).otherwise(part)
 
-    subjects = sections.filter(F.col("section") != F.col("query")).select(
+    groups = re.compile(subject).groups
+    subjects = whole.filter(F.col("kind") == "subject").select(
         "file", "query", F.col("section").alias("subject"),
-        F.concat(padded(contig), F.lit("."), padded(gene)).alias("name"),
-        F.regexp_extract(text, SUBJECT, 3).alias("description"),
-        F.col("length").cast("long").alias("length"), "expect",
-    ).filter(F.col("length").isNotNull() & F.col("expect").isNotNull())
+        F.concat_ws(".", *[padded(F.regexp_extract(text, subject, i)) for i in range(1, groups)]).alias("name"),
+        F.regexp_extract(text, subject, groups).alias("description"), "length", "expect")
     return queries, subjects.join(queries.select("file", "query"), ["file", "query"], "left_semi")
 
 
-def blastp_summary(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def blastn_skipped(spark: SparkSession, path: str | list[str], subject: str = SUBJECT) -> DataFrame:
+    """What ``read_blastn_report`` leaves out: (file, kind, reason, n), kind query or subject."""
+    sections = _sections(spark, path, subject)
+    queries, _ = _report(sections, subject, 0)
+    lost = sections.filter((F.col("kind") == "subject") & F.col("reason").isNull()).join(
+        queries.select("file", "query"), ["file", "query"], "left_anti")
+    return (
+        sections.filter(F.col("reason").isNotNull()).select("file", "kind", "reason")
+        .unionByName(lost.select("file", "kind", F.lit("query skipped").alias("reason")))
+        .groupBy("file", "kind", "reason").agg(F.count(F.lit(1)).alias("n")))
+
+
+def blastp_summary(spark: SparkSession, path: str | list[str], contig: str = CONTIG) -> DataFrame:
     """Summary lines of protein reports: (contig, gene, bits, evalue, place).
 
-    E-values stay text. ``place`` orders lines over all files.
+    ``contig`` is the pattern of the lines that name a contig, in its first group. Every query line
+    ends the contig before it; lines under a query that names none are left out. Bit scores may have
+    decimals. E-values stay text. ``place`` orders lines over all files.
     """
+    is_query = F.col("value").startswith("Query=")
     lines = _lines(spark, path).select(
-        "file", "split", F.struct("file", "split", "row").alias("place"), "value",
-        _found(CONTIG, 1).alias("contig"), _found(SUMMARY, 1).alias("gene"))
+        "file", "split", F.struct("file", "split", "row").alias("place"),
+        F.when(is_query | F.col("value").rlike(contig), F.regexp_extract("value", contig, 1)).alias("contig"),
+        _found(SUMMARY, 1).alias("gene"), F.regexp_extract("value", SUMMARY, 2).try_cast("double").alias("bits"),
+        F.regexp_extract("value", SUMMARY, 3).alias("evalue"))
     used = lines.filter(F.col("contig").isNotNull() | F.col("gene").isNotNull())
     owned = fill_forward(used, "contig", "file", "place", F.col("split"))
-    return owned.filter(F.col("gene").isNotNull() & F.col("contig").isNotNull()).select(
-        "contig", "gene", F.regexp_extract("value", SUMMARY, 2).try_cast("int").alias("bits"),
-        F.regexp_extract("value", SUMMARY, 3).alias("evalue"), "place")
+    return owned.filter(F.col("gene").isNotNull() & (F.col("contig") != "")).select(
+        "contig", "gene", "bits", "evalue", "place")
 
 
 def blastp_descriptions(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -101,24 +140,24 @@ def blastp_descriptions(spark: SparkSession, path: str | list[str]) -> DataFrame
 
     A description without its closing bracket runs on over the next line.
     """
-    lines = with_next(_lines(spark, path), "value", "file", "split", "row", "next")
-    heads = lines.filter(F.col("value").rlike(DESCRIPTION))
-    text = F.regexp_extract("value", DESCRIPTION, 2)
-    rest = F.regexp_extract(F.coalesce("next", F.lit("")), r"^(.*?)\]", 1)
+    records = _records(spark, path).withColumn("text", F.concat(F.lit(">"), "value"))
+    head = records.filter(_line(0).rlike(DESCRIPTION)).select("file", "split", "row", _line(0).alias("head"), _line(1).alias("next"))
+    text = F.regexp_extract("head", DESCRIPTION, 2)
+    rest = F.regexp_extract("next", r"^(.*?)\]", 1)
     whole = F.when(F.rtrim(text).endswith("]"), F.regexp_replace(text, r"\]\s*$", "")).otherwise(
         F.concat(text, rest))
-    return heads.select(
-        F.regexp_extract("value", DESCRIPTION, 1).alias("gene"), whole.alias("description"),
+    return head.select(
+        F.regexp_extract("head", DESCRIPTION, 1).alias("gene"), whole.alias("description"),
         F.struct("file", "split", "row").alias("place"))
 
 
 def read_bp_hits(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Condensed hits (file, id, start, end): ``SUB:`` names the subject of the lines below."""
     lines = _lines(spark, path).select(
-        "file", "split", F.struct("split", "row").alias("place"), "value",
-        _found(r"SUB:(\w\S*)", 1).alias("id"), F.col("value").rlike(HIT).alias("hit"))
+        "file", "split", F.struct("split", "row").alias("place"),
+        _found(r"SUB:(\w\S*)", 1).alias("id"), F.col("value").rlike(HIT).alias("hit"),
+        F.regexp_extract("value", HIT, 1).try_cast("long").alias("start"),
+        F.regexp_extract("value", HIT, 2).try_cast("long").alias("end"))
     used = lines.filter(F.col("id").isNotNull() | F.col("hit"))
     named = fill_forward(used, "id", "file", "place", F.col("split"))
-    return named.filter("hit").select(
-        "file", "id", F.regexp_extract("value", HIT, 1).try_cast("long").alias("start"),
-        F.regexp_extract("value", HIT, 2).try_cast("long").alias("end"))
+    return named.filter("hit").select("file", "id", "start", "end")

@@ -15,10 +15,10 @@ def read_intervals(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def wide_to_vectors(wide: DataFrame) -> DataFrame:
-    """First column as ``name``, all others as one array ``vec``."""
+    """First column as ``name``, all others as one array ``vec``; a cell without a number is 0."""
     name, *samples = wide.columns
-    return wide.select(F.col(f"`{name}`").alias("name"),
-                       F.array(*[F.col(f"`{c}`") for c in samples]).cast("array<double>").alias("vec"))
+    numbers = [F.coalesce(F.col(f"`{c}`").try_cast("double"), F.lit(0.0)) for c in samples]
+    return wide.select(F.col(f"`{name}`").alias("name"), F.array(*numbers).alias("vec"))
 
 
 def read_matrix(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -36,19 +36,19 @@ def read_substitutions(spark: SparkSession, path: str, scale: float = 0.0001) ->
 
 def read_tracking(spark: SparkSession, path: str | list[str], id_column: int = 0,
                   value_column: int = 10) -> DataFrame:
-    """Tracking file as (file, split, row, gene, chr, value): columns by place, header skipped.
+    """Tracking file as (file, split, row, gene, chr, value): columns by place, first line skipped.
 
+    A value that is no number is NULL and its row stays, so it counts as a row of its group.
     The chromosome is the number before a colon; lines without one have NULL (see
     ``fill_forward`` for the older habit of taking the line above).
     """
-    lines = read_records(spark, path)
+    lines = read_records(spark, path, header=True)
     fields = F.split("value", "\t")
-    rows = lines.select(
+    return lines.select(
         "file", "split", "row",
         F.get(fields, F.lit(id_column)).alias("gene"),
         F.nullif(F.regexp_extract("value", r"(\d+):", 1), F.lit("")).alias("chr"),
         F.get(fields, F.lit(value_column)).try_cast("double").alias("value"))
-    return rows.filter(F.col("value").isNotNull())
 
 
 def read_motifs(spark: SparkSession, path: str | list[str]) -> DataFrame:

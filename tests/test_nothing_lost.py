@@ -1,0 +1,149 @@
+"""Ordinary input that loses or mixes up nothing: odd cells, names, letters, scores and folders."""
+
+import pytest
+
+from conftest import rows
+from seqframe import sinks, sources
+from seqframe.operators import align, hits, kgrams, linkage, profile, seeds, similarity, tree
+
+
+@pytest.mark.parametrize("size", ["134217728", "40"])
+def test_tracking_rows_without_numbers_stay(spark, lines_file, size):
+    head = "\t".join(["3:9"] + ["x"] * 9 + ["7"])
+    body = [("g1", "NA"), ("g2", "-"), ("g3", ""), ("g4", "2.5"), ("g5", "0")]
+    lines = [g + "\t-" * 5 + "\t3:1-5" + "\t-" * 3 + "\t" + v for g, v in body] + ["short\t3:2"]
+    path = lines_file("t.txt", "\n".join([head, *lines]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        found = sources.read_tracking(spark, path)
+        assert rows(found.select("gene", "chr", "value")) == rows(spark.createDataFrame(
+            [("g1", "3", None), ("g2", "3", None), ("g3", "3", None), ("g4", "3", 2.5), ("g5", "3", 0.0), ("short", "3", None)],
+            "gene string, chr string, value double"))
+        totals = profile.group_profile(found, "chr", "gene", "value", "row").first()
+        assert (totals.n_total, totals.n_nonzero, totals.min_id) == (6, 1, "g4")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_blank_cells_of_a_matrix(spark, lines_file):
+    path = lines_file("m.txt", "g\ta\tb\tc\nx\t1\t\t2\ny\t3\t1\tNA\nz\t\t2\t5\nu\t1\t5\t2\nv\t7\t1\t0\n")
+    matrix = sources.read_matrix(spark, path)
+    assert rows(matrix)[2] == ("x", [1.0, 0.0, 2.0])
+    leaf_rows = linkage.leaves(matrix, "name", "vec")
+    for kind in (linkage.linkage_single, linkage.linkage_complete, linkage.linkage_average):
+        assert kind(leaf_rows).count() == 4
+    assert similarity.pairwise_pearson(matrix, "name", "vec", -1.0).count() == 10
+
+
+@pytest.mark.parametrize("bad", [[1.0, None], [1.0, float("nan")], [float("inf"), 1.0], None])
+def test_vectors_without_numbers_are_named(spark, bad):
+    df = spark.createDataFrame([("a", [1.0, 2.0]), ("odd one", bad), ("c", [2.0, 1.0])], "g string, v array<double>")
+    with pytest.raises(Exception, match="odd one|vectors have"):
+        linkage.leaves(df, "g", "v")
+    with pytest.raises(Exception, match="odd one|vectors have"):
+        similarity.pairwise_pearson(df, "g", "v", 0.0).collect()
+
+
+def test_vectors_of_several_widths(spark):
+    df = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0])], "g string, v array<double>")
+    with pytest.raises(ValueError):
+        linkage.leaves(df, "g", "v")
+
+
+@pytest.mark.parametrize("a, b", [("中", "文"), ("é", "è"), ("Ā", "Ă"), ("A", "Ł")])
+def test_different_letters_do_not_match(spark, a, b):
+    qs = spark.createDataFrame([(1, "ACGT" + a + "ACGT")], "q long, seq string")
+    ts = spark.createDataFrame([(1, "ACGT" + b + "ACGT"), (2, "ACGT" + a + "ACGT")], "t long, seq string")
+    seed = spark.createDataFrame([(1, 1, 0, 0, 4), (1, 2, 0, 0, 4)],
+                                 "q_id long, t_id long, q_pos long, t_pos long, length long")
+    plain = {r.t_id: r.score for r in seeds.extend_ungapped(seed, qs, ts, ("q", "seq"), ("t", "seq"), 1, 2).collect()}
+    assert plain == {1: 6, 2: 9}
+    gapped = {r.t_id: r.score for r in align.align_seeds(
+        seed, qs, ts, ("q", "seq"), ("t", "seq"), None, 1, 2, 5, 2).collect()}
+    assert gapped == {1: 6, 2: 9}
+
+
+def test_leaf_names_with_signs(spark):
+    merges = spark.createDataFrame([("n1", "+a", "-b"), ("n2", "n1", "c")], "node string, left string, right string")
+    assert rows(tree.leaf_order(merges)) == [("+a", 1), ("-b", 2), ("c", 3)]
+
+
+REPORT = """Query= q1 first
+
+Length=10
+>lcl|s1 protein one
+
+Length=50
+ Score = 9, Expect = 1e-5
+>lcl|s2
+
+ Score = 9, Expect = 1e-7
+>
+
+Length=5
+ Score = 1, Expect = 2
+Query=
+
+Length=7
+>lcl|s3 lost
+Length=8
+ Expect = 3
+Query= q2 no length
+"""
+
+
+def test_other_names_and_counts_of_what_is_left_out(spark, lines_file):
+    path = lines_file("r.txt", REPORT)
+    name = r"^>\s?(\S+)\s*(.*)$"
+    queries, subjects = sources.read_blastn_report(spark, path, name)
+    assert rows(queries.select("query_name", "query_length")) == [("q1", 10)]
+    assert rows(subjects.select("name", "description", "length", "expect")) == [("lcl|s1", "protein one", 50, "1e-5")]
+    skipped = sources.blastn_skipped(spark, path, name)
+    assert rows(skipped.drop("file")) == [
+        ("query", "no length", 1), ("query", "no name", 1), ("subject", "no length", 1), ("subject", "no name", 1),
+        ("subject", "query skipped", 1)]
+
+
+def test_contigs_of_other_names_and_decimal_scores(spark, lines_file):
+    path = lines_file("p.txt", "Query= VCU1contig1\nx [gene=a] [protein=p...   75.5  1e-9\nQuery= NODE_7\n"
+                               "x [gene=b] [protein=p...   120  1e-8\n")
+    assert rows(sources.blastp_summary(spark, path).drop("place")) == [("VCU1contig1", "a", 75.5, "1e-9")]
+    assert rows(sources.blastp_summary(spark, path, r"^Query= (\S+)").drop("place")) == [
+        ("NODE_7", "b", 120.0, "1e-8"), ("VCU1contig1", "a", 75.5, "1e-9")]
+
+
+def test_writers_refuse_a_folder_that_is_there(spark, tmp_path):
+    contigs = spark.createDataFrame([("g1", "c1", "1")], "gene string, contig string, evalue string")
+    sinks.write_multi_contig(contigs, str(tmp_path / "m"))
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
+        sinks.write_multi_contig(contigs, str(tmp_path / "m"))
+
+
+def test_queries_with_many_rows_and_none(spark):
+    queries = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "d")], "q long, name string")
+    subjects = spark.createDataFrame([(1, 5.0), (1, 6.0), (3, 7.0), (9, 8.0)], "q long, score double")
+    assert rows(hits.query_hits(queries, subjects, "q")) == [
+        (1, "a", 5.0), (1, "a", 6.0), (2, "b", None), (3, "c", 7.0), (None, "d", None)]
+    assert rows(hits.query_nohits(queries, subjects, "q")) == [(2, "b"), (None, "d")]
+
+
+@pytest.mark.parametrize("size", ["134217728", "37"])
+def test_records_in_pieces(spark, lines_file, size):
+    """A record over many lines and splits has the windows and sizes of the whole record."""
+    long = "ACGTTGCAAGGCTA" * 40
+    text = "junk\n>a one\n" + "\r\n".join(long[i:i + 11] for i in range(0, len(long), 11)) + "\n>b\n>c\nacg\n\nT"
+    path = lines_file("f.fa", text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        pieces = sources.read_fasta_pieces(spark, path)
+        whole = sources.read_fasta(spark, path).filter("header != 'junk'")
+        joined = {}
+        for r in pieces.orderBy("offset").collect():
+            assert len(joined.get(r.header, "")) == r.offset
+            joined[r.header] = joined.get(r.header, "") + r.piece
+        assert joined == {"a one": long, "b": "", "c": "ACGT"} == {r.header: r.seq for r in whole.collect()}
+        assert rows(kgrams.windows_of_pieces(pieces, ["header"], 5, 64)) == rows(
+            kgrams.windows(whole, ["header"], "seq", 5))
+        assert rows(profile.piece_stats(pieces)) == rows(profile.contig_stats(whole, "file", "seq"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

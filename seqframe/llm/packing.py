@@ -10,6 +10,7 @@ of their length.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from bisect import bisect_right
@@ -24,34 +25,83 @@ from ..session import cut_lineage, task_count
 from . import blocks as B
 
 #: Words whose ids a worker remembers; rows tokenized at a time.
-CACHE_WORDS, ROWS = 300_000, 500
+CACHE_WORDS, ROWS = 800_000, 500
 #: Third lengths tried for each length, the most frequent ones; steps of the solver.
 THIRDS, STEPS = 24, 120
 
 
+#: Where a letter meets an ASCII character that is none; no token of the tokenizer spans that place.
+_BOUNDARY = re.compile(r"(?<=[^\W\d_])(?=[!-@\[-`{-~])")
+
+
+class _Words:
+    """Ids of words, remembered. The tokenizer cuts at white space, and behind runs of letters, before it
+    merges; so words between blanks, and the letters of a word before its punctuation, are encoded once."""
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _one_by_one(self, words: list[str]) -> None:
+        for word, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+            self.known[word] = array("I", e.ids).tobytes()
+
+    def _encode(self, words: list[str]) -> None:
+        """Words of letters, many in one text: the last id of each is known by its mark."""
+        groups = [words[i:i + 64] for i in range(0, len(words), 64)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(group) or cuts[-1] != len(ids):  # letters that change as they are normalised
+                self._one_by_one(group)
+                continue
+            data, first = ids.tobytes(), 0
+            for word, cut in zip(group, (4 * cuts).tolist()):
+                self.known[word] = data[first:cut]
+                first = cut
+
+    def learn(self, words: set[str]) -> None:
+        known = self.known
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        fresh = [w for w in words if w not in known]
+        # capitals of ASCII words make no difference
+        letters = {w: w.lower() if w.isascii() else w for w in fresh if w.isalpha()}
+        mixed, odd = {}, []
+        for w in fresh:
+            if w in letters:
+                continue
+            parts = _BOUNDARY.split(w)
+            if len(parts) == 1 or "<|" in w:  # the tokenizer looks for its special tokens, "<|...|>", first
+                odd.append(w)
+            else:
+                mixed[w] = [p.lower() if p.isascii() else p for p in parts]
+        new = [p for p in set(letters.values()).union(*mixed.values()) if p not in known]
+        plain = [p for p in new if p.isalpha()]
+        for at in range(0, len(plain), 64_000):
+            self._encode(plain[at:at + 64_000])
+        self._one_by_one([*(p for p in new if not p.isalpha()), *odd])
+        known.update((w, known[p]) for w, p in letters.items() if w is not p)
+        known.update((w, b"".join([known[p] for p in parts])) for w, parts in mixed.items())
+
+
 @lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-    return Tokenizer.from_file(path), {}
+def _words(path: str) -> _Words:
+    return _Words(path)
 
 
 def token_ids(texts: list[str | None], path: str, end_id: int) -> list[bytes]:
-    """Little-endian 32-bit ids of each text, with ``end_id`` behind.
-
-    The tokenizer cuts at white space before it merges, so words between blanks are encoded once each.
-    """
-    tokenizer, known = _tokenizer(path)
+    """Little-endian 32-bit ids of each text, with ``end_id`` behind."""
+    words = _words(path)
     split = [t.split(" ") if isinstance(t, str) else [] for t in texts]
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    new = list(set().union(*split) - known.keys())
-    for at in range(0, len(new), 10_000):
-        part = new[at:at + 10_000]
-        for word, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-            known[word] = array("I", e.ids).tobytes()
+    words.learn(set().union(*split))
     end = array("I", [end_id]).tobytes()
-    return [b"".join(map(known.__getitem__, words)) + end for words in split]
+    return [b"".join(map(words.known.__getitem__, own)) + end for own in split]
 
 
 def token_pieces(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2,

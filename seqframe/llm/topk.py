@@ -153,7 +153,12 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                     reach = (scores + error[:, None] >= low[:, None]) & (q_ids[:, None] != ids[None, :])
                     a, b = np.nonzero(reach)
                     exact = _resolve(q, x, a, b)
-                    yield pd.DataFrame({"query_id": q_ids[a], "vec_id": ids[b], "score": exact})
+                    # however many rows of the block tie at the cutoff, the k best of them suffice
+                    order = np.lexsort((ids[b], ~exact, a))  # ~ turns the order round and cannot overflow
+                    a, b, exact = a[order], b[order], exact[order]
+                    place = np.arange(len(a)) - np.searchsorted(a, a, "left")
+                    best = place < k
+                    yield pd.DataFrame({"query_id": q_ids[a[best]], "vec_id": ids[b[best]], "score": exact[best]})
 
     found = stored.select("uri").repartition(tasks, "uri").mapInPandas(
         sufficient, "query_id long, vec_id long, score long")

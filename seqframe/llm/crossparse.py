@@ -202,12 +202,14 @@ def predict(docs: DataFrame, model: Model, keep: list[str | Column], text: str =
     plain = rows.drop("_text")
     out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema] + ["lang_pred string", "score double"])
     B.bounded_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    texts_by_language = model.texts
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # labelled texts travel, bounded as they are; automata live as long as a task
+        model = Model(texts_by_language)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            names, score = held.value.predict(texts)
+            names, score = model.predict(texts)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(score, pa.float64())],
                 [*batch.schema.names[:-1], "lang_pred", "score"])

@@ -119,6 +119,8 @@ def token_pieces(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2
                                      *([np.frombuffer(piece, "<i4")] if keep_ids else [])))
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
                 yield pd.DataFrame(rows, columns=names)
+        # workers live on after a task; what it learned need not
+        _words(path).known.clear()
 
     B.bounded_batches(docs.sparkSession)
     rows = docs.select(B.numbered(id_column).alias("doc_id"), F.col(text).cast("string").alias("text"))

@@ -29,27 +29,28 @@ BLOCK_LINES = 512
 #: Payloads from this size on are written once; equal ones after the first are revisits.
 REVISIT_BYTES = 100
 
+_CONTROL = re.compile(r"[\x00-\x1f\x7f]")
+
 RECORDS = ("page_id long, url string, payload_bytes long, payload_digest string, record_type string, "
            "refers_to long")
 
 
 def reversed_host_key(url: str | None) -> str:
     """Sort key of a URL: host parts from the right, port, path and query. Null: empty."""
-    if url is None:
-        return ""
+    plain = _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", (url or "").strip())
     try:
-        parts = urlsplit(url.strip())
+        parts = urlsplit(plain)
         host, port = (parts.hostname or "").rstrip("."), parts.port
     except ValueError:
-        return url.strip()
+        return plain
     if not host:
-        return url.strip()
+        return plain
     name = ",".join(reversed(host.split("."))) + (f":{port}" if port else "")
     return f"{name}){parts.path or '/'}" + (f"?{parts.query}" if parts.query else "")
 
 
 def _header(fields: list[tuple[str, object]]) -> bytes:
-    lines = [f"{k}: " + re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", str(v)) for k, v in fields]
+    lines = [f"{k}: " + _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", str(v)) for k, v in fields]
     return "\r\n".join(lines).encode() + b"\r\n\r\n"
 
 
@@ -93,17 +94,20 @@ def parse(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 
 
 def captures(pages: DataFrame, id_column: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """Pages with key, digest and the record they refer to; revisits carry no payload on."""
+    """Pages with key, size and digest (``kind`` 1), and ahead of those that repeat the payload of another
+    page a row (``kind`` 0) with the id that they refer to. Payloads stay where they are read until
+    the one sort that the archives need; what is equal is found out on digests alone."""
     rows = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"),
                         F.coalesce(F.col(payload).cast("string"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload").cast("long"))
-    first = (rows.filter(F.col("size") >= REVISIT_BYTES).groupBy("digest")
-             .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1"))
-    # equal payloads hold one row each in `first`, so a digest that many pages share is split by the join
-    joined = rows.join(first.select("digest", "first"), "digest", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return joined.select("page_id", "url", "size", "digest", F.when(revisit, F.col("first")).alias("refers_to"),
-                         F.when(~revisit, F.col("payload")).alias("payload"))
+    rows = _keyed(rows).withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload").cast("long")})
+    long = rows.filter(F.col("size") >= REVISIT_BYTES).select("key", "number", "page_id", "digest")
+    first = (long.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies"))
+             .filter("copies > 1 and refers_to is not null").select("digest", "refers_to"))
+    again = (long.join(first, "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+             .select("key", "number", F.lit(0).alias("kind"), "digest", "refers_to").distinct())
+    whole = rows.select("key", "number", F.lit(1).alias("kind"), "digest", F.lit(B.NO_ID).alias("refers_to"),
+                        "url", "size", "payload")
+    return whole.unionByName(again, allowMissingColumns=True)
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
@@ -135,19 +139,24 @@ def write(pages: DataFrame, path: str, id_column: str = "page_id", url: str = "u
             directory.append(((lines[0][0], lines[0][1]), *index.write(zlib.compress(data))))
             lines.clear()
 
+        place, refers = None, {}
         for f in frames:
             for r in f.itertuples(index=False):
+                if (r.key, r.number) != place:
+                    place, refers = (r.key, r.number), {}
+                if r.kind == 0:
+                    refers[r.digest] = int(r.refers_to)
+                    continue
                 if out is None:
                     out, index = B.Writer(f"{name}.warc.gz"), B.Writer(f"{name}.idx")
                 own = None if r.number == B.NO_ID else int(r.number)
+                again = refers.get(r.digest)
                 data = record(own, r.url if isinstance(r.url, str) else None, int(r.size), r.digest,
-                              None if r.payload is None else bytes(r.payload),
-                              None if r.refers_to == B.NO_ID else int(r.refers_to))
-                key = re.sub(r"[\t\n]", lambda m: f"%{ord(m[0]):02X}", r.key)
+                              bytes(r.payload) if again is None else None, again)
                 # equal captures stay in one block
-                if len(lines) >= BLOCK_LINES and (key, r.number) != lines[-1][:2]:
+                if len(lines) >= BLOCK_LINES and place != lines[-1][:2]:
                     close_block()
-                lines.append((key, r.number, *out.write(gzip.compress(data, 6, mtime=0))))
+                lines.append((*place, *out.write(gzip.compress(data, 6, mtime=0))))
         if out is not None:
             close_block()
             out.close()
@@ -156,10 +165,9 @@ def write(pages: DataFrame, path: str, id_column: str = "page_id", url: str = "u
             yield pd.DataFrame({"archive": [name], "key": [directory[0][0][0]], "number": [directory[0][0][1]],
                                 "blocks": [len(directory)]})
 
-    rows = _keyed(captures(pages, id_column, url, payload))
-    rows = rows.select("key", "number", "url", "size", "digest", B.numbered("refers_to").alias("refers_to"), "payload")
+    rows = captures(pages, id_column, url, payload)
     return cut_lineage(
-        rows.repartitionByRange(task_count(spark), "key", "number").sortWithinPartitions("key", "number")
+        rows.repartitionByRange(task_count(spark), "key", "number").sortWithinPartitions("key", "number", "kind")
         .mapInPandas(archive, "archive string, key string, number long, blocks long"), "archives")
 
 
@@ -214,7 +222,7 @@ def read(archives: DataFrame, wanted: DataFrame, payload: bool = True) -> DataFr
         for f in frames:
             rows, size = [], 0
             for key, number in zip(f["key"], f["number"]):
-                for data in index.find(re.sub(r"[\t\n]", lambda m: f"%{ord(m[0]):02X}", key), number):
+                for data in index.find(key, number):
                     fields, http, body = parse(data)
                     digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
                     kind = fields["WARC-Type"]

@@ -7,8 +7,8 @@ pages a host has. Tokens with one vector form an equivalence class. A class is v
 tags and occurs in several different pages; valid classes are nested by the paths of their tags. Text
 blocks in a valid class belong to the template, whatever place they have. The places left between template
 tokens are slots; of these, menus, headers, footers, side bars, forms, adverts and comments are known by
-the containers they lie in, and the main text is the slot of the article, or else the slot that holds most
-unlinked text over all pages of the host.
+the containers they lie in, and the main text is the slot of the article, or else the innermost one that holds
+most unlinked text over all pages of the host.
 """
 
 from __future__ import annotations
@@ -159,12 +159,23 @@ def _is_boilerplate(path: tuple[str, ...]) -> bool:
 
 
 def _slots(paths: Counter) -> list[tuple[str, ...]]:
-    """Main slots, given the unlinked text of each path: the articles, or else the fullest container."""
+    """Main slots, given the unlinked text of each path: the articles, or else the innermost container
+    that holds half of the text of the one around it, all the way in."""
     clean = {p: n for p, n in paths.items() if not _is_boilerplate(p)}
     articles = [p for p in clean if _is_article(p)]
     if articles or not clean:
         return sorted({p[:1 + next(i for i in range(len(p)) if _is_article(p[:i + 1]))] for p in articles})
-    return [max(clean.items(), key=lambda x: (x[1], x[0]))[0]]
+    at: tuple[str, ...] = ()
+    while True:
+        inside = Counter()
+        for p, n in clean.items():
+            if p[:len(at)] == at and len(p) > len(at):
+                inside[p[:len(at) + 1]] += n
+        total = sum(n for p, n in clean.items() if p[:len(at)] == at)
+        best = max(inside.items(), key=lambda x: (x[1], x[0]), default=((), 0))
+        if total <= 0 or 2 * best[1] < total:
+            return [at]
+        at = best[0]
 
 
 def _tokens(page: str | None) -> list[tuple[int, bool, str, int, int]]:

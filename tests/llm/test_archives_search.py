@@ -220,6 +220,14 @@ def test_extraction_without_articles(spark):
     assert {r.text for r in extract(spark, pages)} == {f"Story number {i} is a long one with many words" for i in range(6)}
 
 
+def test_extraction_of_sections_in_one_container(spark):
+    body = "<div id='wrap'><div class='content'>{}</div><div class='sidebar'>Side {}</div><div id='x'>Tip {}</div></div>"
+    pages = [page(i, body.format("".join(f"<section><p>Part {k} of story {i} goes on</p></section>" for k in range(4)), i, i),
+                  "f.example") for i in range(6)]
+    assert {r.page_id: r.text for r in extract(spark, pages)} == {
+        i: " ".join(f"Part {k} of story {i} goes on" for k in range(4)) for i in range(6)}
+
+
 def test_extraction_of_odd_pages(spark):
     copy = page(50, "<article><p>A copy</p></article>", "c.example")[2]
     pages = [(i, "http://c.example/x", copy) for i in range(50, 60)]

@@ -1,8 +1,10 @@
 """Quality of a text by compression: which of two dictionaries shortens it more.
 
 zstandard dictionaries are built from texts labelled good and bad. A text is compressed block by block
-with either; the difference of the two sizes over their sum is its feature, and a logistic curve,
-fitted on labelled rows that no dictionary saw, makes it the probability of label 1.
+with either; the difference of the two sizes over their sum is its feature. Text that repeats itself
+shortens with any dictionary, which the difference does not show; so a share of bytes left that is below
+what nearly all good texts reach counts too. A logistic curve, fitted on labelled rows that no
+dictionary saw, makes both the probability of label 1.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ DICTIONARY_BYTES = 32_768
 #: Bytes compressed on their own, so that the dictionary counts in all parts of a long text.
 BLOCK = 2048
 LEVEL = 3
+#: Part of the good rows that may fall below the share of bytes left from which on it does not count.
+REPETITIVE = 0.1
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
@@ -38,16 +42,17 @@ def _dictionary(texts: list[bytes]) -> bytes:
 class Model:
     """Two dictionaries and the curve; without both labels the score is the share of label 1."""
 
-    def __init__(self, good: bytes, bad: bytes, slope: float = 0.0, base: float = 0.0) -> None:
-        self.good, self.bad, self.slope, self.base = good, bad, slope, base
+    def __init__(self, good: bytes, bad: bytes, base: float = 0.0) -> None:
+        self.good, self.bad, self.floor, self.curve = good, bad, 0.0, (0.0, 0.0, base)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "tools"}
 
-    def feature(self, text: str | None) -> float:
-        """(bytes with the bad dictionary - with the good one) / their sum, over all blocks; empty: 0."""
+    def features(self, text: str | None) -> tuple[float, float]:
+        """(bytes with the bad dictionary - with the good one) / their sum, over all blocks, and the
+        smaller share of bytes left. An empty text has no difference and repeats nothing."""
         if not text or not self.good or not self.bad:
-            return 0.0
+            return 0.0, 1.0
         if not hasattr(self, "tools"):
             self.tools = []
             for d in (self.good, self.bad):
@@ -57,18 +62,21 @@ class Model:
                     dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False))
         data = text.encode()
         sizes = [sum(len(c.compress(data[i:i + BLOCK])) for i in range(0, len(data), BLOCK)) for c in self.tools]
-        return (sizes[1] - sizes[0]) / (sizes[0] + sizes[1])
+        return (sizes[1] - sizes[0]) / (sizes[0] + sizes[1]), min(sizes) / len(data)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        x = np.array([self.feature(t) for t in texts], float)
-        return 1 / (1 + np.exp(-np.clip(self.slope * x + self.base, -500, 500)))
-
-
-def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Logistic regression of one feature by Newton's steps, slightly damped."""
-    scale = float(np.abs(x).max()) or 1.0
-    rows, damp = np.stack([x / scale, np.ones(len(x))], axis=1), np.diag([1e-2, 1e-6])
-    at = np.zeros(2)
+        x = np.array([self.features(t) for t in texts], float).reshape(-1, 2)
+        slope, weight, base = self.curve
+        logit = slope * x[:, 0] + weight * np.minimum(x[:, 1], self.floor) + base
+        return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
+
+
+def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
+    """Logistic regression by Newton's steps, slightly damped: a weight per feature, and the base."""
+    scale = np.abs(x).max(axis=0)
+    scale[scale == 0] = 1.0
+    rows, damp = np.column_stack([x / scale, np.ones(len(x))]), np.diag([*[1e-2] * x.shape[1], 1e-6])
+    at = np.zeros(rows.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(rows @ at, -30, 30)))
         slope = rows.T @ (weight * (y - p)) - damp @ at
@@ -76,7 +84,7 @@ def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, flo
         at = at + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
-    return float(at[0] / scale), float(at[1])
+    return (*(at[:-1] / scale).tolist(), float(at[-1]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text",
@@ -108,18 +116,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
     total = sum(sizes.values())
     if not own[0] or not own[1]:
         p = min(max(sizes.get(1, 0) / total, 1e-3), 1 - 1e-3)
-        return Model(b"", b"", 0.0, math.log(p / (1 - p)))
+        return Model(b"", b"", math.log(p / (1 - p)))
     # with few rows a third of them still goes to the curve
     cut = {y: min(DICTIONARY_ROWS, max(1, len(t) * 2 // 3)) for y, t in own.items()}
     model = Model(*(_dictionary([t.encode() for t in own[y][:cut[y]]]) for y in (1, 0)))
     x, y, w = [], [], []
     for mark, texts in own.items():
         held = texts[cut[mark]:] or texts
-        x += [model.feature(t) for t in held]
+        x += [model.features(t) for t in held]
         y += [mark] * len(held)
         w += [sizes[mark] / total / len(held)] * len(held)
     weight = np.array(w) * len(w)
-    model.slope, model.base = _curve(np.array(x), np.array(y, float), weight)
+    features, marks = np.array(x, float), np.array(y, float)
+    model.floor = float(np.quantile(features[marks == 1, 1], REPETITIVE))
+    model.curve = _curve(np.column_stack([features[:, 0], np.minimum(features[:, 1], model.floor)]), marks, weight)
     return model
 
 
@@ -137,12 +147,10 @@ def score(docs: DataFrame, model: Model, keep: list[str | Column], text: str = "
     rows = docs.select(*keep, F.col(text).cast("string").alias("_text"))
     out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_text").schema] + ["score double"])
     B.bounded_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            score = held.value.score(texts)
+            score = model.score(texts)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())],
                                              [*batch.schema.names[:-1], "score"])
 

@@ -25,8 +25,8 @@ from . import blocks as B
 #: The labelled sample: letters of a language's automaton, letters of all automata together, rows
 #: taken of a language, and the longest row taken while a language has shorter ones.
 LANGUAGE_LETTERS, ALL_LETTERS, SAMPLE_ROWS, ROW_LETTERS = 24_000, 240_000, 128, 8_000
-#: Letters with an own code; rarer ones share 32.
-OWN_CODES = 120
+#: Letters with an own code; rarer ones share the other codes.
+OWN_CODES, SHARED_CODES = 120, 8
 PIECE = 2048
 #: Weight of a bit of difference in the score.
 SHARPNESS = 0.1
@@ -59,16 +59,16 @@ def _by_language():
 
 
 class _Letters:
-    """Codes of letters: each frequent letter its own, rarer ones one of 32, all else a space."""
+    """Codes of letters: each frequent letter its own, rarer ones a shared one, all else a space."""
 
     def __init__(self, frequent: str) -> None:
         self.table = np.full(0x110000, _SPACE, np.uint8)
         rare = [i for i in range(0x110000) if chr(i).isalpha()]
-        self.table[rare] = 2 + len(frequent) + np.array(rare) % 32
+        self.table[rare] = 2 + len(frequent) + np.array(rare) % SHARED_CODES
         for i, c in enumerate(frequent):
             self.table[ord(c)] = 2 + i
         self.table[ord(_END)] = _STOP
-        self.size = 2 + len(frequent) + 32
+        self.size = 2 + len(frequent) + SHARED_CODES
 
     def codes(self, text: str) -> np.ndarray:
         """Codes with runs of other characters as one space."""
@@ -123,15 +123,16 @@ class Model:
     def build(self) -> Model:
         if not hasattr(self, "table"):
             self.letters = _Letters(self.frequent)
-            parts, roots, bits, base = [np.full((1, self.letters.size), -1)], [], [], 1  # state 0 follows nothing
+            parts, roots, bits, base = [np.full((1, self.letters.size), -1, np.int32)], [], [], 1  # state 0 follows nothing
             for text in self.texts.values():
                 codes = self.letters.codes(text)
                 part = _automaton(codes, self.letters.size)
-                parts.append(np.where(part >= 0, part + base, -1))
+                part[part >= 0] += base
+                parts.append(part)
                 roots.append(base)
                 bits.append(np.log2(len(codes) + 2))
                 base += len(part)
-            self.table = np.concatenate(parts).astype(np.int32).ravel()
+            self.table = np.concatenate(parts).ravel()
             self.roots, self.bits = np.array(roots, np.int32), np.array(bits)
         return self
 

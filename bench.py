@@ -22,8 +22,7 @@ HEADLINE = [
     "translate_codons", "symbol_frequencies", "markov_train", "markov_score", "pssm_scan",
     "pssm_top_hits", "matrix_power", "seed_exact", "seed_scored", "extend_ungapped",
     "pairwise_pearson", "read_fasta", "linkage_single", "linkage_complete", "linkage_average_vectors",
-    "leaf_order", "align_seeds", "search_assemblies", "read_blastn_report", "read_blastp_report", "report_best_hits",
-    "write_query_hits",
+    "leaf_order", "read_blastn_report", "read_blastp_report", "report_best_hits", "write_query_hits",
 ]
 
 

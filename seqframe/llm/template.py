@@ -47,9 +47,10 @@ NAMES = re.compile(
     r"gdpr|notice\w*|alert\w*|popup|modal|overlay|newsletter|subscribe|signup|login|share\w*|social\w*|"
     r"related|recommend\w*|pagination|pager|toolbar|skip\w*)(?=$|[\s_-])", re.I)
 
+# elements whose body is no markup are one token up to their own end tag
 _TOKEN = re.compile(
-    r"(<!--.*?(?:-->|\Z)|<(?:script|style|noscript|template|iframe|svg|math|canvas|object|select|textarea|button|"
-    r"title)\b[^>]*(?:>|\Z)|<[a-zA-Z/!?][^>]*(?:>|\Z))", re.S | re.I)
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|iframe)(?=[\s/>])[^>]*(?<!/)>.*?"
+    r"(?:</\1(?=[\s/>])[^>]*(?:>|\Z)|\Z)|<[a-zA-Z/!?][^>]*(?:>|\Z)", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)", re.S)
 _HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
@@ -94,14 +95,18 @@ def parse(page: str | None) -> tuple[list[Block], list[tuple[str, ...]]]:
         text.clear()
         linked = 0
 
-    for i, token in enumerate(_TOKEN.split(page or "")):
-        if i % 2 == 0:
-            if not skipping and token:
-                text.append(token)
-                linked += len(token) if links else 0
-            continue
+    page, at = page or "", 0
+    for found_token in _TOKEN.finditer(page):
+        token, between, at = found_token[0], page[at:found_token.start()], found_token.end()
+        if between and not skipping:
+            text.append(between)
+            linked += len(between) if links else 0
         if token.startswith("<!--"):
             continue
+        if found_token[1]:
+            if not skipping:
+                close_block()
+            continue
         m = _TAG.match(token)
         if not m:
             continue
@@ -133,6 +138,9 @@ def parse(page: str | None) -> tuple[list[Block], list[tuple[str, ...]]]:
         steps = tuple(s for _, s in path)
         if not shut:
             opened.append(steps)
+    if not skipping:
+        text.append(page[at:])
+        linked += len(page) - at if links else 0
     close_block()
     return found, opened
 

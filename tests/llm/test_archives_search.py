@@ -245,6 +245,14 @@ def test_extraction_of_odd_pages(spark):
     assert extract(spark, []) == []
 
 
+@pytest.mark.parametrize("script", [
+    "<script>for(i=0;i<n;i++){f(i)}</script>", "<script>var t='<!--'</script>", "<STYLE>a{content:'<b'}</STYLE >",
+    "<textarea>a <b</textarea>", "<svg><script>i<n</script></svg>", "<script src='x'/>", "<noscript><p>No <i</noscript>"])
+def test_bodies_without_markup_end_with_their_own_tag(script):
+    got, _ = template.parse(f"<body>{script}<article>one {script}<p>two</p></article>{script}three</body>")
+    assert [b.text for b in got] == ["one", "two", "three"]
+
+
 def extract(spark, pages):
     frame = spark.createDataFrame([(*p, "x", 1) for p in pages], "page_id long, url string, html string, text string, host int")
     return template.extract(frame).collect()

@@ -7,8 +7,8 @@ pages a host has. Tokens with one vector form an equivalence class. A class is v
 tags and occurs in several different pages; valid classes are nested by the paths of their tags. Text
 blocks in a valid class belong to the template, whatever place they have. The places left between template
 tokens are slots; of these, menus, headers, footers, side bars, forms, adverts and comments are known by
-the containers they lie in, and the main text is the slot of the article, or else the innermost one that holds
-most unlinked text over all pages of the host.
+the containers they lie in, and the main text is the slot of the article, or else the innermost container around
+all other text of the host's pages that is no link and more than a short line alone in its container.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from . import blocks as B
 LEAST_PAGES, LEAST_SHARE = 4, 0.5
 #: Template files that a task holds at a time, pages judged at a time.
 HELD, ROWS = 64, 500
+#: A line of so many words and letters at most that is alone in its container may stay outside the slot.
+LINE_WORDS, LINE_LETTERS = 3, 16
 
 # fixed values: HTML's elements by their use, and common names of containers without main text
 CONTAINERS = frozenset("html head body main article section div nav header footer aside form table ul ol dl "
@@ -40,6 +42,8 @@ SKIPPED = frozenset("script style noscript template iframe svg math canvas objec
 BOILERPLATE = frozenset("nav header footer aside form menu dialog fieldset head".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s "
                    "samp small span strike strong sub sup time tt u var wbr img".split())
+WHOLE = frozenset("ul ol dl menu table blockquote figure details".split())
+HEADLINES = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|promo\w*|sponsor\w*|sidebar\w*|side|widget\w*|nav\w*|menu\w*|"
@@ -56,12 +60,12 @@ _HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+
 
 
 class Block:
-    """A text block: containers around it, text, length of its linked part."""
+    """A text block: containers around it, text, length of its linked part, whether a headline."""
 
-    __slots__ = ("path", "text", "linked")
+    __slots__ = ("path", "text", "linked", "headline")
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int) -> None:
-        self.path, self.text, self.linked = path, text, linked
+    def __init__(self, path: tuple[str, ...], text: str, linked: int, headline: bool = False) -> None:
+        self.path, self.text, self.linked, self.headline = path, text, linked, headline
 
 
 def _step(name: str, rest: str) -> str:
@@ -85,13 +89,13 @@ def parse(page: str | None) -> tuple[list[Block], list[tuple[str, ...]]]:
     steps: tuple[str, ...] = ()
     text: list[str] = []
     linked = links = 0
-    skipping = ""
+    skipping, headline = "", False
 
     def close_block() -> None:
         nonlocal linked
         whole = " ".join(references.unescape("".join(text)).split())
         if whole:
-            found.append(Block(steps, whole, linked))
+            found.append(Block(steps, whole, linked, headline))
         text.clear()
         linked = 0
 
@@ -126,6 +130,7 @@ def parse(page: str | None) -> tuple[list[Block], list[tuple[str, ...]]]:
         if name in INLINE:
             continue
         close_block()
+        headline = not shut and name in HEADLINES or headline and name in VOID
         if name in VOID or name not in CONTAINERS and name != "head":
             continue
         if shut:
@@ -166,37 +171,55 @@ def _is_boilerplate(path: tuple[str, ...]) -> bool:
     return any(s.startswith("!") and not (s.startswith("!header") and _is_article(path[:i])) for i, s in enumerate(path))
 
 
+def _element(step: str) -> str:
+    return step.lstrip("!").partition(".")[0]
+
+
+def _weights(blocks: list[Block]) -> list[int]:
+    """Unlinked letters of each block; none for a short line alone in its container, as a badge is.
+
+    Headlines, entries of lists and tables, and text that stands in the body itself always count.
+    """
+    beside = Counter(b.path for b in blocks)
+
+    def alone(b: Block) -> bool:
+        return (not b.headline and beside[b.path] == 1 and len(b.text) <= LINE_LETTERS
+                and len(b.text.split()) <= LINE_WORDS and _element(b.path[-1] if b.path else "body") not in ("html", "body")
+                and not any(_element(s) in WHOLE for s in b.path))
+
+    return [0 if alone(b) else max(0, len(b.text) - b.linked) for b in blocks]
+
+
+def _common(first: tuple[str, ...], last: tuple[str, ...]) -> tuple[str, ...]:
+    """Innermost container around both paths, not inside a list, table or quote."""
+    n = 0
+    while n < min(len(first), len(last)) and first[n] == last[n] and _element(first[n]) not in WHOLE:
+        n += 1
+    return first[:n]
+
+
 def _slots(paths: Counter) -> list[tuple[str, ...]]:
-    """Main slots, given the unlinked text of each path: the articles, or else the innermost container
-    that holds half of the text of the one around it, all the way in."""
+    """Main slots, given the weight of the text of each path: the articles, or else the innermost container
+    around all text that counts."""
     clean = {p: n for p, n in paths.items() if not _is_boilerplate(p)}
     articles = [p for p in clean if _is_article(p)]
-    if articles or not clean:
+    if articles:
         return sorted({p[:1 + next(i for i in range(len(p)) if _is_article(p[:i + 1]))] for p in articles})
-    at: tuple[str, ...] = ()
-    while True:
-        inside = Counter()
-        for p, n in clean.items():
-            if p[:len(at)] == at and len(p) > len(at):
-                inside[p[:len(at) + 1]] += n
-        total = sum(n for p, n in clean.items() if p[:len(at)] == at)
-        best = max(inside.items(), key=lambda x: (x[1], x[0]), default=((), 0))
-        if total <= 0 or 2 * best[1] < total:
-            return [at]
-        at = best[0]
+    held = [p for p, n in clean.items() if n > 0]
+    return [_common(min(held), max(held))] if held else [()]
 
 
 def _tokens(page: str | None) -> list[tuple[int, bool, str, int, int]]:
-    """Key, whether a tag, path, unlinked characters and occurrences of each token of a page."""
+    """Key, whether a tag, path, weight and occurrences of each token of a page."""
     blocks, opened = parse(page)
     out: dict[int, list] = {}
     for path in opened:
         joined = "\x01".join(path)
         out.setdefault(_key("t", joined), [True, joined, 0, 0])[3] += 1
-    for b in blocks:
+    for b, weight in zip(blocks, _weights(blocks)):
         joined = "\x01".join(b.path)
         row = out.setdefault(_key("x", joined, b.text), [False, joined, 0, 0])
-        row[2] += max(0, len(b.text) - b.linked)
+        row[2] += weight
         row[3] += 1
     return [(k, *v) for k, v in out.items()]
 
@@ -258,8 +281,8 @@ def main_text(page: str | None, template: tuple[frozenset, list]) -> str:
     own = [b for b in blocks if any(b.path[:len(s)] == s for s in slots)]
     if not own:  # a page of another build than its host's
         paths: Counter = Counter()
-        for b in blocks:
-            paths[b.path] += max(0, len(b.text) - b.linked)
+        for b, weight in zip(blocks, _weights(blocks)):
+            paths[b.path] += weight
         slots = _slots(paths)
         own = [b for b in blocks if any(b.path[:len(s)] == s for s in slots)]
     return " ".join(b.text for b in own if _key("x", "\x01".join(b.path), b.text) not in fixed)

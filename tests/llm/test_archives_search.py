@@ -253,6 +253,32 @@ def test_bodies_without_markup_end_with_their_own_tag(script):
     assert [b.text for b in got] == ["one", "two", "three"]
 
 
+def texts(spark, bodies, host="g.example"):
+    """Extracted text of each body, as pages of one host."""
+    pages = [(i, f"http://{host}/{i}", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)]
+    return [t for _, t in sorted((r.page_id, r.text) for r in extract(spark, pages))]
+
+
+MIXED = {
+    "paragraphs and lists": ("<div class='content'><p>Words of page {i}</p><ul><li>A much longer entry {i}</li><li>B {i}</li></ul></div>",
+                             "Words of page {i} A much longer entry {i} B {i}"),
+    "unequal sections": ("<div class='c'><section id='intro'><p>Intro of {i} says</p></section><section id='story'>"
+                         "<p>Story number {i} is longer than that</p></section></div>",
+                         "Intro of {i} says Story number {i} is longer than that"),
+    "equal halves": ("<div id='a'><p>One half of {i} x</p></div><div id='b'><p>One half of {i} y</p></div>",
+                     "One half of {i} x One half of {i} y"),
+    "headline beside": ("<div id='t'><h1>Hi {i}</h1></div><div id='b'><p>The long text of page {i}</p></div>",
+                        "Hi {i} The long text of page {i}"),
+    "quote": ("<blockquote><p>A quote on {i} that is long</p></blockquote><p>So {i}</p>", "A quote on {i} that is long So {i}"),
+}
+
+
+@pytest.mark.parametrize("case", MIXED)
+def test_nothing_beside_the_largest_container_is_lost(spark, case):
+    body, text = MIXED[case]
+    assert texts(spark, [body.format(i=i) for i in range(6)]) == [text.format(i=i) for i in range(6)]
+
+
 def extract(spark, pages):
     frame = spark.createDataFrame([(*p, "x", 1) for p in pages], "page_id long, url string, html string, text string, host int")
     return template.extract(frame).collect()

@@ -39,17 +39,23 @@ CONTAINERS = frozenset("html head body main article section div nav header foote
                        "menu dialog fieldset details figure blockquote".split())
 SKIPPED = frozenset("script style noscript template iframe svg math canvas object select textarea button head "
                     "title".split())
-BOILERPLATE = frozenset("nav header footer aside form menu dialog fieldset head".split())
+BOILERPLATE = frozenset("nav header footer aside menu head".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s "
                    "samp small span strike strong sub sup time tt u var wbr img".split())
 WHOLE = frozenset("ul ol dl menu table blockquote figure details".split())
 HEADLINES = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|promo\w*|sponsor\w*|sidebar\w*|side|widget\w*|nav\w*|menu\w*|"
-    r"breadcrumb\w*|header|footer|masthead|copyright|comment\w*|disqus|reply|replies|respond|cookie\w*|consent|"
-    r"gdpr|notice\w*|alert\w*|popup|modal|overlay|newsletter|subscribe|signup|login|share\w*|social\w*|"
-    r"related|recommend\w*|pagination|pager|toolbar|skip\w*)(?=$|[\s_-])", re.I)
+NAMES = re.compile(  # a whole word of a class, an id or a role
+    r"(?:(?:site|page|main|left|right|top|bottom|primary|secondary|global|user)[_-])?"
+    r"(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|sidebar\w*|side|widgets?|nav(?:bar|igation)?|menus?|"
+    r"breadcrumbs?|header|footer|masthead|copyright|comments?|disqus|reply|replies|respond|cookies?|consent|"
+    r"gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|signup|login|shar(?:e|ing)|socials?|"
+    r"related|recommend(?:ed|ations?)|pagination|pager|toolbar|skip)"
+    r"(?:[_-](?:left|right|top|bottom|primary|secondary|list|box|bar|area|container|wrap|wrapper|inner|block|section|"
+    r"banner|links?|nav|menu|posts?|articles?|buttons?|\d+))*", re.I)
+ANSWERS = re.compile(r"(?:comments?|repl(?:y|ies)|teasers?)(?:[_-](?:list|box|item|body|\d+))*", re.I)
+#: Elements that are boilerplate unless most of a page stands in them, as containers with such names are.
+LIKELY = frozenset("form dialog fieldset".split())
 
 # elements whose body is no markup are one token up to their own end tag
 _TOKEN = re.compile(
@@ -69,16 +75,15 @@ class Block:
 
 
 def _step(name: str, rest: str) -> str:
-    """Name and hints of a container; ``!`` marks one without main text. Wrappers of a whole page never are."""
-    hints = " ".join(" ".join(g for m in _HINT.finditer(rest) for g in m.groups() if g).lower().split())
-    if name == "article":
-        named = re.search(r"\b(?:comment|repl(?:y|ies)|teaser)", hints)
-    else:
-        named = name not in ("html", "body", "main") and NAMES.search(hints)
+    """Name and hints of a container; ``!`` marks one without main text, ``?`` one that its name says so of.
+    Wrappers of a whole page never are."""
+    words = " ".join(" ".join(g for m in _HINT.finditer(rest) for g in m.groups() if g).lower().split())
+    names = ANSWERS if name == "article" else NAMES
+    named = name not in ("html", "body", "main") and any(names.fullmatch(w) for w in words.split())
     if re.search(r"\brole\s*=\s*[\"']?main\b", rest, re.I):
-        name, named = "main", None
-    mark = "!" if name in BOILERPLATE or named else ""
-    return f"{mark}{name}" + (f".{hints}" if hints else "")
+        name, named = "main", False
+    mark = "!" if name in BOILERPLATE else "?" if named or name in LIKELY else ""
+    return f"{mark}{name}" + (f".{words}" if words else "")
 
 
 def parse(page: str | None) -> tuple[list[Block], list[tuple[str, ...]]]:
@@ -171,8 +176,22 @@ def _is_boilerplate(path: tuple[str, ...]) -> bool:
     return any(s.startswith("!") and not (s.startswith("!header") and _is_article(path[:i])) for i, s in enumerate(path))
 
 
+def _content(blocks: list[Block]) -> list[Block]:
+    """Blocks outside boilerplate. A name is no more than a hint: what holds most of a page's unlinked text is none."""
+    blocks = [b for b in blocks if not _is_boilerplate(b.path)]
+    below: Counter = Counter()
+    for b in blocks:
+        for i, step in enumerate(b.path):
+            if step.startswith("?"):
+                below[b.path[:i + 1]] += max(0, len(b.text) - b.linked)
+    if not below:
+        return blocks
+    half = sum(max(0, len(b.text) - b.linked) for b in blocks) / 2
+    return [b for b in blocks if not any(s.startswith("?") and below[b.path[:i + 1]] <= half for i, s in enumerate(b.path))]
+
+
 def _element(step: str) -> str:
-    return step.lstrip("!").partition(".")[0]
+    return step.lstrip("!?").partition(".")[0]
 
 
 def _weights(blocks: list[Block]) -> list[int]:
@@ -201,11 +220,10 @@ def _common(first: tuple[str, ...], last: tuple[str, ...]) -> tuple[str, ...]:
 def _slots(paths: Counter) -> list[tuple[str, ...]]:
     """Main slots, given the weight of the text of each path: the articles, or else the innermost container
     around all text that counts."""
-    clean = {p: n for p, n in paths.items() if not _is_boilerplate(p)}
-    articles = [p for p in clean if _is_article(p)]
+    articles = [p for p in paths if _is_article(p)]
     if articles:
         return sorted({p[:1 + next(i for i in range(len(p)) if _is_article(p[:i + 1]))] for p in articles})
-    held = [p for p, n in clean.items() if n > 0]
+    held = [p for p, n in paths.items() if n > 0]
     return [_common(min(held), max(held))] if held else [()]
 
 
@@ -216,6 +234,7 @@ def _tokens(page: str | None) -> list[tuple[int, bool, str, int, int]]:
     for path in opened:
         joined = "\x01".join(path)
         out.setdefault(_key("t", joined), [True, joined, 0, 0])[3] += 1
+    blocks = _content(blocks)
     for b, weight in zip(blocks, _weights(blocks)):
         joined = "\x01".join(b.path)
         row = out.setdefault(_key("x", joined, b.text), [False, joined, 0, 0])
@@ -276,8 +295,7 @@ def deduce(pages: DataFrame, home: str, files: int) -> DataFrame:
 def main_text(page: str | None, template: tuple[frozenset, list]) -> str:
     """Blocks of the main slots without template texts, joined by one space."""
     fixed, slots = template
-    blocks, _ = parse(page)
-    blocks = [b for b in blocks if not _is_boilerplate(b.path)]
+    blocks = _content(parse(page)[0])
     own = [b for b in blocks if any(b.path[:len(s)] == s for s in slots)]
     if not own:  # a page of another build than its host's
         paths: Counter = Counter()

@@ -279,6 +279,19 @@ def test_nothing_beside_the_largest_container_is_lost(spark, case):
     assert texts(spark, [body.format(i=i) for i in range(6)]) == [text.format(i=i) for i in range(6)]
 
 
+@pytest.mark.parametrize("name", ["site-content has-sidebar", "content no-sidebar", "layout-sidebar-right", "side-by-side",
+                                  "elementor-widget-text-editor", "sidebar", "widget"])
+def test_names_are_no_more_than_hints(spark, name):
+    body = "<div class='{n}'><p>The story {i} of a page goes on</p><p>Part {i}</p><div class='sidebar-left'>Side {i}, more of it</div></div>"
+    assert texts(spark, [body.format(n=name, i=i) for i in range(6)]) == [
+        f"The story {i} of a page goes on Part {i}" for i in range(6)]
+
+
+def test_a_form_around_the_page_is_content():
+    page = "<body><form id='aspnetForm'><p>All of the page</p><div class='comments'>Nice</div></form></body>"
+    assert template.main_text(page, (frozenset(), [])) == "All of the page"
+
+
 def extract(spark, pages):
     frame = spark.createDataFrame([(*p, "x", 1) for p in pages], "page_id long, url string, html string, text string, host int")
     return template.extract(frame).collect()

@@ -227,48 +227,59 @@ def _slots(paths: Counter) -> list[tuple[str, ...]]:
     return [_common(min(held), max(held))] if held else [()]
 
 
-def _tokens(page: str | None) -> list[tuple[int, bool, str, int, int]]:
-    """Key, whether a tag, path, weight and occurrences of each token of a page."""
+def _tokens(page: str | None) -> tuple[int, list[tuple[int, bool, str, int, int, int]]]:
+    """Key of a page by its text, and of each token key, whether a tag, path, weight, weight of the page, occurrences.
+
+    Markup, comments, scripts and boilerplate are not part of the key. Weight is that of text in articles, if there are any.
+    """
     blocks, opened = parse(page)
     out: dict[int, list] = {}
     for path in opened:
         joined = "\x01".join(path)
         out.setdefault(_key("t", joined), [True, joined, 0, 0])[3] += 1
     blocks = _content(blocks)
-    for b, weight in zip(blocks, _weights(blocks)):
+    articles = any(_is_article(b.path) for b in blocks)
+    weights = [w if not articles or _is_article(b.path) else 0 for b, w in zip(blocks, _weights(blocks))]
+    for b, weight in zip(blocks, weights):
         joined = "\x01".join(b.path)
         row = out.setdefault(_key("x", joined, b.text), [False, joined, 0, 0])
         row[2] += weight
         row[3] += 1
-    return [(k, *v) for k, v in out.items()]
+    whole = sum(weights)
+    return _key(*(b.text for b in blocks)), [(k, tag, path, w, whole, n) for k, (tag, path, w, n) in out.items()]
 
 
 def deduce(pages: DataFrame, home: str, files: int) -> DataFrame:
     """Template files of all hosts: keys of template texts, main slots. ``pages``: host, html.
 
-    Equal pages of a host count once, so that copies of one article do not look like a template.
+    Pages of a host with equal text count once, so that copies of one article do not look like a template. Nor do near
+    copies: texts of one set of pages that are most of the text of those pages are none.
     """
     def tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(host, hash_, *t) for host, hash_, page in zip(f["host"], f["page"], f["html"]) for t in _tokens(page)]
-            yield pd.DataFrame(rows, columns=["host", "page", "token", "tag", "path", "chars", "n"])
-
-    counted = pages.withColumn("page", F.xxhash64("html"))
-    seen = counted.mapInPandas(tokens, "host string, page long, token long, tag boolean, path string, chars long, n long")
+            rows = []
+            for host, page in zip(f["host"], f["html"]):
+                key, found = _tokens(page)
+                rows += [(host, key, *t) for t in found]
+            yield pd.DataFrame(rows, columns=["host", "page", "token", "tag", "path", "chars", "around", "n"])
+
+    seen = pages.mapInPandas(tokens, "host string, page long, token long, tag boolean, path string, chars long, "
+                                     "around long, n long")
     # a page may come many times: the same vector entry, so one row per (token, page)
     entries = seen.groupBy("host", "token", "page").agg(
-        F.first("tag").alias("tag"), F.first("path").alias("path"), F.max("chars").alias("chars"), F.max("n").alias("n"))
+        F.first("tag").alias("tag"), F.first("path").alias("path"), F.max("chars").alias("chars"),
+        F.max("around").alias("around"), F.max("n").alias("n"))
     vector = F.sum(F.xxhash64("page", "n").cast("decimal(38,0)"))
     classes = entries.groupBy("host", "token").agg(
         F.first("tag").alias("tag"), F.first("path").alias("path"), F.sum("chars").alias("chars"),
-        F.count(F.lit(1)).alias("pages"), vector.cast("string").alias("vector"))
+        F.sum("around").alias("around"), F.count(F.lit(1)).alias("pages"), vector.cast("string").alias("vector"))
     # texts of few pages can be no template: only their sums per path go on
     classes = cut_lineage(
         classes.withColumn("rare", ~F.col("tag") & (F.col("pages") < LEAST_PAGES))
         .withColumn("token", F.when(F.col("rare"), 0).otherwise(F.col("token")))
         .withColumn("vector", F.when(~F.col("rare"), F.col("vector")))
         .groupBy("host", "tag", "path", "token", "vector")
-        .agg(F.sum("chars").alias("chars"), F.max("pages").alias("pages")), "classes")
+        .agg(F.sum("chars").alias("chars"), F.sum("around").alias("around"), F.max("pages").alias("pages")), "classes")
 
     def write(rows: pd.DataFrame) -> pd.DataFrame:
         templates = {}
@@ -278,6 +289,8 @@ def deduce(pages: DataFrame, home: str, files: int) -> DataFrame:
             valid = set(tags.loc[(tags["pages"] >= LEAST_PAGES) & (tags["pages"] >= LEAST_SHARE * total), "vector"])
             texts = own[~own["tag"]]
             fixed = texts[texts["vector"].isin(valid) & (texts["token"] != 0)]
+            of_set = fixed.groupby(["pages", "around"])["chars"].transform("sum")  # one set of pages, one sum around
+            fixed = fixed[2 * of_set <= fixed["around"]]
             paths: Counter = Counter()
             for path, chars in zip(texts["path"], texts["chars"]):
                 paths[tuple(path.split("\x01")) if path else ()] += int(chars)

@@ -292,6 +292,24 @@ def test_a_form_around_the_page_is_content():
     assert template.main_text(page, (frozenset(), [])) == "All of the page"
 
 
+def test_copies_of_an_article_are_no_template(spark):
+    """Five copies that differ in a comment, a script and a link; near copies; copies with an own container on half of the pages."""
+    body = "<!-- ad {i} --><script>track({i})</script><nav><a href='/{i}'>Go {i}</a></nav><article><h1>Head line</h1><p>Words of it</p></article>"
+    assert texts(spark, [body.format(i=i) for i in range(5)]) == ["Head line Words of it"] * 5
+    near = "<article><h1>Head line</h1><p>Words of it that stay</p><p>Visitor {i}</p></article>"
+    assert texts(spark, [near.format(i=i) for i in range(5)]) == [f"Head line Words of it that stay Visitor {i}" for i in range(5)]
+    half = "<article><blockquote>Quoted words of some length</blockquote><p>No {i}</p></article>"
+    other = "<article><p>Another story {i}, and it is much longer than what the others quote from elsewhere</p></article>"
+    got = texts(spark, [half.format(i=i) for i in range(5)] + [other.format(i=i) for i in range(5)])
+    assert got[:5] == [f"Quoted words of some length No {i}" for i in range(5)]
+
+
+def test_template_text_is_found_beside_copies(spark):
+    body = "<article><p>Story {i} is told here at length</p><p>Follow us</p><!-- {j} --></article>"
+    assert texts(spark, [body.format(i=j % 6, j=j) for j in range(12)]) == [
+        f"Story {j % 6} is told here at length" for j in range(12)]
+
+
 def extract(spark, pages):
     frame = spark.createDataFrame([(*p, "x", 1) for p in pages], "page_id long, url string, html string, text string, host int")
     return template.extract(frame).collect()

@@ -62,7 +62,9 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|iframe)(?=[\s/>])[^>]*(?<!/)>.*?"
     r"(?:</\1(?=[\s/>])[^>]*(?:>|\Z)|\Z)|<[a-zA-Z/!?][^>]*(?:>|\Z)", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)", re.S)
-_HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_HINT = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: What page-specific words hold, and what divides the parts of a path.
+_OWN = re.compile(r"[\d.#!?\x00\x01]")
 
 
 class Block:
@@ -75,15 +77,27 @@ class Block:
 
 
 def _step(name: str, rest: str) -> str:
-    """Name and hints of a container; ``!`` marks one without main text, ``?`` one that its name says so of.
-    Wrappers of a whole page never are."""
-    words = " ".join(" ".join(g for m in _HINT.finditer(rest) for g in m.groups() if g).lower().split())
+    """Element, words of class and role, and id of a container, without words that hold digits; ``!`` marks one without main text, ``?`` one that its name says so of.
+    Wrappers of a whole page never are, and they and articles have no hints."""
+    hints: dict[str, list[str]] = {"class": [], "id": [], "role": []}
+    for m in _HINT.finditer(rest):
+        hints[m[1].lower()] += (m[2] or m[3] or m[4] or "").lower().split()
     names = ANSWERS if name == "article" else NAMES
-    named = name not in ("html", "body", "main") and any(names.fullmatch(w) for w in words.split())
-    if re.search(r"\brole\s*=\s*[\"']?main\b", rest, re.I):
-        name, named = "main", False
+    if "main" in hints["role"]:
+        name = "main"
+    page = name in ("html", "body", "main")
+    named = not page and any(names.fullmatch(w) for words in hints.values() for w in words)
     mark = "!" if name in BOILERPLATE else "?" if named or name in LIKELY else ""
-    return f"{mark}{name}" + (f".{words}" if words else "")
+    if page or name == "article":
+        return mark + name
+    kinds = sorted({w for w in hints["class"] + hints["role"] if not _OWN.search(w)})
+    ids = [w for w in hints["id"] if not _OWN.search(w)]
+    return f"{mark}{name}" + (f".{' '.join(kinds)}" if kinds else "") + (f"#{' '.join(ids)}" if ids else "")
+
+
+def _plain(path: tuple[str, ...]) -> str:
+    """Path of a token: without ids, which may be those of one page."""
+    return "\x01".join(s.partition("#")[0] for s in path)
 
 
 def parse(page: str | None) -> tuple[list[Block], list[tuple[str, ...]]]:
@@ -191,7 +205,7 @@ def _content(blocks: list[Block]) -> list[Block]:
 
 
 def _element(step: str) -> str:
-    return step.lstrip("!?").partition(".")[0]
+    return re.split(r"[.#]", step.lstrip("!?"))[0]
 
 
 def _weights(blocks: list[Block]) -> list[int]:
@@ -217,43 +231,44 @@ def _common(first: tuple[str, ...], last: tuple[str, ...]) -> tuple[str, ...]:
     return first[:n]
 
 
-def _slots(paths: Counter) -> list[tuple[str, ...]]:
-    """Main slots, given the weight of the text of each path: the articles, or else the innermost container
-    around all text that counts."""
-    articles = [p for p in paths if _is_article(p)]
-    if articles:
-        return sorted({p[:1 + next(i for i in range(len(p)) if _is_article(p[:i + 1]))] for p in articles})
-    held = [p for p, n in paths.items() if n > 0]
-    return [_common(min(held), max(held))] if held else [()]
+def _slot(paths: list[tuple[str, ...]]) -> list[tuple[str, ...]]:
+    """The innermost container around all these paths, if there are any."""
+    return [_common(min(paths), max(paths))] if paths else []
 
 
-def _tokens(page: str | None) -> tuple[int, list[tuple[int, bool, str, int, int, int]]]:
+def _tokens(page: str | None) -> tuple[int, list[tuple[int, bool, str | None, int, int, int]]]:
     """Key of a page by its text, and of each token key, whether a tag, path, weight, weight of the page, occurrences.
 
-    Markup, comments, scripts and boilerplate are not part of the key. Weight is that of text in articles, if there are any.
+    Markup, comments, scripts and boilerplate are not part of the key. Weight is that of text in articles, if there are
+    any. The path is that of text that counts in a page without articles.
     """
     blocks, opened = parse(page)
     out: dict[int, list] = {}
     for path in opened:
-        joined = "\x01".join(path)
-        out.setdefault(_key("t", joined), [True, joined, 0, 0])[3] += 1
+        out.setdefault(_key("t", _plain(path)), [True, None, 0, 0])[3] += 1
     blocks = _content(blocks)
     articles = any(_is_article(b.path) for b in blocks)
     weights = [w if not articles or _is_article(b.path) else 0 for b, w in zip(blocks, _weights(blocks))]
+    paths: dict[int, list[tuple[str, ...]]] = {}
     for b, weight in zip(blocks, weights):
-        joined = "\x01".join(b.path)
-        row = out.setdefault(_key("x", joined, b.text), [False, joined, 0, 0])
+        key = _key("x", _plain(b.path), b.text)
+        row = out.setdefault(key, [False, None, 0, 0])
         row[2] += weight
         row[3] += 1
+        if weight and not articles:
+            paths.setdefault(key, []).append(b.path)
+    for key, held in paths.items():
+        out[key][1] = "\x01".join(_slot(held)[0])
     whole = sum(weights)
     return _key(*(b.text for b in blocks)), [(k, tag, path, w, whole, n) for k, (tag, path, w, n) in out.items()]
 
 
-def deduce(pages: DataFrame, home: str, files: int) -> DataFrame:
-    """Template files of all hosts: keys of template texts, main slots. ``pages``: host, html.
+def classes_of(pages: DataFrame) -> DataFrame:
+    """``host, token, pages, chars, around, low, high``: the texts in valid classes, and a row of token 0 a host for all
+    others. ``low`` and ``high`` are the least and greatest path, whose common part is that of all paths between.
 
-    Pages of a host with equal text count once, so that copies of one article do not look like a template. Nor do near
-    copies: texts of one set of pages that are most of the text of those pages are none.
+    A text in a valid class stands on LEAST_SHARE of its host's pages, so a host has no more rows than some pages have
+    texts, whatever ids and names its pages have.
     """
     def tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -265,58 +280,66 @@ def deduce(pages: DataFrame, home: str, files: int) -> DataFrame:
 
     seen = pages.mapInPandas(tokens, "host string, page long, token long, tag boolean, path string, chars long, "
                                      "around long, n long")
+    ends = [F.min("low").alias("low"), F.max("high").alias("high")]
     # a page may come many times: the same vector entry, so one row per (token, page)
     entries = seen.groupBy("host", "token", "page").agg(
-        F.first("tag").alias("tag"), F.first("path").alias("path"), F.max("chars").alias("chars"),
-        F.max("around").alias("around"), F.max("n").alias("n"))
+        F.first("tag").alias("tag"), F.min("path").alias("low"), F.max("path").alias("high"),
+        F.max("chars").alias("chars"), F.max("around").alias("around"), F.max("n").alias("n"))
     vector = F.sum(F.xxhash64("page", "n").cast("decimal(38,0)"))
     classes = entries.groupBy("host", "token").agg(
-        F.first("tag").alias("tag"), F.first("path").alias("path"), F.sum("chars").alias("chars"),
-        F.sum("around").alias("around"), F.count(F.lit(1)).alias("pages"), vector.cast("string").alias("vector"))
-    # texts of few pages can be no template: only their sums per path go on
+        F.first("tag").alias("tag"), *ends, F.sum("chars").alias("chars"), F.sum("around").alias("around"),
+        F.count(F.lit(1)).alias("pages"), vector.cast("string").alias("vector"))
+    # tokens of few pages can be no template: only their greatest number of pages and ends of paths go on
     classes = cut_lineage(
-        classes.withColumn("rare", ~F.col("tag") & (F.col("pages") < LEAST_PAGES))
+        classes.withColumn("rare", F.col("pages") < LEAST_PAGES)
         .withColumn("token", F.when(F.col("rare"), 0).otherwise(F.col("token")))
         .withColumn("vector", F.when(~F.col("rare"), F.col("vector")))
-        .groupBy("host", "tag", "path", "token", "vector")
-        .agg(F.sum("chars").alias("chars"), F.sum("around").alias("around"), F.max("pages").alias("pages")), "classes")
+        .groupBy("host", "tag", "token", "vector")
+        .agg(*ends, F.sum("chars").alias("chars"), F.sum("around").alias("around"), F.max("pages").alias("pages")),
+        "classes")
+    tags = classes.filter("tag")
+    totals = tags.groupBy("host").agg(F.max("pages").alias("total"))
+    valid = (tags.filter("vector is not null").select("host", "vector", "pages").distinct().join(totals, "host")
+             .filter(F.col("pages") >= LEAST_SHARE * F.col("total")).select("host", "vector", F.lit(True).alias("valid")))
+    return (classes.filter("not tag").join(valid, ["host", "vector"], "left")
+            .withColumn("token", F.when(F.col("valid"), F.col("token")).otherwise(0))
+            .groupBy("host", "token")
+            .agg(F.max("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("around").alias("around"), *ends))
+
 
+def deduce(pages: DataFrame, home: str, files: int) -> DataFrame:
+    """Template files of all hosts: keys of template texts, main slots. ``pages``: host, html.
+
+    Pages of a host with equal text count once, so that copies of one article do not look like a template. Nor do near
+    copies: texts of one set of pages that are most of the text of those pages are none.
+    """
     def write(rows: pd.DataFrame) -> pd.DataFrame:
         templates = {}
-        for host, own in rows.groupby("host"):
-            tags = own[own["tag"]]
-            total = int(tags["pages"].max()) if len(tags) else 0
-            valid = set(tags.loc[(tags["pages"] >= LEAST_PAGES) & (tags["pages"] >= LEAST_SHARE * total), "vector"])
-            texts = own[~own["tag"]]
-            fixed = texts[texts["vector"].isin(valid) & (texts["token"] != 0)]
-            of_set = fixed.groupby(["pages", "around"])["chars"].transform("sum")  # one set of pages, one sum around
-            fixed = fixed[2 * of_set <= fixed["around"]]
-            paths: Counter = Counter()
-            for path, chars in zip(texts["path"], texts["chars"]):
-                paths[tuple(path.split("\x01")) if path else ()] += int(chars)
-            for path, chars in zip(fixed["path"], fixed["chars"]):
-                paths[tuple(path.split("\x01")) if path else ()] -= int(chars)
-            templates[host] = (frozenset(int(t) for t in fixed["token"]), _slots(paths))
+        for host, texts in rows.groupby("host"):
+            fixed = texts["token"] != 0
+            of_set = texts[fixed].groupby(["pages", "around"])["chars"].transform("sum")  # one set of pages, one sum around
+            fixed &= 2 * of_set.reindex(texts.index, fill_value=0) <= texts["around"]
+            ends = texts.loc[~fixed, ["low", "high"]].to_numpy().ravel()
+            slot = _slot([tuple(p.split("\x01")) if p else () for p in ends if isinstance(p, str)])
+            templates[host] = (frozenset(int(t) for t in texts.loc[fixed, "token"]), slot)
         uri = f"{home}/{int(rows['file'].iloc[0]):05d}"
         B.put(uri, pickle.dumps(templates))
         return pd.DataFrame({"uri": [uri]})
 
-    return (classes.withColumn("file", F.pmod(F.xxhash64("host"), F.lit(files)).cast("int"))
+    return (classes_of(pages).withColumn("file", F.pmod(F.xxhash64("host"), F.lit(files)).cast("int"))
             .groupBy("file").applyInPandas(write, "uri string"))
 
 
 def main_text(page: str | None, template: tuple[frozenset, list]) -> str:
-    """Blocks of the main slots without template texts, joined by one space."""
+    """Blocks of the articles, or else of the main slots, without template texts, joined by one space."""
     fixed, slots = template
     blocks = _content(parse(page)[0])
-    own = [b for b in blocks if any(b.path[:len(s)] == s for s in slots)]
+    own = [b for b in blocks if _is_article(b.path)]
+    own = own or [b for b in blocks if any(b.path[:len(s)] == s for s in slots)]
     if not own:  # a page of another build than its host's
-        paths: Counter = Counter()
-        for b, weight in zip(blocks, _weights(blocks)):
-            paths[b.path] += weight
-        slots = _slots(paths)
+        slots = _slot([b.path for b, weight in zip(blocks, _weights(blocks)) if weight]) or [()]
         own = [b for b in blocks if any(b.path[:len(s)] == s for s in slots)]
-    return " ".join(b.text for b in own if _key("x", "\x01".join(b.path), b.text) not in fixed)
+    return " ".join(b.text for b in own if _key("x", _plain(b.path), b.text) not in fixed)
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -310,6 +310,24 @@ def test_template_text_is_found_beside_copies(spark):
         f"Story {j % 6} is told here at length" for j in range(12)]
 
 
+def test_ids_of_single_pages_hide_no_template(spark):
+    """Pages with classes and ids of their own share their tokens; what goes to the last step does not grow with them."""
+    def own(i):
+        return "".join("abcdefghij"[int(c)] for c in str(i))
+    pages = [(i, f"http://h.example/{i}", f"<html class='t{i}'><body class='postid-{i} {own(i)}'><div class='p-{i}' id='{own(i)}'>"
+              f"<article id='post-{i}' class='{own(i)}'><p>Story {i} is told</p><p>Follow us</p></article></div>"
+              f"<div class='{own(i)}'><p>Tip</p></div></body></html>") for i in range(120)]
+    assert {r.page_id: r.text for r in extract(spark, pages)} == {i: f"Story {i} is told" for i in range(120)}
+    rows = spark.createDataFrame([("h", p) for _, _, p in pages], "host string, html string")
+    assert template.classes_of(rows).count() <= 2
+
+
+def test_slots_of_pages_with_own_ids_lose_nothing(spark):
+    bodies = [f"<div class='c'><div id='{w}'><p>The long text of {w} here</p></div><div class='c{i}'><ul><li>{w}</li></ul></div></div>"
+              "<p>Read more here</p>" for i, w in enumerate(["one", "two", "three", "four", "five"])]
+    assert texts(spark, bodies) == [f"The long text of {w} here {w}" for w in ["one", "two", "three", "four", "five"]]
+
+
 def extract(spark, pages):
     frame = spark.createDataFrame([(*p, "x", 1) for p in pages], "page_id long, url string, html string, text string, host int")
     return template.extract(frame).collect()

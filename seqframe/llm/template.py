@@ -4,11 +4,11 @@ The tokens of a page are the opening tags of its containers, each with the path
 and its text blocks, with their path. The occurrence vector of a token over the pages of a host is kept
 as a count of pages and a sum of hashes of (page, occurrences), which partial sums add up however many
 pages a host has. Tokens with one vector form an equivalence class. A class is valid if it holds container
-tags and occurs in several different pages; valid classes are nested by the paths of their tags. Text
-blocks in a valid class belong to the template, whatever place they have. The places left between template
-tokens are slots; of these, menus, headers, footers, side bars, forms, adverts and comments are known by
-the containers they lie in, and the main text is the slot of the article, or else the innermost container around
-all other text of the host's pages that is no link and more than a short line alone in its container.
+tags and occurs in several different pages and half of those of its host. Text blocks in a valid class belong
+to the template, whatever place they have. Classes are neither ordered nor nested: the main text is not a gap
+between their tokens, but the text in the articles of a page, or else the innermost container around all other
+text of the host's pages that is no link and more than a short line alone in its container. Menus, headers,
+footers, side bars, forms, adverts and comments are known by the containers they lie in.
 """
 
 from __future__ import annotations

@@ -766,8 +766,9 @@ def write_support(spark, d):
 def write_multi_contig(spark, d):
     """The line of each gene; it may be very long, so the check reads it by its tabs."""
     path = scratch_path(spark, "contigs")
+    contig = F.col("contig").cast("string")
     rows = multi_contig_hits(spark, d).select(
-        "gene", F.lpad(F.col("contig").cast("string"), 5, "0").alias("contig"),
+        "gene", F.lpad(contig, F.greatest(F.length(contig), F.lit(5)), F.lit("0")).alias("contig"),  # never cut
         F.format_string("%.4f", "evalue").alias("evalue"))
     sinks.write_multi_contig(rows, path)
     fields = number_rows(read_records(spark, path, "\t"), [F.col("file"), F.col("split"), F.col("row")], "field")

@@ -107,11 +107,16 @@ def write_multi_contig(rows: DataFrame, path: str) -> None:
     """
     firsts = rows.groupBy("gene").agg(F.min(F.struct("contig", "evalue")).alias("first"))
     value = F.concat_ws("\t", "contig", "evalue")
-    others = rows.join(firsts, "gene").filter(F.struct("contig", "evalue") > F.col("first")).select(
-        "gene", "contig", value.alias("value"))
+    own = F.struct("contig", "evalue")
+    joined = rows.join(firsts, "gene")
+    # the first row is the head of its line, rows equal to it follow
+    again = joined.filter(own == F.col("first")).groupBy("gene", "contig", "evalue").agg(F.count(F.lit(1)).alias("n"))
+    again = again.filter("n > 1").select("gene", "contig", "evalue", F.explode(F.sequence(F.lit(2), F.col("n"))))
+    others = joined.filter(own > F.col("first")).select("gene", "contig", "evalue").unionByName(again.drop("col")).select(
+        "gene", "contig", F.lit(1).alias("place"), value.alias("value"))
     heads = firsts.select("gene", "first.*").select(
-        "gene", "contig", F.concat(F.lit("\n"), "gene", F.lit("\t "), value).alias("value"))
-    lines = heads.unionByName(others).orderBy("gene", "contig")
+        "gene", "contig", F.lit(0).alias("place"), F.concat(F.lit("\n"), "gene", F.lit("\t "), value).alias("value"))
+    lines = heads.unionByName(others).orderBy("gene", "place", "contig")
     lines.select("value").write.option("lineSep", "\t").text(path)
 
 

@@ -1,10 +1,14 @@
 """Ordinary input that loses or mixes up nothing: odd cells, names, letters, scores and folders."""
 
+import os
+
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows
 from seqframe import sinks, sources
 from seqframe.operators import align, hits, kgrams, linkage, profile, seeds, similarity, tree
+from seqframe.plans.queries import QUERIES
 
 
 @pytest.mark.parametrize("size", ["134217728", "40"])
@@ -119,6 +123,24 @@ def test_writers_refuse_a_folder_that_is_there(spark, tmp_path):
         sinks.write_multi_contig(contigs, str(tmp_path / "m"))
 
 
+def test_repeated_contigs_of_a_gene_stay(spark, tmp_path):
+    contigs = spark.createDataFrame([("g1", "c1", "1")] * 3 + [("g1", "c2", "2")] * 2 + [("g1", "c1", "4"), ("g2", "c9", "5")],
+                                    "gene string, contig string, evalue string")
+    sinks.write_multi_contig(contigs, str(tmp_path / "m"))
+    text = "".join(r.value + "|" for r in spark.read.option("lineSep", "\t").text(str(tmp_path / "m")).collect())
+    assert sorted(text.split("|")) == sorted("\ng1| c1|1|c1|1|c1|1|c1|4|c2|2|c2|2|\ng2| c9|5|".split("|"))
+    assert text.startswith("\ng1| c1|1|") and text.endswith("\ng2| c9|5|")
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
+def test_contigs_of_six_digits_are_not_cut(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.withColumn("user_id", F.col("user_id") + 123450).write.parquet(str(tmp_path / "events.parquet"))
+    long, short = ([r.value.strip() for r in QUERIES["write_multi_contig"](spark, d).orderBy("field").collect()]
+                   for d in (str(tmp_path), "/root/testdata/sf0.001"))
+    assert [str(int(v) + 123450) if len(v) == 5 and v.isdigit() else v for v in short] == long
+
+
 def test_queries_with_many_rows_and_none(spark):
     queries = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "d")], "q long, name string")
     subjects = spark.createDataFrame([(1, 5.0), (1, 6.0), (3, 7.0), (9, 8.0)], "q long, score double")

@@ -439,6 +439,17 @@ ORACLE["write_cdt"] = f"""WITH RECURSIVE {merges(BRANDS, MEMBERS.format('min'))}
   FROM v JOIN leaf_order o ON o.leaf = 'GENE' || v.leaf
   UNION ALL SELECT 1, concat_ws(chr(9), 'GID', 'CLID', 'NAME', 'GWEIGHT', {", ".join(f"'m{m}'" for m in range(1, 13))})
   UNION ALL SELECT 2, concat_ws(chr(9), 'EWEIGHT', '', '', '', {", ".join("1" for _ in range(12))})"""
+ORACLE["write_gtr_vectors"] = f"""WITH RECURSIVE {SINGLE}
+  SELECT step AS line, concat_ws(chr(9), node || 'X', "left" || 'X', "right" || 'X', format('{{:.4f}}', sim)) AS value FROM tree"""
+ORACLE["write_cdt_vectors"] = f"""WITH RECURSIVE {merges(EMBEDDED, MEMBERS.format('min'))}, {WALK},
+  named AS (SELECT row_number() OVER (ORDER BY vec_id) AS leaf, vec_id AS name FROM embeddings)
+  SELECT position + 2 AS line, concat_ws(chr(9), 'GENE' || v.leaf || 'X', name, name, 1,
+    array_to_string(list_transform(x, lambda e: format('{{:.6f}}', e)), chr(9))) AS value
+  FROM v JOIN named ON named.leaf = v.leaf JOIN leaf_order o ON o.leaf = 'GENE' || v.leaf
+  UNION ALL SELECT 1, concat_ws(chr(9), 'GID', 'CLID', 'NAME', 'GWEIGHT',
+    array_to_string(list_transform(range(1, max(len(x)) + 1), lambda i: 'e' || i), chr(9))) FROM v
+  UNION ALL SELECT 2, concat_ws(chr(9), 'EWEIGHT', '', '', '',
+    array_to_string(list_transform(range(1, max(len(x)) + 1), lambda i: '1'), chr(9))) FROM v"""
 
 # --- readers and writers ----------------------------------------------------------------
 

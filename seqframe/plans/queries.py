@@ -797,3 +797,24 @@ def write_cdt(spark, d):
     order = tree.leaf_order(cut_lineage(linkage.linkage_complete(leaves)))
     sinks.write_cdt(leaves, order, [f"m{m}" for m in range(1, 13)], path)
     return lines_of(spark, path)
+
+
+@query
+def write_gtr_vectors(spark, d):
+    """The tree of all embeddings."""
+    path = scratch_path(spark, "gtr")
+    merges = linkage.linkage_single(embedding_leaves(spark, d))
+    sinks.write_gtr(merges.withColumn("sim", F.format_string("%.4f", "sim")), path)
+    return lines_of(spark, path)
+
+
+@query
+def write_cdt_vectors(spark, d):
+    """All embeddings in the order of their tree."""
+    path = scratch_path(spark, "cdt")
+    leaves = embedding_leaves(spark, d)
+    order = tree.leaf_order(cut_lineage(linkage.linkage_complete(leaves)))
+    width = leaves.agg(F.max(F.size("vec"))).first()[0] or 0
+    shown = leaves.withColumn("vec", F.transform("vec", lambda x: F.format_string("%.6f", x)))
+    sinks.write_cdt(shown, order, [f"e{i}" for i in range(1, width + 1)], path)
+    return lines_of(spark, path)

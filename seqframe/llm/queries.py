@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import compression, crossparse, decontaminate, interpolation, packing, radix, simhash, template, topk, warc
+from . import (compression, crossparse, decontaminate, doubling, interpolation, packing, radix, simhash, template,
+               topk, warc)
 from .blocks import folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +156,38 @@ s AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+
+@query
+def op13_substring_dedup(spark, d):
+    found = doubling.repeated_passages(table(spark, d, "documents"))
+    removed = F.aggregate(F.zip_with("starts", "ends", lambda a, b: (b - a).cast("long")),
+                          F.lit(0).cast("long"), lambda x, y: x + y)
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"), "longest")
+
+
+ORACLE["op13_substring_dedup"] = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS words FROM documents),
+win AS (
+  SELECT doc_id, j, array_to_string(words[j:j + 19], ' ') AS k
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS j FROM w)),
+f AS (SELECT k, min(row(doc_id, j)) AS low, count(*) AS n FROM win GROUP BY k HAVING count(*) > 1),
+gone AS (
+  SELECT doc_id, list(DISTINCT i) AS gone
+  FROM (SELECT doc_id, unnest(range(j, j + 20)) AS i FROM win JOIN f USING (k) WHERE row(doc_id, j) <> low) GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, coalesce(string_agg(word, ' ' ORDER BY i), '') AS kept FROM (
+    SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w) x
+  ANTI JOIN (SELECT doc_id, unnest(gone) AS i FROM gone) g USING (doc_id, i) GROUP BY doc_id),
+lv AS (
+  SELECT 20 AS len, doc_id, j, md5(k) AS k FROM win JOIN f USING (k)
+  UNION ALL
+  SELECT len, doc_id, j, k FROM (
+    SELECT 2 * a.len AS len, a.doc_id, a.j, md5(a.k || b.k) AS k, count(*) OVER (PARTITION BY md5(a.k || b.k)) AS n
+    FROM lv a JOIN lv b ON a.doc_id = b.doc_id AND b.j = a.j + a.len) WHERE n > 1),
+most AS (SELECT doc_id, max(len) AS longest FROM lv GROUP BY doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256, coalesce(longest, 0)::BIGINT AS longest
+FROM w LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOIN most USING (doc_id)
+"""

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import (compression, crossparse, decontaminate, doubling, interpolation, packing, radix, simhash, template,
-               topk, warc)
+from . import (compression, conversations, crossparse, decontaminate, doubling, interpolation, merkle, packing, radix,
+               simhash, template, topk, warc)
 from .blocks import folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,6 +158,98 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+#: SQL of crc32 over ASCII text: ``crc(x)`` needs the columns of ``steps`` joined.
+_CRC = """
+  steps AS (SELECT list(list_reduce([b::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+              lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS step
+            FROM range(256) AS r(b))"""
+
+
+def _crc(text: str) -> str:
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    return (f"xor(list_reduce(list_prepend(4294967295, {codes}), "
+            "lambda a, x: xor(a >> 8, step[(xor(a, x) & 255) + 1])), 4294967295)")
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query
+def op11_merkle_manifest(spark, d):
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    text = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.translate("text", capitals, capitals.lower()))
+    found = merkle.manifest(table(spark, d, "documents"), ["doc_id", "source", "lang", "n_chars", "text"],
+                            changed={"text": F.coalesce(text, F.col("text"))})
+
+    def text_of(digest: Column) -> Column:
+        return F.lower(F.hex(digest))
+
+    return found.select(
+        "doc_id", *[text_of(F.col(c)).alias(c) for c in ("leaf", "subroot", "root", "folded_root")],
+        F.sha2(text_of(F.col("proof")), 256).alias("proof_sha256"),
+        (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _field(column: str) -> str:
+    return f"coalesce(strlen({column}::VARCHAR)::VARCHAR || ':' || {column}::VARCHAR, '-')"
+
+
+ORACLE["op11_merkle_manifest"] = f"""
+WITH RECURSIVE {_CRC},
+rows AS (
+  SELECT doc_id, lang, CASE WHEN {_crc("doc_id::VARCHAR")} % 3 = 0 THEN {_LOWER.format("text")} ELSE text END AS other,
+         {" || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))} AS head, text
+  FROM documents, steps),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         count(*) OVER (PARTITION BY lang) AS total
+  FROM (SELECT doc_id, lang, sha256(head || {_field("text")}) AS leaf, sha256(head || {_field("other")}) AS found FROM rows)),
+inner_nodes AS (
+  SELECT 0 AS level, lang, pos, total, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT level + 1, lang, pos // 8, ceil(total / 8)::BIGINT, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM inner_nodes WHERE total > 1 GROUP BY level, lang, pos // 8, total),
+subroots AS (
+  SELECT lang, digest AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS pos, count(*) OVER () AS total
+  FROM inner_nodes WHERE total = 1),
+upper_nodes AS (
+  SELECT 0 AS level, pos, total, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 8, ceil(total / 8)::BIGINT, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM upper_nodes WHERE total > 1 GROUP BY level, pos // 8, total),
+groups AS (
+  SELECT level, lang, pos // 8 AS run, list(digest ORDER BY pos) AS nodes FROM inner_nodes WHERE total > 1 GROUP BY ALL),
+upper_groups AS (SELECT level, pos // 8 AS run, list(digest ORDER BY pos) AS nodes FROM upper_nodes WHERE total > 1 GROUP BY ALL),
+folded AS (
+  SELECT row_number() OVER () AS id, doc_id, lang, 0 AS level, pos, found AS digest, '' AS proof FROM leaves
+  UNION ALL
+  SELECT id, doc_id, f.lang, f.level + 1, f.pos // 8,
+         sha256(array_to_string(list_concat(nodes[:f.pos % 8], [f.digest], nodes[f.pos % 8 + 2:]), '')),
+         proof || array_to_string(list_concat(nodes[:f.pos % 8], nodes[f.pos % 8 + 2:]), '')
+  FROM folded f JOIN groups g ON g.level = f.level AND g.run = f.pos // 8 AND g.lang IS NOT DISTINCT FROM f.lang),
+tops AS (SELECT id, max_by(digest, level) AS digest, max_by(proof, level) AS proof FROM folded GROUP BY id),
+up AS (
+  SELECT f.id, f.doc_id, l.subroot, 0 AS level, l.pos, t.digest, t.proof
+  FROM (SELECT id, doc_id, lang FROM folded WHERE level = 0) f JOIN tops t USING (id)
+  JOIN subroots l ON l.lang IS NOT DISTINCT FROM f.lang
+  UNION ALL
+  SELECT id, doc_id, subroot, f.level + 1, f.pos // 8,
+         sha256(array_to_string(list_concat(nodes[:f.pos % 8], [f.digest], nodes[f.pos % 8 + 2:]), '')),
+         proof || array_to_string(list_concat(nodes[:f.pos % 8], nodes[f.pos % 8 + 2:]), '')
+  FROM up f JOIN upper_groups g ON g.level = f.level AND g.run = f.pos // 8),
+ends AS (SELECT id, max_by(digest, level) AS folded_root, max_by(proof, level) AS proof, any_value(subroot) AS subroot
+         FROM up GROUP BY id),
+root AS (SELECT digest AS root FROM upper_nodes WHERE total = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM (SELECT row_number() OVER () AS id, doc_id, leaf FROM leaves) JOIN ends USING (id), root
+"""
+
+
+@query
+def op12_conversation_repair(spark, d):
+    return conversations.repair(conversations.damaged(table(spark, d, "conversations"))).drop("repaired")
+
+
 @query
 def op13_substring_dedup(spark, d):
     found = doubling.repeated_passages(table(spark, d, "documents"))

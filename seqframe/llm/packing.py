@@ -16,6 +16,7 @@ from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import normalize
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,18 @@ THIRDS, STEPS = 24, 120
 _BOUNDARY = re.compile(r"(?<=[^\W\d_])(?=[!-@\[-`{-~])")
 
 
+def _parts(word: str) -> list[str]:
+    """A word cut at its boundaries; not cut if a letter before one turns into something that ends in a mark.
+
+    The tokenizer sees lower case: of a capital I with a dot, the dot becomes a mark of its own and belongs to
+    the punctuation behind it.
+    """
+    parts = _BOUNDARY.split(word)
+    if word.isascii() or all(normalize("NFC", p[-1].lower())[-1].isalpha() for p in parts[:-1]):
+        return parts
+    return [word]
+
+
 class _Words:
     """Ids of words, remembered. The tokenizer cuts at white space, and behind runs of letters, before it
     merges; so words between blanks, and the letters of a word before its punctuation, are encoded once."""
@@ -76,7 +89,7 @@ class _Words:
         for w in fresh:
             if w in letters:
                 continue
-            parts = _BOUNDARY.split(w)
+            parts = _parts(w)
             if len(parts) == 1 or "<|" in w:  # the tokenizer looks for its special tokens, "<|...|>", first
                 odd.append(w)
             else:

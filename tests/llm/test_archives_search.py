@@ -153,6 +153,18 @@ def check_packing(rows, window):
     return by_sequence, by_doc
 
 
+def test_ids_of_odd_spellings_are_the_tokenizer_s(tokenizer_path):
+    from tokenizers import Tokenizer
+    tokenizer, rng = Tokenizer.from_file(tokenizer_path), random.Random(10)
+    symbols = [*"aIiZ .,'-_<|>!1", "\u0130", "\u0131", "\u0307", "\u0301", "\u00c5", "\u212a", "\u1e9e", "\u03a3", "\u03c2", "\ufb01",
+               "\u01c5", "\u00df", "\u0345", "\u1fbc", "\u00b5", "\uff21", "\u4e2d", "\u0e33", "\u200d", "\u00a0"]
+    texts = ["".join(rng.choice(symbols) for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
+    texts += ["TE\u015eEKK\u00dcRLER\u0130. ANKARA'DA YEN\u0130, B\u0130R", "\u0130.", "\u0130'\u0130-"]
+    got = packing.token_ids(texts, tokenizer_path, 2)
+    for text, data in zip(texts, got):
+        assert np.frombuffer(data, "<u4").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2], ascii(text)
+
+
 def test_packed_pieces(spark, tokenizer_path):
     from tokenizers import Tokenizer
     tokenizer, rng = Tokenizer.from_file(tokenizer_path), random.Random(9)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..session import cut_lineage, task_count
 from . import blocks as B
 
-BLOCK_ROWS, QUERY_ROWS = 8192, 1024
+BLOCK_ROWS, QUERY_ROWS = 2048, 1024
 
 
 def quantized(vec: str, factor: int = 64):
@@ -70,6 +70,10 @@ def _store(rows: DataFrame, home: str, size: int) -> DataFrame:
     return cut_lineage(rows.mapInPandas(write, "uri string, rows long, width int"), "vectors")
 
 
+def _dealt(rows: DataFrame, size: int) -> DataFrame:
+    return rows.repartition(max(1, -(-rows.count() // size)))
+
+
 def _single(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Scores in single precision, and for each query a bound of their error."""
     width = max(q.shape[1], x.shape[1])
@@ -104,8 +108,9 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     queries = queries.filter("id is not null and vec is not null").dropDuplicates(["id"])
     home = B.folder(spark, "topk")
     tasks = task_count(spark)
-    stored = _store(rows.repartition(tasks, F.xxhash64("id")), f"{home}/rows", BLOCK_ROWS)
-    asked = _store(queries.repartition(max(1, tasks // 4), F.xxhash64("id")), f"{home}/queries", QUERY_ROWS)
+    # blocks are counted by their rows: more tasks do not make more lists
+    stored = _store(_dealt(rows, BLOCK_ROWS), f"{home}/rows", BLOCK_ROWS)
+    asked = _store(_dealt(queries, QUERY_ROWS), f"{home}/queries", QUERY_ROWS)
     blocks = max(1, stored.count())
     asked_uris = [r[0] for r in asked.select("uri").collect()]  # one name per QUERY_ROWS queries
     # a list as long as this from each block holds the k best of most queries

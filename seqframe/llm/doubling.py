@@ -92,14 +92,20 @@ class Texts:
     """A block's texts in the order of their ids, as one row of words."""
 
     def __init__(self, ids: np.ndarray, lengths: np.ndarray) -> None:
-        self.ids, self.lengths = ids, lengths
+        self.ids, self.lengths, self.ends = ids, lengths, np.cumsum(lengths)
         self.n = int(lengths.sum())
-        self.doc = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
-        ends = np.cumsum(lengths)
-        self.left = np.repeat(ends, lengths) - np.arange(self.n)  # words from here to the end of the text
-        self.start = np.arange(self.n) - np.repeat(ends - lengths, lengths)
+        # words from here to the end of the text
+        self.left = np.repeat(self.ends, lengths) - np.arange(self.n)
         self.repeated_ids = len(np.unique(ids)) < len(ids)
 
+    def number(self, places: np.ndarray) -> np.ndarray:
+        """Which text a word belongs to."""
+        return np.searchsorted(self.ends, places, side="right")
+
+    def start(self, places: np.ndarray) -> np.ndarray:
+        """Words of the text before each place."""
+        return self.lengths[self.number(places)] - self.left[places]
+
     def windows(self, width: int) -> np.ndarray:
         return np.flatnonzero(self.left >= width)
 
@@ -108,25 +114,29 @@ class Level:
     """Candidates of one length in a block: their places, and the distinct keys that buckets hear of."""
 
     def __init__(self, texts: Texts, places: np.ndarray, keys: np.ndarray, check: np.ndarray | None) -> None:
-        self.places = places
-        ties = (texts.start[places], texts.ids[texts.doc[places]]) if texts.repeated_ids else ()
+        self.texts, self.places = texts, places
+        ties = (texts.start(places), texts.ids[texts.number(places)]) if texts.repeated_ids else ()
         order, new = _groups(keys, check, *ties)
         first = np.flatnonzero(new)
         self.entry = np.empty(len(order), np.int64)  # of each place
         self.entry[order] = np.cumsum(new) - 1
         self.keys = keys[order[first]]
         self.check = None if check is None else check[order[first]]
-        low = places[order[first]]
-        self.low_id, self.low_start = texts.ids[texts.doc[low]], texts.start[low].astype(np.uint32)
+        self.low = places[order[first]]  # the least place of each key
         self.several = np.diff(first, append=len(order)) > 1
-        # is a place the least one of its key, of all in the block?
-        own = self.low_id[self.entry] == texts.ids[texts.doc[places]]
-        self.least = own & (self.low_start[self.entry] == texts.start[places])
+
+    def least(self) -> np.ndarray:
+        """Whether a place is the least one of its key, of all in the block (in rows of one id, several are)."""
+        if not self.texts.repeated_ids:
+            return self.low[self.entry] == self.places
+        ids, low = self.texts.ids[self.texts.number(self.places)], self.low[self.entry]
+        return (ids == self.texts.ids[self.texts.number(low)]) & (self.texts.start(low) == self.texts.start(self.places))
 
     def sends(self, name: str, buckets: int, places: bool) -> pd.DataFrame:
         values = [self.several.astype(np.uint8)]
         values += [] if self.check is None else [self.check]
-        values += [self.low_id, self.low_start] if places else []
+        if places:
+            values += [self.texts.ids[self.texts.number(self.low)], self.texts.start(self.low).astype(np.uint32)]
         return B.sends(name, self.keys, values, buckets)
 
     def flags(self, rows: pd.DataFrame, buckets: int, many: int) -> list[np.ndarray]:
@@ -303,10 +313,10 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "t
             repeated = np.zeros(texts.n, bool)
             repeated[places] = said[0][level.entry]
             if length == width:
-                late = places[~(said[1][level.entry] & level.least)]
+                late = places[~(said[1][level.entry] & level.least())]
                 change = np.bincount(late, minlength=texts.n + width) - np.bincount(late + width, minlength=texts.n + width)
                 removed = np.cumsum(change)[:texts.n] > 0
-            longest[np.unique(texts.doc[repeated])] = length
+            longest[np.unique(texts.number(np.flatnonzero(repeated)))] = length
             block.save_found(length, repeated, longest, removed)
             places = _both(repeated, length, texts.left)
             if not len(places):
@@ -357,4 +367,4 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "t
     reached = known[0]
     for more in known[1:]:
         reached = reached.union(more)
-    return B.by_block(reached.groupBy("block").agg(F.max("length").alias("length"))).applyInPandas(last_pass, RESULT)
+    return B.by_block(reached).applyInPandas(last_pass, RESULT)

@@ -14,12 +14,14 @@ a task that runs again writes the same file, and nothing depends on an executor
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -51,6 +53,23 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_BYTES)
 
 
+def give_back() -> None:
+    """Return what Python no longer needs to the system: workers live on after a task, and so would their memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """The same function over the batches of a task, which gives memory back at its end."""
+    def leaner(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return leaner
+
+
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     if uri.startswith("file:") and not uri.startswith("file://"):
         uri = "file://" + uri[5:]
@@ -132,8 +151,7 @@ def bucket_count(docs: DataFrame, column: str = "text") -> int:
 
 def split(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Places where each bucket's part of the sorted 64-bit keys begins, and the end."""
-    width = (1 << 64) // buckets + 1
-    bounds = np.array([i * width for i in range(1, buckets)], np.uint64)
+    bounds = np.arange(1, buckets, dtype=np.uint64) * np.uint64((1 << 64) // buckets + 1)
     return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
 
 
@@ -143,9 +161,10 @@ def sends(block: str, keys: np.ndarray, values: list[np.ndarray], buckets: int)
     The first bucket always hears of the block, so that a block without keys is answered too.
     """
     cuts = split(keys, buckets)
+    heard = np.flatnonzero((cuts[1:] > cuts[:-1]) | (np.arange(buckets) == 0))
     rows = [(i, block, pack(steps(keys[a:b]), *[smallest(v[a:b]) if v.dtype.kind == "u" else v[a:b]
                                                 for v in values]))
-            for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a or i == 0]
+            for i, a, b in zip(heard.tolist(), cuts[heard].tolist(), cuts[heard + 1].tolist())]
     return pd.DataFrame(rows, columns=["bucket", "block", "payload"])
 
 

@@ -215,4 +215,4 @@ def predict(docs: DataFrame, model: Model, keep: list[str | Column], text: str =
                 [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(score, pa.float64())],
                 [*batch.schema.names[:-1], "lang_pred", "score"])
 
-    return rows.mapInArrow(judge, out)
+    return rows.mapInArrow(B.lean(judge), out)

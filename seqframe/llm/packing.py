@@ -137,7 +137,7 @@ def token_pieces(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2
 
     B.bounded_batches(docs.sparkSession)
     rows = docs.select(B.numbered(id_column).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInPandas(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+    return rows.mapInPandas(B.lean(cut), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
                             + ", ids array<int>" * keep_ids).withColumn("doc_id", B.renamed("doc_id"))
 
 

@@ -242,13 +242,13 @@ def _distinct_windows(block: _Block, dirty: np.ndarray):
 
 
 def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
-                   width: int = 50, keep: list[str] | None = None) -> DataFrame:
+                   width: int = 50, keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """What each text repeats of documents with smaller ids.
 
     A byte is removed if a ``width``-byte string that covers it also starts in a document with a
     smaller id. Strings are judged on the whole input, never across documents. Returns per row:
-    doc_id, n_bytes, starts and ends of the maximal removed runs, kept (the remaining bytes), and the
-    columns ``keep`` as strings.
+    doc_id, n_bytes, starts and ends of the maximal removed runs, kept (the remaining bytes; with ``as_text``
+    a string without the characters that a cut goes through), and the columns ``keep`` as strings.
 
     A null or empty text, and one shorter than ``width``, removes nothing. A null id counts as the
     largest. Rows with one id do not remove each other. Other columns are ignored. No rows: no rows.
@@ -313,15 +313,19 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text
                 at += len(t)
                 edges = np.flatnonzero(np.diff(own, prepend=False, append=False))
                 kept = np.frombuffer(t, np.uint8)[~own].tobytes() if len(edges) else t
+                kept = kept.decode("utf-8", "ignore") if as_text else kept
                 key = block.ids[i]
                 out.append((None if key == _NULL_ID else int(key), len(t), edges[::2].tolist(),
                             edges[1::2].tolist(), kept, *block.rest[i]))
+        del block, marks
+        B.give_back()
         return pd.DataFrame(out, columns=["doc_id", "n_bytes", "starts", "ends", "kept", *keep]).astype(
             {"doc_id": "Int64"})
 
-    runs = cut_lineage(B.exchange(docs.mapInPandas(first_pass, B.SENT), _merge_runs, _flagged), "runs")
+    runs = cut_lineage(B.exchange(docs.mapInPandas(B.lean(first_pass), B.SENT), _merge_runs, _flagged), "runs")
     borders = cut_lineage(
         B.exchange(B.by_block(runs).applyInPandas(border_pass, B.SENT), _merge_windows, _flagged),
         "borders")
     both = runs.withColumn("late", F.lit(False)).unionByName(borders.withColumn("late", F.lit(True)))
-    return B.by_block(both).applyInPandas(last_pass, RESULT + "".join(f", `{c}` string" for c in keep))
+    result = RESULT.replace("kept binary", "kept string") if as_text else RESULT
+    return B.by_block(both).applyInPandas(last_pass, result + "".join(f", `{c}` string" for c in keep))

@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
                 (_majority(shingle_hashes(t, words)) for t in f.iloc[:, 1]), np.int64, len(f))})
 
     rows = docs.select(B.numbered(id_column).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInPandas(count, "doc_id long, fp long").withColumn("doc_id", B.renamed("doc_id"))
+    return rows.mapInPandas(B.lean(count), "doc_id long, fp long").withColumn("doc_id", B.renamed("doc_id"))
 
 
 def segment_counts(fps: np.ndarray) -> np.ndarray:
@@ -167,7 +167,7 @@ def links(distinct: DataFrame, reach: int = 4) -> DataFrame:
                 yield pd.DataFrame({"cell": grid.ravel(), "fp": np.repeat(part, grid.shape[1])})
 
     spark = distinct.sparkSession
-    placed = distinct.select("fp").mapInPandas(spread, "cell long, fp long")
+    placed = distinct.select("fp").mapInPandas(B.lean(spread), "cell long, fp long")
     heavy = cut_lineage(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
                         .filter(F.col("n") > CELL_ROWS)
                         .select("cell", F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("parts")), "heavy")
@@ -181,7 +181,7 @@ def links(distinct: DataFrame, reach: int = 4) -> DataFrame:
     )
     found = (
         met.repartition(task_count(spark), "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "fp")
-        .mapInPandas(lambda frames: _compare(frames, reach), "a long, b long")
+        .mapInPandas(B.lean(lambda frames: _compare(frames, reach)), "a long, b long")
     )
     return found.distinct()
 

@@ -104,8 +104,17 @@ def test_empty_tables_pass_all_stages(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_columns_on_whole_tables(spark, name):
     rows = entry.queries()[name](spark, TABLES)
-    table = {"op1": "pages", "op6": "pages", "op10": None, "op5": None}.get(name.split("_")[0], "documents")
+    table = {"op1": "pages", "op6": "pages", "op10": None, "op5": None, "op12": None}.get(name.split("_")[0], "documents")
     if table:
         assert rows.count() == spark.read.parquet(f"{TABLES}/{table}.parquet").count()
     else:
         assert rows.count() > 0
+
+
+def test_language_keeps_the_wanted_languages(spark, monkeypatch):
+    texts = [(t, "en") for t in sentences(EN, 40, random.Random(3), 8, 90)] + \
+        [(t, "fr") for t in sentences(FR, 30, random.Random(4), 8, 90)]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, (t, lang) in enumerate(texts)], SCHEMA)
+    monkeypatch.setattr(corpus_pipeline, "WANTED", ["fr"])
+    kept = [r.lang for r in corpus_pipeline.language(spark, docs, TABLES).collect()]
+    assert kept == ["fr"] * 30

@@ -16,6 +16,8 @@ from seqframe.llm.blocks import folder
 from seqframe.llm.queries import remainder, table, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Languages whose documents stay (values of lang); None: all that the labelled documents teach.
+WANTED: list[str] | None = None
 
 
 def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -24,16 +26,20 @@ def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: texts that are null or have no letter go.
+    """Documents in one of the languages ``WANTED``, as op3 predicts them.
 
-    The model learns from the labelled rows of these documents, as op3 does.
+    Texts that are null or have no letter are in no language. The model learns from the labelled rows of these
+    documents, as op3 does; if there are none, all texts with a letter stay.
     """
     docs = docs.select(COLUMNS)
     model = crossparse.fit(docs.filter(remainder("doc_id", 5) != 0))
     judged = crossparse.predict(docs, model, COLUMNS)
     if not model.texts:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    return judged.filter(F.col("lang_pred") != crossparse.UNKNOWN).select(COLUMNS)
+    wanted = F.col("lang_pred") != crossparse.UNKNOWN
+    if WANTED is not None:
+        wanted = F.col("lang_pred").isin(WANTED)
+    return judged.filter(wanted).select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,16 +59,10 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A character that a cut goes through leaves with the bytes cut; n_chars is that of the text left.
     A null text becomes an empty one.
     """
-    spans = radix.repeated_spans(docs, keep=["lang", "source", "n_chars"])
-    text = _text("kept")
+    spans = radix.repeated_spans(docs, keep=["lang", "source", "n_chars"], as_text=True)
     return spans.select(
-        "doc_id", text.alias("text"), "lang", "source",
-        F.when(F.size("starts") > 0, F.char_length(text)).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))
-
-
-def _text(column: str):
-    """UTF-8 text of bytes; bytes that are no whole character are left out."""
-    return F.pandas_udf(lambda s: s.map(lambda b: bytes(b).decode("utf-8", "ignore")), "string")(column)
+        "doc_id", F.col("kept").alias("text"), "lang", "source",
+        F.when(F.size("starts") > 0, F.char_length("kept")).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -346,6 +346,77 @@ ORACLE["seed_scored"] = f"""WITH {DOCS}, {BENCH}, {PROTEINS}, {BENCH_PROTEINS},
   SELECT item_id AS q_id, doc_id AS t_id, qw.start AS q_pos, tw.start AS t_pos, score
   FROM near JOIN qw ON qw.w = a JOIN tw ON tw.w = b WHERE score > 8"""
 
+
+def letter_score(a: str, b: str) -> str:
+    group = " ".join(f"WHEN {{0}} IN ({', '.join(repr(s) for s in c)}) THEN {n}" for n, c in enumerate(views.CLASSES))
+    of_a, of_b = f"(CASE {group.format(a)} END)", f"(CASE {group.format(b)} END)"
+    return (f"CASE WHEN {of_a} IS NULL OR {of_b} IS NULL THEN 0 WHEN {a} = {b} THEN {views.SAME} "
+            f"WHEN {of_a} = {of_b} THEN {views.SIMILAR} ELSE {views.DIFFERENT} END")
+
+
+def gapped(found: str, queries: str, q_key: str, targets: str, t_key: str, pair: str, start: str, top: int,
+           gap_open: int, gap_extend: int) -> str:
+    """CTE ``hits``: all cells of both flanks of each seed, row by row, each with the letters of its best way.
+
+    ``k`` tells a pair of letters (0) from a gap in the target (1); a gap in the query is ``g`` letters long. Ways of
+    one score: a pair before a gap, a gap in the target before one in the query, the shortest gap.
+    """
+    def left(cost: str) -> str:
+        return f"{cost} - CASE WHEN g = 0 THEN 0 ELSE {gap_open} + (g - 1) * {gap_extend} END"
+
+    def gaps(cost: str) -> str:
+        return f"unnest(range(0, greatest(({cost} - {gap_open}) // {gap_extend} + 2, 1))) AS g"
+
+    reach = f"CAST(length(a) + (start + length(a) * {top}) // {gap_extend} + 1 AS BIGINT)"
+    return f"""seeded AS (SELECT row_number() OVER () AS rid, f.*, q.seq AS qs, t.seq AS ts, {start} AS start
+    FROM {found} f JOIN {queries} q ON q.{q_key} = q_id JOIN {targets} t ON t.{t_key} = t_id),
+  sides AS (SELECT 2 * rid AS n, start, reverse(substring(qs, 1, q_pos)) AS a, reverse(substring(ts, 1, t_pos)) AS b FROM seeded
+    UNION ALL SELECT 2 * rid + 1, start, substring(qs, q_pos + length + 1), substring(ts, t_pos + length + 1) FROM seeded),
+  flanks AS (SELECT n, start, a, substring(b, 1, {reach}) AS b FROM sides),
+  cells AS (
+    SELECT n, 0 AS i, g AS j, {left("start")} AS total, 0::BIGINT AS down, repeat('-', g) AS q, substring(b, 1, g) AS t,
+           '' AS dq, '' AS dt
+    FROM (SELECT *, {gaps("start")} FROM flanks) WHERE g <= length(b) AND {left("start")} > 0
+    UNION ALL
+    SELECT n, i, j, max(v), coalesce(max(CASE WHEN g = 0 THEN down END), 0), max_by(q, v * 1000000 - g),
+           max_by(t, v * 1000000 - g), coalesce(max(CASE WHEN g = 0 THEN dq END), ''), coalesce(max(CASE WHEN g = 0 THEN dt END), '')
+    FROM (
+      SELECT n, i, j + g AS j, g, {left("base")} AS v, down, q || repeat('-', g) AS q, t || substring(b, j + 1, g) AS t, dq, dt
+      FROM (
+        SELECT *, {gaps("base")} FROM (
+          SELECT n, i, j, any_value(b) AS b, max(v) AS base, max_by(q, 2 * v - k) AS q, max_by(t, 2 * v - k) AS t,
+                 coalesce(max(CASE WHEN k = 1 THEN v END), 0) AS down, max(CASE WHEN k = 1 THEN q END) AS dq,
+                 max(CASE WHEN k = 1 THEN t END) AS dt
+          FROM (
+            SELECT n, i + 1 AS i, b, j + 1 - k AS j, k,
+                   CASE WHEN k = 0 THEN total + {pair} ELSE greatest(total - {gap_open}, down - {gap_extend}) END AS v,
+                   CASE WHEN k = 0 OR total - {gap_open} >= down - {gap_extend} THEN q ELSE dq END || x AS q,
+                   CASE WHEN k = 0 THEN t || y WHEN total - {gap_open} >= down - {gap_extend} THEN t || '-' ELSE dt || '-' END AS t
+            FROM (SELECT c.*, f.b, substring(f.a, i + 1, 1) AS x, substring(f.b, j + 1, 1) AS y, unnest([0, 1]) AS k
+                  FROM cells c JOIN flanks f ON f.n = c.n WHERE i < length(f.a))
+            WHERE k = 1 OR j < length(b)) WHERE v > 0 GROUP BY n, i, j))
+      WHERE j + g <= length(b) AND {left("base")} > 0) GROUP BY n, i, j),
+  best AS (SELECT n, max_by({{'q': q, 't': t, 'total': total}}, total * 1000000000000 - i * 1000000 - j) AS p FROM cells GROUP BY n),
+  hits AS (SELECT DISTINCT q_id, t_id, q_pos - length(replace(l.p.q, '-', '')) AS q_start,
+      t_pos - length(replace(l.p.t, '-', '')) AS t_start,
+      reverse(l.p.q) || substring(qs, q_pos + 1, length) || r.p.q AS query_hit,
+      reverse(l.p.t) || substring(ts, t_pos + 1, length) || r.p.t AS target_hit, (l.p.total + r.p.total - start)::BIGINT AS score
+    FROM seeded JOIN best l ON l.n = 2 * rid JOIN best r ON r.n = 2 * rid + 1)"""
+
+
+DNA_PAIR = f"CASE WHEN x = y THEN {K.MATCH} ELSE -{K.MISMATCH} END"
+ORACLE["align_seeds"] = f"""WITH RECURSIVE {SEEDS}, {RUNS},
+  {gapped("runs", "bench", "item_id", "docs", "doc_id", DNA_PAIR, f"length * {K.MATCH}", K.MATCH, K.GAP_OPEN, K.GAP_EXTEND)}
+  SELECT * FROM hits"""
+TRIPLES = " + ".join(letter_score(f"substring(q.seq, q_pos + {i}, 1)", f"substring(t.seq, t_pos + {i}, 1)") for i in (1, 2, 3))
+SCORED = ORACLE["seed_scored"].replace("score > 8", "score > 11")
+ORACLE["align_protein_seeds"] = f"""WITH RECURSIVE {SCORED.removeprefix("WITH ").rpartition("SELECT item_id")[0]},
+  found AS (SELECT item_id AS q_id, doc_id AS t_id, qw.start AS q_pos, tw.start AS t_pos, 3 AS length
+    FROM near JOIN qw ON qw.w = a JOIN tw ON tw.w = b WHERE score > 11),
+  {gapped("found", "bprot", "item_id", "prot", "doc_id", letter_score("x", "y"), TRIPLES, views.SAME, K.PROTEIN_GAP_OPEN,
+          K.PROTEIN_GAP_EXTEND)}
+  SELECT * FROM hits"""
+
 BLOCK = K.ALIGNMENT_BLOCK
 ALIGNED = f"""al AS (SELECT doc_id, replace(seq, 'G', '-') AS q, reverse(seq) AS t,
     unnest(range(0, length(seq), {BLOCK})) AS o FROM docs),

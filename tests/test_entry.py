@@ -9,8 +9,7 @@ from seqframe.plans.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-#: Gapped alignments have no SQL here; tests/test_alignment.py holds them against a plain recurrence.
-NO_SQL = {"align_seeds", "align_protein_seeds", "search_assemblies"}
+NO_SQL: set[str] = set()
 
 
 def test_every_sql_has_a_query():

@@ -108,6 +108,7 @@ BOTH = f"""both_ AS (SELECT source AS file, n, total_length, min_length::INTEGER
   max_length::INTEGER max_length, avg_length, gc_total, gc_percent, n50_count, n50, n50_avg
   FROM st JOIN n5 USING (source))"""
 ORACLE["assembly_statistics"] = f"WITH {DOCS}, {STATS}, {N50}, {BOTH} SELECT * FROM both_"
+ORACLE["folder_statistics"] = ORACLE["assembly_statistics"]
 ORACLE["write_statistics"] = f"""WITH {DOCS}, {STATS}, {N50}, {BOTH}
   SELECT file, unnest(['No of Sequences = ' || n, 'Total Sequence Length = ' || total_length,
     'GC Total = ' || gc_total, format('GC Perc = {{:.3f}}', gc_percent), format('Avg Contig Size = {{:.3f}}', avg_length),
@@ -129,8 +130,8 @@ MULTI = """m AS (SELECT event_type AS gene, count(*) FILTER (value < 5) AS n_bel
     FROM events JOIN m ON event_type = gene WHERE n_below > 1 GROUP BY ALL)"""
 MULTI = MULTI.replace("GROUP BY ALL", "GROUP BY 1, 2, 3")
 ORACLE["multi_contig_hits"] = f"WITH {MULTI} SELECT * FROM mc"
-ORACLE["write_multi_contig"] = f"""WITH {MULTI}, n AS (SELECT gene, lpad(contig::VARCHAR, 5, '0') AS contig,
-    format('{{:.4f}}', evalue) AS evalue, row_number() OVER (PARTITION BY gene ORDER BY lpad(contig::VARCHAR, 5, '0')) AS place FROM mc),
+ORACLE["write_multi_contig"] = f"""WITH {MULTI}, n AS (SELECT gene, lpad(contig::VARCHAR, greatest(5, length(contig::VARCHAR))::INTEGER, '0') AS contig,
+    format('{{:.4f}}', evalue) AS evalue, row_number() OVER (PARTITION BY gene ORDER BY lpad(contig::VARCHAR, greatest(5, length(contig::VARCHAR))::INTEGER, '0')) AS place FROM mc),
   f AS (SELECT gene, 0 AS place, chr(10) || gene AS value FROM n WHERE place = 1
     UNION ALL SELECT gene, 2 * place - 1, CASE WHEN place = 1 THEN ' ' ELSE '' END || contig FROM n
     UNION ALL SELECT gene, 2 * place, evalue FROM n)
@@ -368,8 +369,8 @@ def gapped(found: str, queries: str, q_key: str, targets: str, t_key: str, pair:
         return f"unnest(range(0, greatest(({cost} - {gap_open}) // {gap_extend} + 2, 1))) AS g"
 
     reach = f"CAST(length(a) + (start + length(a) * {top}) // {gap_extend} + 1 AS BIGINT)"
-    return f"""seeded AS (SELECT row_number() OVER () AS rid, f.*, q.seq AS qs, t.seq AS ts, {start} AS start
-    FROM {found} f JOIN {queries} q ON q.{q_key} = q_id JOIN {targets} t ON t.{t_key} = t_id),
+    return f"""seeded AS (SELECT row_number() OVER () AS rid, f.*, q.seq AS qs, t.seq AS ts, ({start}) AS start
+    FROM {found} f JOIN {queries} q ON q.{q_key} = f.q_id JOIN {targets} t ON t.{t_key} = f.t_id),
   sides AS (SELECT 2 * rid AS n, start, reverse(substring(qs, 1, q_pos)) AS a, reverse(substring(ts, 1, t_pos)) AS b FROM seeded
     UNION ALL SELECT 2 * rid + 1, start, substring(qs, q_pos + length + 1), substring(ts, t_pos + length + 1) FROM seeded),
   flanks AS (SELECT n, start, a, substring(b, 1, {reach}) AS b FROM sides),
@@ -417,6 +418,19 @@ ORACLE["align_protein_seeds"] = f"""WITH RECURSIVE {SCORED.removeprefix("WITH ")
           K.PROTEIN_GAP_EXTEND)}
   SELECT * FROM hits"""
 
+SEARCH = f"""{DOCS}, {BENCH}, strands AS (SELECT 2 * item_id AS q_id, seq FROM bench
+    UNION ALL SELECT 2 * item_id + 1, reverse(translate(seq, 'ACGT', 'TGCA')) FROM bench),
+  {windows('qw', 'strands', 'q_id', WORD)}, {windows('tw', 'docs', 'doc_id', WORD)},
+  seeds AS (SELECT q_id, doc_id AS t_id, qw.start AS q_pos, tw.start AS t_pos FROM qw JOIN tw ON qw.w = tw.w), {RUNS},
+  {gapped("runs", "strands", "q_id", "docs", "doc_id", DNA_PAIR, f"length * {K.MATCH}", K.MATCH, K.GAP_OPEN, K.GAP_EXTEND)},
+  ends AS (SELECT DISTINCT t_id, q_id % 2 = 0 AS forward, t_start + 1 AS low,
+      t_start + length(replace(target_hit, '-', '')) AS high FROM hits WHERE score >= 20),
+  cut AS (SELECT DISTINCT source AS file, 'D' || doc_id AS id, (high - low + 1)::INTEGER AS length,
+      CASE WHEN forward THEN low ELSE high END AS "start", CASE WHEN forward THEN high ELSE low END AS "end",
+      CASE WHEN forward AND high > low THEN substring(seq, low, high - low + 1)
+        ELSE reverse(substring(seq, low, high - low + 1)) END AS fragment FROM ends JOIN docs ON doc_id = t_id)"""
+ORACLE["search_assemblies"] = ORACLE["search_folder"] = f"WITH RECURSIVE {SEARCH} SELECT * FROM cut"
+
 BLOCK = K.ALIGNMENT_BLOCK
 ALIGNED = f"""al AS (SELECT doc_id, replace(seq, 'G', '-') AS q, reverse(seq) AS t,
     unnest(range(0, length(seq), {BLOCK})) AS o FROM docs),
@@ -551,7 +565,7 @@ ORACLE["write_query_hits"] = f"""WITH s AS (SELECT o_custkey, o_orderkey, {SUBJE
     string_agg(concat_ws(',', name, description, length, expect), ',' ORDER BY o_orderkey) AS hits FROM s GROUP BY 1, 2)
   SELECT concat_ws(',', {OPENING}, hits) AS value FROM customer LEFT JOIN l ON o_custkey = c_custkey"""
 ORACLE["write_nohits"] = f"""SELECT {OPENING} AS value FROM customer
-  WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"""
+  WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)"""
 ORACLE["read_damaged_subjects"] = f"""SELECT {SUBJECT_FIELDS} FROM orders JOIN customer ON o_custkey = c_custkey
   WHERE o_orderkey % 11 <> 0 AND o_orderkey % 7 <> 0 AND o_custkey % 10 > 1"""
 ORACLE["report_skipped"] = """WITH b AS (SELECT DISTINCT c_custkey, o_orderkey // 20000 AS run

@@ -387,6 +387,36 @@ def search_assemblies(spark, d):
     return search.search_assemblies(fasta_by_source(spark, d), genes, WORD, 20)
 
 
+def assembly_folder(spark, d):
+    """A file of assemblies for each source, in lines of 60 letters, and files of other kinds beside them."""
+    path = scratch_path(spark, "assemblies")
+    lines = F.array_join(F.regexp_extract_all("seq", F.lit("(?s).{1,60}"), F.lit(0)), "\n")
+    records = views.document_fasta(spark, d).select(
+        "source", "doc_id", F.concat(F.lit(">"), "header", F.lit("\n"), lines).alias("value"))
+    placed = records.repartition("source").sortWithinPartitions("source", "doc_id").drop("doc_id")
+    placed.write.partitionBy("source").text(path)
+    placed.write.partitionBy("source").mode("append").csv(path)
+    return f"{path}/*"
+
+
+def by_source(found):
+    return found.withColumn("file", F.regexp_extract("file", "source=([^/]+)", 1))
+
+
+@query
+def search_folder(spark, d):
+    """Hits from the files of a folder, those whose names fit a pattern, by pieces of their records."""
+    genes = views.benchmark_dna(spark, d).select(F.col("item_id").alias("gene"), "seq")
+    return by_source(search.search_folder(spark, assembly_folder(spark, d), genes, "*.txt", WORD, 20)[1])
+
+
+@query
+def folder_statistics(spark, d):
+    genes = views.benchmark_dna(spark, d).select(F.col("item_id").alias("gene"), "seq")
+    out = by_source(search.search_folder(spark, assembly_folder(spark, d), genes, "*.txt", WORD, 20)[0])
+    return out.withColumns({c: F.round(c, 6) for c in ("avg_length", "gc_percent", "n50_avg")})
+
+
 @query
 def assembly_statistics(spark, d):
     out = search.assembly_statistics(fasta_by_source(spark, d))
@@ -548,13 +578,14 @@ def read_motifs(spark, d):
     return sources.read_motifs(spark, path).select(F.col("name").cast("long").alias("name"), "motif")
 
 
-def write_nucleotide_report(spark, d, damaged=False):
+def write_nucleotide_report(spark, d, damaged=False, above=None):
     """Customers as queries, their orders as subjects, in the layout of a BLASTN report.
 
     A block has a customer's orders of one run of 20000 order numbers, so its size is bounded. In a
-    damaged report some blocks lack a name, a length or an e-value.
+    damaged report some blocks lack a name, a length or an e-value. Only orders ``above`` a price are subjects.
     """
     customers, orders = customer_orders(spark, d)
+    orders = orders if above is None else orders.filter(F.col("o_totalprice") > above)
     order, odd = F.col("o_orderkey"), F.lit(damaged)
     subject = F.concat(
         F.when(odd & (order % 11 == 0), F.lit(">another  ")).otherwise(
@@ -613,8 +644,9 @@ def write_query_hits(spark, d):
 
 @query
 def write_nohits(spark, d):
+    """Queries of a report in which few orders are subjects, as in ``query_nohits``."""
     path = scratch_path(spark, "nohits")
-    queries, subjects = sources.read_blastn_report(spark, write_nucleotide_report(spark, d))
+    queries, subjects = sources.read_blastn_report(spark, write_nucleotide_report(spark, d, above=400_000))
     sinks.write_nohits(hits.query_nohits(queries, subjects, ["file", "query"]), path)
     return text_of(spark, path)
 

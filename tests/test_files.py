@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from seqframe import sinks, sources
-from seqframe.plans.search import search_assemblies, search_hits
+from seqframe.plans.search import search_assemblies, search_folder, search_hits
 from seqframe.sinks import text
 
 
@@ -196,3 +196,26 @@ def test_search_finds_both_strands(spark):
     assert rows(search_hits(assemblies, genes, 11, 20)) == [
         ("f1", "s1", "g", 5, 24, 20), ("f2", "s1", "g", 22, 3, 20)]
     assert {r.fragment for r in search_assemblies(assemblies, genes, 11, 20, complemented=True).collect()} == {gene}
+
+
+def test_search_of_a_folder_by_pieces(spark, lines_file):
+    """Files by pattern, records over many lines, hits over line ends, on both strands; files without hits have statistics."""
+    gene = "ACGTTGCAAGTCCGATTACAGGTTCA"
+    back = gene[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    bent = gene[:13] + "T" + gene[13:]
+
+    def lines(seq):
+        return "\n".join(seq[i:i + 7] for i in range(0, len(seq), 7))
+
+    one = lines_file("in/a.fsa", f">s1 [organism=x]\n{lines('TTTT' * 30 + gene + 'GGGG')}\n>s2\n{lines('CC' + bent.lower())}\n")
+    lines_file("in/b.fsa", f">s1\r\n{lines('CC' + back + 'TT')}\r\n>s3\n>s4\n{lines('ACAC' * 9)}\n")
+    lines_file("in/c.fsa", f">only\n{lines('GATTACA')}\n")
+    lines_file("in/d.txt", f">s1\n{gene}\n")
+    genes = spark.createDataFrame([("g", gene)], "gene string, seq string")
+    folder = one.rpartition("/")[0]
+    statistics, hits_found = search_folder(spark, folder, genes, "*.fsa", 9, 15, complemented=True)
+    got = sorted((r.file.rpartition("/")[2], r.id, r.start, r.end, r.fragment) for r in hits_found.collect())
+    assert got == [("a.fsa", "s1", 121, 146, gene), ("a.fsa", "s2", 3, 29, bent), ("b.fsa", "s1", 28, 3, gene)]
+    assert {r.file.rpartition("/")[2]: r.n50 for r in statistics.collect()} == {"a.fsa": 150, "b.fsa": 36, "c.fsa": 7}
+    whole = sources.read_fasta(spark, folder, "*.fsa").select("file", "header", "seq")
+    assert rows(search_assemblies(whole, genes, 9, 15, complemented=True)) == rows(hits_found)

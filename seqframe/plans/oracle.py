@@ -454,6 +454,7 @@ ORACLE["pairwise_pearson"] = f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] A
   p AS (SELECT a.vec_id AS "left", b.vec_id AS "right", list_inner_product(a.x, b.x) AS sim
     FROM z a JOIN z b ON a.vec_id < b.vec_id)
   SELECT "left", "right", round(sim, 6) AS sim FROM p WHERE sim >= {SIMILAR}"""
+ORACLE["pairwise_pearson_bounded"] = ORACLE["pairwise_pearson"]
 ORACLE["neighbour_pearson"] = """WITH e AS (SELECT a.vec_id, unnest(a.embedding::DOUBLE[]) AS x,
     unnest(b.embedding::DOUBLE[]) AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
   SELECT vec_id, round(corr(x, y), 6) AS r FROM e GROUP BY vec_id"""
@@ -497,6 +498,7 @@ TREE = 'SELECT step, node, "left", "right", round(sim, 6) AS sim FROM tree'
 SINGLE = merges(EMBEDDED, MEMBERS.format("max"))
 ORACLE["linkage_single"] = f"WITH RECURSIVE {SINGLE} {TREE}"
 ORACLE["linkage_complete"] = f"WITH RECURSIVE {merges(EMBEDDED, MEMBERS.format('min'))} {TREE}"
+ORACLE["linkage_complete_rounds"] = ORACLE["linkage_complete"]
 ORACLE["linkage_average"] = f"WITH RECURSIVE {merges(BRANDS, MEANS)} {TREE}"
 UNIT = """list_transform(list_transform({0}, lambda e: e - list_avg({0})), lambda e: e / sqrt(list_sum(list_transform(
     {0}, lambda g: (g - list_avg({0})) * (g - list_avg({0}))))))"""

@@ -431,6 +431,21 @@ def pairwise_pearson(spark, d):
     return out.withColumn("sim", F.round("sim", 6))
 
 
+def many_blocks(vectors: DataFrame) -> tuple[int, int]:
+    """Rows of a block so that there are sixteen blocks or more, and half of the rows: what the operators do by
+    themselves with more rows than a few of their largest blocks, and than one task merges."""
+    rows = vectors.count()
+    return max(1, min(similarity.LARGEST_BLOCK, rows // 16)), min(linkage.FINISH, rows // 2)
+
+
+@query
+def pairwise_pearson_bounded(spark, d):
+    """As ``pairwise_pearson``, by pairs of blocks whose bound reaches the threshold."""
+    vectors = views.embedding_vectors(spark, d)
+    out = similarity.pairwise_pearson(vectors, "vec_id", "vec", SIMILAR, many_blocks(vectors)[0])
+    return out.withColumn("sim", F.round("sim", 6))
+
+
 @query
 def neighbour_pearson(spark, d):
     """r of each vector and the next one, by the raw-sum formula."""
@@ -458,6 +473,13 @@ def linkage_complete(spark, d):
     return linkage.linkage_complete(embedding_leaves(spark, d)).withColumn("sim", F.round("sim", 6))
 
 
+@query
+def linkage_complete_rounds(spark, d):
+    """As ``linkage_complete``, by bounded rounds until half of the clusters are left."""
+    leaf_rows = embedding_leaves(spark, d)
+    return linkage.linkage_complete(leaf_rows, *many_blocks(leaf_rows)).withColumn("sim", F.round("sim", 6))
+
+
 @query
 def linkage_average(spark, d):
     return linkage.linkage_average(brand_leaves(spark, d)).withColumn("sim", F.round("sim", 6))

@@ -7,10 +7,13 @@ over bounded pieces of a file, so a query may have any number of hits.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.scan import fill_forward
+from ..session import cut_lineage
 from .records import read_records
 
 # Line formats of the reports. Names of subjects and contigs are those of one data set;
@@ -34,30 +37,63 @@ def _found(pattern: str, group: int, column: str = "value") -> Column:
     return F.nullif(F.regexp_extract(column, pattern, group), F.lit(""))
 
 
-def _records(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """The text between two subject lines as one record, so that nothing has to be put in order to
-    see what follows a line. The sign that starts a subject line ends the record before it."""
-    return read_records(spark, path, "\n>").withColumn("value", F.regexp_replace("value", "\r(?=\n|$)", ""))
+def _marked(lines: DataFrame) -> DataFrame:
+    """Lines that start a section or say something of one, each with its section: a line with ``head`` starts one.
 
-
-def _line(number: int, column: str = "text") -> Column:
-    return F.regexp_extract(column, "^" + r"[^\n]*\n" * number + r"([^\n]*)", 1)
+    ``lines`` has rows (file, split, row, value, head, ...); the columns behind ``head`` are what was found in a
+    line, null if nothing. Lines are judged where they are read, one by one, however long a section is; of the others
+    only those that follow a head, or begin a split, go on, as a table. ``section`` is the place of the last head of
+    the file, ``query`` that of the last query line.
+    """
+    found = [c for c in lines.columns if c not in ("file", "split", "row", "value", "head")]
+
+    def kept(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = (None, None, False)  # file, split and head of the line before
+        for f in frames:
+            if not len(f):
+                continue
+            first = (f["file"].ne(f["file"].shift(fill_value=last[0]))
+                     | f["split"].ne(f["split"].shift(fill_value=-1 if last[1] is None else last[1])))
+            head = f["head"].astype(bool)
+            near = head | first | head.shift(fill_value=last[2])
+            last = (f["file"].iloc[-1], f["split"].iloc[-1], bool(head.iloc[-1]))
+            f["value"] = f["value"].where(near, None)
+            yield f[near | f[found].notna().any(axis=1)]
+
+    marked = cut_lineage(lines.mapInPandas(kept, lines.schema), "report-lines")
+    place = F.struct("split", "row")
+    starts = marked.select("*", place.alias("place"), F.when(F.col("head"), place).alias("section"), F.when(
+        F.col("head") & F.col("value").startswith("Query="), place).alias("query"))
+    return fill_forward(starts, ["section", "query"], "file", "place", F.col("split")).filter(
+        F.col("section").isNotNull())
+
+
+def _first(column: str | Column) -> Column:
+    """The first value of a section."""
+    column = F.col(column) if isinstance(column, str) else column
+    return F.min_by(column, F.when(column.isNotNull(), F.col("place")))
+
+
+def _opening() -> list[Column]:
+    """First line of a section, and the line after it."""
+    at, line = F.col("place"), F.col("value")
+    return [F.max(F.when(at == F.col("section"), line)).alias("head"),
+            _first(F.when(at > F.col("section"), line)).alias("next")]
 
 
 def _sections(spark: SparkSession, path: str | list[str], subject: str) -> DataFrame:
     """Query and subject blocks with what was found in them, and what they lack (``reason``).
 
-    Blocks are read where they are; only the fields found in them move.
+    Only the lines move that start a block or hold one of its fields.
     """
-    parts = F.posexplode(F.split(F.concat(F.lit(">"), "value"), "(?m)^>?Query=")).alias("part", "text")
-    blocks = _records(spark, path).select("file", "split", "row", parts).withColumn(
-        "text", F.when(F.col("part") > 0, F.concat(F.lit("Query="), "text")).otherwise(F.col("text")))
-    place, is_query = F.struct("split", "row", "part"), F.col("part") > 0
-    found = blocks.select(
-        "file", "split", place.alias("section"), F.when(is_query, place).alias("query"),
-        _line(0).alias("head"), _line(1).alias("next"), _found(LENGTH, 1, "text").cast("long").alias("length"),
-        _found(EXPECT, 1, "text").alias("expect"), F.col("text").contains(NO_HITS).alias("no_hits"))
-    owned = fill_forward(found, "query", "file", "section", F.col("split")).filter(F.col("query").isNotNull())
+    is_query = F.col("value").startswith("Query=")
+    lines = _lines(spark, path).select(
+        "file", "split", "row", "value", (is_query | F.col("value").startswith(">")).alias("head"),
+        _found(LENGTH, 1).cast("long").alias("length"), _found(EXPECT, 1).alias("expect"),
+        F.when(F.col("value").contains(NO_HITS), True).alias("no_hits"))
+    owned = _marked(lines).filter(F.col("query").isNotNull()).groupBy("file", "query", "section").agg(
+        *_opening(), _first("length").alias("length"), _first("expect").alias("expect"),
+        F.coalesce(F.max("no_hits"), F.lit(False)).alias("no_hits"))
     text = F.col("head")
     kind = F.when(F.col("section") == F.col("query"), F.lit("query")).otherwise(F.lit("subject"))
     named = F.when(kind == "query", text.rlike(QUERY)).otherwise(text.rlike(subject))
@@ -140,15 +176,16 @@ def blastp_descriptions(spark: SparkSession, path: str | list[str]) -> DataFrame
 
     A description without its closing bracket runs on over the next line.
     """
-    records = _records(spark, path).withColumn("text", F.concat(F.lit(">"), "value"))
-    head = records.filter(_line(0).rlike(DESCRIPTION)).select("file", "split", "row", _line(0).alias("head"), _line(1).alias("next"))
+    lines = _lines(spark, path).withColumn(
+        "head", F.col("value").startswith("Query=") | F.col("value").startswith(">"))
+    head = _marked(lines).groupBy("file", "section").agg(*_opening()).filter(F.col("head").rlike(DESCRIPTION))
     text = F.regexp_extract("head", DESCRIPTION, 2)
     rest = F.regexp_extract("next", r"^(.*?)\]", 1)
     whole = F.when(F.rtrim(text).endswith("]"), F.regexp_replace(text, r"\]\s*$", "")).otherwise(
         F.concat(text, rest))
     return head.select(
         F.regexp_extract("head", DESCRIPTION, 1).alias("gene"), whole.alias("description"),
-        F.struct("file", "split", "row").alias("place"))
+        F.struct("file", "section.split", "section.row").alias("place"))
 
 
 def read_bp_hits(spark: SparkSession, path: str | list[str]) -> DataFrame:

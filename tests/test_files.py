@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from seqframe import sinks, sources
+from seqframe.sources import reports
 from seqframe.plans.search import search_assemblies, search_folder, search_hits
 from seqframe.sinks import text
 
@@ -107,6 +108,24 @@ def test_nucleotide_report(spark, lines_file, tmp_path, size):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_runs_without_subjects_are_read_by_many_tasks(spark, lines_file):
+    """No record is longer than a line, wherever a split ends; a length far behind its name is found."""
+    many = "".join(f"Query= all{i:05d} d{i}\n{'more' if i % 3 else 'Length=7'}\n\nLength={i + 10}\n ***** No hits found\n" for i in range(2000))
+    tail = "Query= far x\n" + "filler\n" * 3000 + "Length=9\n>Contig1.revised.gene2.protein y\n" + "filler\n" * 3000 + "Length=8, Expect = 3\n"
+    path = lines_file("many.txt", many + tail)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        lines = reports._lines(spark, path)
+        assert lines.rdd.getNumPartitions() > 30 and lines.agg(F.max(F.length("value"))).first()[0] < 60
+        queries, subjects = sources.read_blastn_report(spark, path)
+        got = {r.query_name: (r.query_description, r.query_length, r.no_hits) for r in queries.collect()}
+        assert got == {"far": ("x filler", 9, False), **{
+            f"all{i:05d}": (f"d{i} more" if i % 3 else f"d{i}", i + 10 if i % 3 else 7, True) for i in range(2000)}}
+        assert rows(subjects.select("name", "length", "expect")) == [("001.002", 8, "3")]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 PROTEIN = """Query= VCU014contig00001
 
 lcl|x [gene=SERP1] [protein=ribosomal...   512  0.0   

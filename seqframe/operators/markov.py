@@ -5,13 +5,16 @@ A model is a table (context, symbol, n) with at most (alphabet + 1) ** k * alpha
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import constants as K, count_chars
 from ..session import cut_lineage, fits
-from .kgrams import grams, split_gram
+from .kgrams import grams, overlapping, pieces, split_gram
 
 BROADCAST_ROWS = 200_000
+#: Grams of a model that is held as an array.
+CELLS = 200_000
 ALPHABET = 1000
 
 
@@ -59,24 +62,113 @@ def markov_score(seqs: DataFrame, key: str, seq: str, logq: DataFrame, logp: Dat
     """Sum of log_q - log_p over each sequence.
 
     A transition that the model never saw has ``unseen`` for log_q; a symbol without
-    log_p adds nothing for it. The model travels to the sequences while it is small,
-    so rows of one sequence never leave their partition before they are summed.
+    log_p adds nothing for it. Where an array of all grams is small, pieces of sequences are scored in their row, with
+    the model as that array; a larger model is joined, a row per symbol.
     """
+    weights, background = _model(logq, logp)
+    seqs = seqs.filter(F.col(seq).isNotNull())
+    table = _weights(weights, background, order, unseen)
+    if table is None:
+        return _score_by_join(seqs, key, seq, weights, background, order, unseen)
+    scored = pieces(seqs, [key], seq, order, keep_empty=True).withColumn("_w", _score(*table, order))
+    return scored.groupBy(key).agg(F.coalesce(F.sum("_w"), F.lit(0.0)).alias("score"))
+
+
+def markov_score_pieces(parts: DataFrame, key: str, logq: DataFrame, logp: DataFrame, order: int,
+                        unseen: float = K.UNSEEN_LOG_Q, size: int = 1 << 16) -> DataFrame:
+    """``markov_score`` of sequences that come in pieces: rows (key, offset, piece), as ``read_fasta_pieces`` has them.
+
+    Pieces are dealt over tasks by place, each with the ``order`` letters of the next one, so a sequence of any length
+    and any share of the letters is scored by many tasks. A key with only empty pieces scores 0.
+    """
+    weights, background = _model(logq, logp)
+    joined = overlapping(parts, [key], order, size)
+    table = _weights(weights, background, order, unseen)
+    if table is not None:
+        small = pieces(joined.withColumnRenamed("offset", "_at"), [key, "_at"], "piece", order)
+        # what begins in the overlap belongs to the next piece
+        place = (F.col("_at") + F.col("offset")).alias("offset")
+        scored = small.filter(F.col("offset") < size).select(key, place, "piece")
+        scored = scored.select(key, _score(*table, order).alias("_w"))
+    else:
+        found = grams(joined.withColumnRenamed("offset", "_at"), [key, "_at"], "piece", order)
+        # the first letters of a later piece are context only, and what begins in the overlap is the next piece's
+        own = ((F.col("_at") == 0) | (F.col("position") > order)) & (F.col("position") <= size + order)
+        scored = _weighed(found.filter(own), weights, background, unseen).select(key, "_w")
+    empty = parts.select(key, F.lit(0.0).alias("_w"))
+    return scored.unionByName(empty).groupBy(key).agg(F.sum("_w").alias("score"))
+
+
+def _model(logq: DataFrame, logp: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+    """Grams with log_q, as a table, and log_p of the symbols."""
     weights = cut_lineage(logq.select(F.concat("context", "symbol").alias("gram"), "log_q"), "log-q")
-    if fits(weights, BROADCAST_ROWS):
-        weights = F.broadcast(weights)
     background = {r[0]: r[1] or 0.0 for r in logp.select("symbol", "log_p").limit(ALPHABET + 1).collect()}
     if len(background) > ALPHABET:
         raise ValueError(f"an alphabet has at most {ALPHABET} symbols")
+    return weights, background
+
+
+def _weights(weights: DataFrame, background: dict[str, float], order: int,
+             unseen: float) -> tuple[str, Column] | None:
+    """The symbols, and the weight of each gram of ``order + 1`` digits; None if these are more than ``CELLS``.
+
+    Digit 0 is any other symbol, then come the symbols, and the last digit stands for no symbol before the first.
+    """
+    if not fits(weights, CELLS):
+        return None
+    log_q = {r[0]: r[1] for r in weights.collect()}
+    symbols = "".join(sorted({c for gram in log_q for c in gram} | set(background)))
+    base = len(symbols) + 2
+    if base ** (order + 1) > CELLS or len(symbols) > ALPHABET:
+        return None
+    digit = {c: i + 1 for i, c in enumerate(symbols)}
+    last = np.array([0.0, *(background.get(c, 0.0) for c in symbols), 0.0])
+    cells = np.tile(unseen - last, base ** order)
+    for gram, value in log_q.items():
+        if value is not None and 0 < len(gram) <= order + 1:
+            code = 0
+            for d in [base - 1] * (order + 1 - len(gram)) + [digit[c] for c in gram]:
+                code = code * base + d
+            cells[code] = value - last[digit[gram[-1]]]
+    # constant folding makes one array of the text
+    return symbols, F.split(F.lit(",".join(map(repr, cells.tolist()))), ",").cast("array<double>")
+
+
+def _score(symbols: str, cells: Column, order: int) -> Column:
+    """Sum of the weights of a piece's grams: the first piece of a sequence has those of its first letters too.
+
+    The code of a gram is rolled on letter by letter; only letters behind the context count.
+    """
+    base = len(symbols) + 2
+    whole = base ** order
+    none = sum((base - 1) * base ** i for i in range(order + 1))
+    digit = lambda i: F.instr(F.lit(symbols), F.substr(F.col("piece"), i, F.lit(1)))
+    context = F.when(F.col("offset") == 0, F.lit(0)).otherwise(F.lit(order))
+
+    def roll(acc: Column, i: Column) -> Column:
+        code = F.pmod(acc["code"], F.lit(whole)) * base + digit(i)
+        return F.struct(code.cast("long").alias("code"), (acc["sum"] + F.when(
+            i > context, F.element_at(cells, (code + 1).cast("int"))).otherwise(0.0)).alias("sum"))
+
+    start = F.struct(F.lit(none).cast("long").alias("code"), F.lit(0.0).alias("sum"))
+    places = F.when(F.length("piece") > 0, F.sequence(F.lit(1), F.length("piece")))
+    return F.aggregate(places, start, roll, lambda acc: acc["sum"])
+
+
+def _weighed(found: DataFrame, weights: DataFrame, background: dict[str, float], unseen: float) -> DataFrame:
+    """Rows of grams with their weight; the model travels to them while it is small."""
+    if fits(weights, BROADCAST_ROWS):
+        weights = F.broadcast(weights)
     table = F.array(F.lit(0.0), *[F.lit(p) for p in background.values()])
     place = F.instr(F.lit("".join(background)), F.right(F.col("gram"), F.lit(1)))
     weight = F.coalesce("log_q", F.lit(unseen)) - F.element_at(table, place + 1)
-    return (
-        grams(seqs.filter(F.col(seq).isNotNull()), [key], seq, order, keep_empty=True)
-        .join(weights, "gram", "left")
-        .select(key, F.when(F.col("gram").isNull(), 0.0).otherwise(weight).alias("_w"))
-        .groupBy(key).agg(F.sum("_w").alias("score"))
-    )
+    return found.join(weights, "gram", "left").withColumn("_w", F.when(F.col("gram").isNull(), 0.0).otherwise(weight))
+
+
+def _score_by_join(seqs: DataFrame, key: str, seq: str, weights: DataFrame, background: dict[str, float], order: int,
+                   unseen: float) -> DataFrame:
+    found = grams(seqs, [key], seq, order, keep_empty=True)
+    return _weighed(found, weights, background, unseen).groupBy(key).agg(F.sum("_w").alias("score"))
 
 
 def dump_model(model: DataFrame, order: int) -> DataFrame:

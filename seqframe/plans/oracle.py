@@ -228,6 +228,7 @@ def scored(seqs: str, key: str, train: str, train_key: str, k: int, alphabet: st
 
 ORACLE["markov_score"] = (
     f"WITH {DOCS}, {BENCH}, {scored('docs', 'doc_id', 'bench', 'item_id', MARKOV_ORDER, K.NUCLEOTIDES)}")
+ORACLE["markov_score_pieces"] = ORACLE["markov_score"]
 ORACLE["markov_score_protein"] = (
     f"WITH {DOCS}, {BENCH}, {PROTEINS}, {BENCH_PROTEINS}, "
     f"{scored('prot', 'doc_id', 'bprot', 'item_id', 1, K.AMINO_ACIDS)}")

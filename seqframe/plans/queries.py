@@ -15,6 +15,7 @@ from ..operators import (
     align, extract, hits, kgrams, linkage, markov, matrix, profile, pssm, scan, seeds, similarity,
     support, tree,
 )
+from ..operators.kgrams import pieces
 from ..operators.scan import number_rows
 from ..session import cut_lineage, scratch_path
 from ..sinks import text as text_sinks
@@ -230,6 +231,16 @@ def markov_score(spark, d):
     return out.select("doc_id", rounded("score"))
 
 
+@query
+def markov_score_pieces(spark, d):
+    """The same of records in pieces of 1,000 letters, which are scored 256 letters at a time."""
+    docs = views.document_dna(spark, d)
+    model = markov.markov_train(views.benchmark_dna(spark, d), "seq", MARKOV_ORDER)
+    out = markov.markov_score_pieces(pieces(docs, ["doc_id"], "seq", 0, 1000, keep_empty=True), "doc_id", markov.markov_logq(model),
+                                     markov.symbol_frequencies(docs, "seq"), MARKOV_ORDER, size=256)
+    return out.select("doc_id", rounded("score"))
+
+
 @query
 def markov_score_protein(spark, d):
     docs = views.document_proteins(spark, d)

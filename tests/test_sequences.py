@@ -38,7 +38,7 @@ def test_windows_match_plain_loop(spark, width):
     assert rows(kgrams.windows(df, ["id"], "seq", width, 64)) == sorted(want, key=repr)
 
 
-def test_markov_model_and_scores(spark):
+def test_markov_model_and_scores(spark, monkeypatch):
     train = random_sequences(1, [0, 1, 2, 30, 50], "AACG")
     test = random_sequences(2, [0, 1, 40, 300], "ACGTN")
     order = 2
@@ -65,6 +65,16 @@ def test_markov_model_and_scores(spark):
             want[i] += q - (math.log(letters[x] / n) if x in "ACGT" else 0.0)
     got = markov.markov_score(tests, "id", "seq", logq, markov.symbol_frequencies(tests, "seq"), order)
     assert {r.id: r.score for r in got.collect()} == pytest.approx(want)
+    # pieces of a sequence, also shorter than the context, and a model too large for an array
+    for limit in (markov.CELLS, 0):
+        monkeypatch.setattr(markov, "CELLS", limit)
+        for size in (3, 100) if limit else (100,):
+            parts = spark.createDataFrame([(i, at, s[at:at + 7]) for i, s in test for at in range(0, max(1, len(s)), 7)],
+                                          "id int, offset long, piece string")
+            cut = markov.markov_score_pieces(parts, "id", logq, markov.symbol_frequencies(tests, "seq"), order, size=size)
+            assert {r.id: r.score for r in cut.collect()} == pytest.approx(want)
+        whole = markov.markov_score(tests, "id", "seq", logq, markov.symbol_frequencies(tests, "seq"), order)
+        assert {r.id: r.score for r in whole.collect()} == pytest.approx(want)
     stats = markov.model_stats(model).first()
     assert (stats.model_order, stats.n_sequences) == (order, sum(1 for _, s in train if s))
     assert (stats.n_keys, stats.n_instances) == (len(counts) + len(totals), sum(counts.values()))

@@ -37,11 +37,12 @@ LINE_WORDS, LINE_LETTERS = 3, 16
 # fixed values: HTML's elements by their use, and common names of containers without main text
 CONTAINERS = frozenset("html head body main article section div nav header footer aside form table ul ol dl "
                        "menu dialog fieldset details figure blockquote".split())
-SKIPPED = frozenset("script style noscript template iframe svg math canvas object select textarea button head "
-                    "title".split())
+SKIPPED = frozenset("script style noscript template iframe svg canvas object select textarea button head "
+                    "title annotation".split())
 BOILERPLATE = frozenset("nav header footer aside menu head".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s "
-                   "samp small span strike strong sub sup time tt u var wbr img".split())
+                   "samp small span strike strong sub sup time tt u var wbr img math semantics mrow mi mo mn ms mtext mspace "
+                   "mstyle mfrac msqrt mroot msub msup msubsup munder mover munderover annotation".split())
 WHOLE = frozenset("ul ol dl menu table blockquote figure details".split())
 HEADLINES = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,15 +54,20 @@ NAMES = re.compile(  # a whole word of a class, an id or a role
     r"related|recommend(?:ed|ations?)|pagination|pager|toolbar|skip)"
     r"(?:[_-](?:left|right|top|bottom|primary|secondary|list|box|bar|area|container|wrap|wrapper|inner|block|section|"
     r"banner|links?|nav|menu|posts?|articles?|buttons?|\d+))*", re.I)
+COMMENTS = re.compile(  # of containers that hold what readers say, however much of a page that is
+    r"(?:(?:user|reader|post|article|page)s?[_-])?(?:comments|discussions?|repl(?:y|ies)|disqus|respond)"
+    r"(?:[_-](?:list|area|box|section|thread|wrap|wrapper|container))*|comments?(?:[_-](?:list|area|box|section|thread|"
+    r"wrap|wrapper|container|form|body|text))+", re.I)
 ANSWERS = re.compile(r"(?:comments?|repl(?:y|ies)|teasers?)(?:[_-](?:list|box|item|body|\d+))*", re.I)
 #: Elements that are boilerplate unless most of a page stands in them, as containers with such names are.
 LIKELY = frozenset("form dialog fieldset".split())
 
-# elements whose body is no markup are one token up to their own end tag
+# a tag ends at the first > outside quoted values; elements whose body is no markup are one token up to their own end tag
+_VALUES = r"""(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+"""
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|iframe)(?=[\s/>])[^>]*(?<!/)>.*?"
-    r"(?:</\1(?=[\s/>])[^>]*(?:>|\Z)|\Z)|<[a-zA-Z/!?][^>]*(?:>|\Z)", re.S | re.I)
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)", re.S)
+    rf"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|iframe)(?=[\s/>]){_VALUES}(?<!/)>.*?"
+    rf"(?:</\1(?=[\s/>])[^>]*(?:>|\Z)|\Z)|<[a-zA-Z/!?]{_VALUES}(?:>|\Z)", re.S | re.I)
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(.*?)>?\Z", re.S)
 _HINT = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: What page-specific words hold, and what divides the parts of a path.
 _OWN = re.compile(r"[\d.#!?\x00\x01]")
@@ -77,7 +83,7 @@ class Block:
 
 
 def _step(name: str, rest: str) -> str:
-    """Element, words of class and role, and id of a container, without words that hold digits; ``!`` marks one without main text, ``?`` one that its name says so of.
+    """Element, words of class and role, and id of a container, without words that hold digits; ``!`` marks one without main text or with comments, ``?`` one that its name says so of.
     Wrappers of a whole page never are, and they and articles have no hints."""
     hints: dict[str, list[str]] = {"class": [], "id": [], "role": []}
     for m in _HINT.finditer(rest):
@@ -87,7 +93,8 @@ def _step(name: str, rest: str) -> str:
         name = "main"
     page = name in ("html", "body", "main")
     named = not page and any(names.fullmatch(w) for words in hints.values() for w in words)
-    mark = "!" if name in BOILERPLATE else "?" if named or name in LIKELY else ""
+    said = not page and name != "article" and any(COMMENTS.fullmatch(w) for w in hints["class"] + hints["id"])
+    mark = "!" if name in BOILERPLATE or said else "?" if named or name in LIKELY else ""
     if page or name == "article":
         return mark + name
     kinds = sorted({w for w in hints["class"] + hints["role"] if not _OWN.search(w)})

@@ -265,6 +265,25 @@ def test_bodies_without_markup_end_with_their_own_tag(script):
     assert [b.text for b in got] == ["one", "two", "three"]
 
 
+@pytest.mark.parametrize("markup, want", [
+    ('<p>One <b attr="x>y">bold</b> and <a title=\'2 > 1\' href=x>link</a></p>', ["One bold and link"]),
+    ('<p title="open>One</p><p>two</p>', ["One", "two"]), ("<p title=a\"b>One</p><p it's>two</p>", ["One", "two"]),
+    ("<p>a <= b</p><p>c < d</p><img alt='>'/>e", ["a <= b", "c < d", "e"]),
+    ('<script data-x="a>b" src="y">for(i=0;i<n;i++){}</script><p>One</p>', ["One"]),
+    ("<p>Let <math><mi>x</mi> <mo>=</mo> <mn>2</mn><annotation>x=2</annotation></math> hold.</p>", ["Let x = 2 hold."])])
+def test_quoted_values_and_formulas(markup, want):
+    assert [b.text for b in template.parse(markup)[0]] == want
+
+
+@pytest.mark.parametrize("name", ["div id='comments'", "section class='user-discussion'", "ol class='comment-list'",
+                                  "div class='x comments-area'", "div id=disqus_thread"])
+def test_comments_go_however_long(name):
+    page = f"<article><p>Short story</p><{name}><p>{'Long talk of readers ' * 40}</p></{name.split()[0]}></article>"
+    assert template.main_text(page, (frozenset(), [])) == "Short story"
+    assert template.main_text(f"<article><p>Story</p><p class='commentary'>It is {'told ' * 9}</p></article>",
+                              (frozenset(), [])) == f"Story It is {'told ' * 9}".rstrip()
+
+
 def texts(spark, bodies, host="g.example"):
     """Extracted text of each body, as pages of one host."""
     pages = [(i, f"http://{host}/{i}", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)]

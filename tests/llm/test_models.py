@@ -1,11 +1,14 @@
 import math
 import random
 import re
+import struct
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from seqframe.llm import compression, crossparse, interpolation
@@ -183,6 +186,69 @@ def test_quality(spark):
     assert got[5000] == got[5001] and 0 <= got[5000] <= 1 and got[5002] >= 0.7
 
 
+def plain_quality(rows, texts):
+    """Scores of ``texts`` by loops: labelled ``rows`` (id, text, y) in the order of the hash of their id, two dictionaries of
+    the first of each label, sizes of blocks with either, and a curve that descends to where its gradient is zero."""
+    def place(i):
+        first = xxhash.xxh64(struct.pack("<q", i), seed=42).intdigest()
+        h = xxhash.xxh64(struct.pack("<i", 4), seed=first).intdigest()
+        return h - (1 << 64) if h >> 63 else h
+
+    own = {y: [t for _, t in sorted({(place(i), t) for i, t, z in rows if z == y})][:1600] for y in (0, 1)}
+    cut = {y: min(400, max(1, len(t) * 2 // 3)) for y, t in own.items()}
+
+    def pieces(text):
+        data = text.encode()
+        return [data[i:i + 2048] for i in range(0, len(data), 2048)]
+
+    dictionary = {y: zstandard.train_dictionary(32_768, [p for t in own[y][:cut[y]] for p in pieces(t)], level=3) for y in own}
+
+    def sizes(text, y):
+        tool = zstandard.ZstdCompressor(level=3, dict_data=dictionary[y], write_content_size=False, write_checksum=False,
+                                        write_dict_id=False)
+        return sum(len(tool.compress(p)) for p in pieces(text))
+
+    def features(text):
+        if not text:
+            return 0.0, 1.0
+        good, bad = sizes(text, 1), sizes(text, 0)
+        return (bad - good) / (bad + good), min(good, bad) / len(text.encode())
+
+    found = [(features(t), y, Counter(z for _, _, z in rows)[y] / len(rows) / len(own[y][cut[y]:]))
+             for y in own for t in own[y][cut[y]:]]
+    low = float(np.quantile([f[1] for f, y, _ in found if y == 1], 0.1))
+    x = np.array([(f[0], min(f[1], low), 1.0) for f, _, _ in found])
+    y, w = np.array([y for _, y, _ in found]), np.array([w for *_, w in found]) * len(found)
+    scale = np.append(np.abs(x[:, :2]).max(axis=0), 1.0)
+    at, x = np.zeros(3), x / scale
+    step = 1 / ((w[:, None] * x ** 2).sum() / 4 + 0.01)
+    ahead, t = at, 1.0
+    for _ in range(60_000):  # descent with momentum
+        gradient = x.T @ (w * (1 / (1 + np.exp(-(x @ ahead))) - y)) + [1e-2, 1e-2, 1e-6] * ahead
+        after, t_after = ahead - step * gradient, (1 + math.sqrt(1 + 4 * t * t)) / 2
+        ahead, at, t = after + (t - 1) / t_after * (after - at), after, t_after
+    a, b, c = at / scale
+    return [1 / (1 + math.exp(-(a * f[0] + b * min(f[1], low) + c))) for f in map(features, texts)]
+
+
+def test_quality_is_that_of_the_plain_version(spark):
+    """Repeated rows, empty, null and very long texts, and a label that says two things, too."""
+    rng = random.Random(8)
+    mixed = lambda: [" ".join(rng.choices([EN, FR.upper()], [w, 1 - w])[0].split()[rng.randrange(20)] for _ in range(90))
+                     for w in [rng.uniform(0.35, 1)] * 2]
+    rows = [(i, t, 1) for i, t in enumerate(t for _ in range(75) for t in mixed())]
+    rows += [(1000 + i, t.swapcase(), 0) for i, t in enumerate(t for _ in range(60) for t in mixed())]
+    rows += [(i, t, 1 - y) for i, t, y in rows[::20]]
+    other = [None, "", "a", rows[0][1] * 40, rows[-1][1] * 400, "é" * 5000]
+    docs = {i: t for i, t, _ in rows} | {5000 + i: t for i, t in enumerate(other)}
+    table = spark.createDataFrame([*docs.items(), (5003, other[3])], "doc_id long, text string")
+    model = compression.fit(table, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int"))
+    got = sorted((r.doc_id, r.score) for r in compression.score(table, model, ["doc_id"]).collect())
+    want = dict(zip(docs, plain_quality(rows, docs.values())))
+    assert [i for i, _ in got] == sorted([*docs, 5003])
+    assert [s for _, s in got] == pytest.approx([want[i] for i, _ in got], abs=1e-3)
+
+
 @pytest.mark.parametrize("labels, expected", [([], 0.5), ([(1, 1), (2, 1)], 0.999), ([(1, 0), (2, 0)], 0.001)])
 def test_quality_without_both_labels(spark, labels, expected):
     docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")

@@ -149,6 +149,7 @@ INTERVALS = """cuts AS (SELECT d.doc_id, id, "start", "end", substring(seq, "sta
   FROM docs d JOIN req ON starts_with(d.header, req.id))"""
 ORACLE["read_intervals"] = f"WITH {REQUESTS} SELECT * FROM req"
 ORACLE["extract_intervals"] = f"WITH {DOCS}, {REQUESTS}, {INTERVALS} SELECT * FROM cuts"
+ORACLE["extract_intervals_pieces"] = ORACLE["extract_intervals"]
 ORACLE["write_fasta"] = f"""WITH {DOCS}, {REQUESTS}, {INTERVALS}
   SELECT '>' || id || ' | start=' || "start" || ' | end=' || "end" AS value FROM cuts
   UNION ALL SELECT fragment FROM cuts"""

@@ -155,6 +155,13 @@ def extract_intervals(spark, d):
         views.document_fasta(spark, d), label_requests(spark, d), ["doc_id"]).drop("header")
 
 
+@query
+def extract_intervals_pieces(spark, d):
+    """The same from records in pieces of 1,000 letters."""
+    parts = pieces(views.document_fasta(spark, d), ["doc_id", "header"], "seq", 0, 1000, keep_empty=True)
+    return extract.extract_intervals_pieces(parts, label_requests(spark, d), "doc_id").drop("header")
+
+
 def label_hits(spark, d):
     start, end = F.col("doc_id") % 40 + 1, F.col("doc_id") % 40 + 61
     odd = F.col("doc_id") % 2 == 1

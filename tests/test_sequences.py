@@ -9,7 +9,7 @@ from conftest import rows
 from seqframe.functions import (
     evalue_number, orf_header, pearson, protein_header, translate_codons,
 )
-from seqframe.operators import kgrams, markov, pssm
+from seqframe.operators import extract, kgrams, markov, pssm
 from seqframe.operators.extract import extract_hits, extract_intervals
 
 
@@ -162,3 +162,19 @@ def test_pssm_scan_against_loop(spark):
 def test_top_windows_break_ties_by_later_start(spark):
     df = spark.createDataFrame([("a", i, float(i % 2)) for i in range(10)], "name string, start int, score double")
     assert [r.start for r in pssm.top_windows(df, ["name"], 3).collect()] == [9, 7, 5]
+
+
+def test_intervals_from_pieces_are_those_of_whole_sequences(spark):
+    """Requests over borders of pieces, past the end, without letters and of several records; a record that most ask for."""
+    rng = random.Random(12)
+    seqs = [(n, f"rec{n % 3} text", "".join(rng.choices("ACGT", k=size))) for n, size in enumerate([5000, 2049, 1, 0, 1024, 700])]
+    asked = [("rec0", a, a + rng.randrange(3000)) for a in rng.choices(range(-5, 5200), k=60)]
+    asked += [("rec1", 1, 1), ("rec2", 1020, 1030), ("rec", 2, 1), ("rec1 t", 2000, 9000), ("", 1, 5), ("none", 1, 5)] + asked[:2]
+    requests = spark.createDataFrame(asked, "id string, start long, end long")
+    whole = spark.createDataFrame(seqs, "no int, header string, seq string")
+    cuts = [(n, h, at, s[at:at + 333]) for n, h, s in seqs for at in range(0, max(1, len(s)), 333)]
+    parts = spark.createDataFrame(cuts, "no int, header string, offset long, piece string")
+    want = rows(extract.extract_intervals(whole, requests, ["no"]))
+    assert len(want) > 120 and rows(extract.extract_intervals_pieces(parts, requests, "no")) == want
+    assert extract.extract_intervals_pieces(parts.limit(0), requests, "no").count() == 0
+    assert extract.extract_intervals_pieces(parts, requests.limit(0), "no").count() == 0

@@ -169,3 +169,12 @@ def test_records_in_pieces(spark, lines_file, size):
         assert rows(profile.piece_stats(pieces)) == rows(profile.contig_stats(whole, "file", "seq"))
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_every_order_is_a_subject(spark, tmp_path):
+    """Cheap orders are subjects too: only a customer without any order has no hits."""
+    spark.createDataFrame([(c, f"Customer#{c}", 1.0) for c in (1, 2, 3)], "c_custkey long, c_name string, c_acctbal double"
+                          ).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(10, 1, 5.0), (11, 2, 500_000.0)], "o_orderkey long, o_custkey long, o_totalprice double"
+                          ).write.parquet(f"{tmp_path}/orders.parquet")
+    assert rows(QUERIES["write_nohits"](spark, str(tmp_path))) == [("q3,Customer 3 second line,9",)]

@@ -238,3 +238,24 @@ def test_search_of_a_folder_by_pieces(spark, lines_file):
     assert {r.file.rpartition("/")[2]: r.n50 for r in statistics.collect()} == {"a.fsa": 150, "b.fsa": 36, "c.fsa": 7}
     whole = sources.read_fasta(spark, folder, "*.fsa").select("file", "header", "seq")
     assert rows(search_assemblies(whole, genes, 9, 15, complemented=True)) == rows(hits_found)
+
+
+@pytest.mark.parametrize("batch", ["3", "10000"])
+def test_lines_become_sections_where_they_are_read(spark, lines_file, monkeypatch, batch):
+    """A row per section, and one more per batch of lines at most; only what crosses a border is looked up."""
+    path = lines_file("r.txt", NUCLEOTIDE)
+    kept = {}
+    monkeypatch.setattr(reports, "cut_lineage", lambda df, label="step": kept.setdefault(label, df.localCheckpoint()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        queries, subjects = sources.read_blastn_report(spark, path)
+        assert rows(queries.select("query_name", "query_description", "query_length", "no_hits")) == [
+            ("all0001", "unknown protein", 173, False), ("all0002", "nothing here", 99, True), ("all0003", "last", 5, False)]
+        assert rows(subjects.select("name", "description", "length", "expect")) == [
+            ("012.003", "first", 400, "2e-017"), ("1234.007", "", 50, "0.1")]
+        lines = NUCLEOTIDE.splitlines()
+        batches, heads = -(-len(lines) // int(batch)), sum(x.startswith(("Query=", ">")) for x in lines)
+        assert kept["carried"].count() == batches
+        assert kept["report-sections"].count() <= heads + batches
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
